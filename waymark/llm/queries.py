@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import mixing, sentencepiece_bpe, simhash
+from waymark.llm import langid, mixing, quality_fm, sentencepiece_bpe, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,14 +42,30 @@ FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 """
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", langid.id_remainder(F.col("doc_id"), 4) == 2)
+    model = langid.fit(docs.where("not held_out"))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), model)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = (langid.id_remainder(F.col("doc_id"), 3) == 1).alias("held_out")
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out)
+    scored = quality_fm.predict(docs.select("doc_id", held_out, "n_chars", "text"), quality_fm.fit(docs, labels))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_mixing": op3_mixing,
+    "op6_language": op6_language,
     "op8_simhash": op8_simhash,
+    "op10_quality": op10_quality,
 }
 ORACLE: dict[str, str] = {"op3_mixing": OP3_SQL}

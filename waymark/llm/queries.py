@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import audio, langid, mixing, quality_fm, sentencepiece_bpe, simhash
+from waymark.llm import audio, langid, mixing, pq_dedup, quality_fm, sentencepiece_bpe, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op4_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op5_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", langid.id_remainder(F.col("doc_id"), 4) == 2)
     model = langid.fit(docs.where("not held_out"))
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_mixing": op3_mixing,
     "op4_audio": op4_audio,
+    "op5_embedding": op5_embedding,
     "op6_language": op6_language,
     "op8_simhash": op8_simhash,
     "op10_quality": op10_quality,

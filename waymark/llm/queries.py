@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import audio, langid, mixing, pq_dedup, quality_fm, sentencepiece_bpe, simhash
+from waymark.llm import audio, langid, line_dedup, mixing, pq_dedup, quality_fm, sentencepiece_bpe, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,31 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), model)
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = F.aggregate("__line_spans", F.lit(0), lambda n, s: n + s["last"] - s["first"] + 1)
+    return line_dedup.dedup_lines(docs).select("doc_id", F.coalesce(spans, F.lit(0)).alias("lines_removed"), "text")
+
+
+OP7_SQL = r"""
+WITH l AS (SELECT doc_id, p, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w
+           FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents WHERE text IS NOT NULL)),
+f AS (SELECT doc_id, p, trim(line, ' ' || chr(9) || chr(13)) AS h, row_number() OVER o AS q, CAST(sum(w) OVER o AS BIGINT) AS upto, CAST(sum(w) OVER o AS BIGINT) - w AS before
+      FROM l WHERE w > 0 WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+r AS (SELECT a.doc_id, a.q AS s, min(b.q) AS t FROM f a JOIN f b ON a.doc_id = b.doc_id AND b.upto >= a.before + 40 AND b.q >= a.q GROUP BY ALL
+      UNION SELECT b.doc_id, max(a.q) AS s, b.q AS t FROM f a JOIN f b ON a.doc_id = b.doc_id AND b.upto >= a.before + 40 AND b.q >= a.q GROUP BY b.doc_id, b.q),
+k AS (SELECT r.doc_id, s, t, list(h ORDER BY q) AS run FROM r JOIN f ON r.doc_id = f.doc_id AND f.q BETWEEN s AND t GROUP BY ALL),
+g AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) AS nth FROM k),
+x AS (SELECT DISTINCT f.doc_id, f.p, f.q FROM g JOIN f ON g.doc_id = f.doc_id AND f.q BETWEEN g.s AND g.t WHERE nth > 1),
+m AS (SELECT l.doc_id, l.p, l.line, CASE WHEN l.w > 0 THEN x.p IS NOT NULL ELSE
+        coalesce(last_value(CASE WHEN l.w > 0 THEN x.p IS NOT NULL END IGNORE NULLS) OVER (PARTITION BY l.doc_id ORDER BY l.p), false)
+        AND coalesce(first_value(CASE WHEN l.w > 0 THEN x.p IS NOT NULL END IGNORE NULLS) OVER (PARTITION BY l.doc_id ORDER BY l.p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), false) END AS gone
+      FROM l LEFT JOIN x ON l.doc_id = x.doc_id AND l.p = x.p)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS INT) AS lines_removed, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text
+FROM documents d LEFT JOIN (SELECT doc_id, count_if(gone) AS n, string_agg(line, chr(10) ORDER BY p) FILTER (WHERE NOT gone) AS kept FROM m GROUP BY doc_id) USING (doc_id)
+"""
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -76,7 +101,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_audio": op4_audio,
     "op5_embedding": op5_embedding,
     "op6_language": op6_language,
+    "op7_lines": op7_lines,
     "op8_simhash": op8_simhash,
     "op10_quality": op10_quality,
 }
-ORACLE: dict[str, str] = {"op3_mixing": OP3_SQL}
+ORACLE: dict[str, str] = {
+    "op3_mixing": OP3_SQL,
+    "op7_lines": OP7_SQL,
+}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import audio, langid, line_dedup, mixing, pq_dedup, quality_fm, sentencepiece_bpe, simhash
+from waymark.llm import audio, langid, line_dedup, mixing, pii, pq_dedup, quality_fm, sentencepiece_bpe, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,58 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", *[F.col(f"url_judgement.{c}").alias(c) for c in ("host", "path", "rule", "verdict")])
+
+
+def _trained_by_hand() -> tuple[list[float], float]:
+    """The regression's weights by plain loops in the primal form: the constants of the SQL below."""
+    import math
+
+    rows = []
+    for url, y in url_filter.labelled():
+        rest = url.split("://", 1)[1]
+        text = f"^{rest.split('#')[0].split('?')[0]}$"
+        codes, found = [ord(c) for c in text], set()
+        for n in url_filter.ORDERS:
+            for i in range(len(codes) - n + 1):
+                h = n
+                for c in codes[i : i + n]:
+                    h = (h * 131 + c) % 1000003
+                found.add(h % url_filter.BUCKETS)
+        rows.append((sorted(found), y))
+    weights, bias = [0.0] * url_filter.BUCKETS, 0.0
+    for _ in range(url_filter.STEPS):
+        errors = [y - 1 / (1 + math.exp(-(bias + sum(weights[b] for b in found) / math.sqrt(len(found))))) for found, y in rows]
+        shrink = 1 - url_filter.RATE * url_filter.PENALTY
+        weights, bias = [w * shrink for w in weights], bias * shrink
+        for (found, _), e in zip(rows, errors, strict=True):
+            for b in found:
+                weights[b] += url_filter.RATE * e / math.sqrt(len(found))
+            bias += url_filter.RATE * url_filter.BIAS * e
+    return weights, bias
+
+
+def op2_sql() -> str:
+    weights, bias = _trained_by_hand()
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_filter.RULES)
+    grams = " || ".join(f"list_transform(range(1, greatest(1, len(c) - {n - 2})), lambda i: list_reduce(list_prepend(CAST({n} AS BIGINT), c[i:i + {n - 1}]), lambda h, x: (h * 131 + x) % 1000003) % {url_filter.BUCKETS})" for n in url_filter.ORDERS)
+    return f"""
+WITH r(rule_host, rule_path, rule_verdict) AS (VALUES {rules}),
+w AS (SELECT [{", ".join(f"{x:.12g}" for x in weights)}]::DOUBLE[] AS w),
+a AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path FROM a),
+f AS (SELECT page_id, arg_min(rule_host || rule_path, (-length(rule_host || rule_path), rule_host || rule_path)) AS rule, arg_min(rule_verdict, (-length(rule_host || rule_path), rule_host || rule_path)) AS rule_verdict
+      FROM b JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id),
+c AS (SELECT page_id, list_transform(range(1, length(s) + 1), lambda i: CAST(unicode(substr(s, i, 1)) AS BIGINT)) AS c FROM (SELECT page_id, '^' || host || lower(path) || '$' AS s FROM b)),
+g AS (SELECT page_id, list_distinct({grams}) AS g FROM c),
+m AS (SELECT page_id, {bias:.12g} + coalesce(list_sum(list_transform(g, lambda x: w[x + 1])), 0) / sqrt(greatest(len(g), 1)) AS margin FROM g, w)
+SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN margin >= 0 THEN 'block' ELSE 'allow' END) AS verdict
+FROM b LEFT JOIN f USING (page_id) JOIN m USING (page_id)
+"""
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0)
     return mixed.select("doc_id", F.col("__mix_size").alias("size"), F.col("__mix_source_size").alias("source_size"), F.round("__mix_target", 6).alias("target"), (F.col("__mix_size") * F.col("__mix_copies")).alias("taken"))
@@ -87,6 +139,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masked = pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return masked.select("doc_id", F.size("__pii_kinds").alias("n_replaced"), F.array_join("__pii_kinds", ",").alias("kinds"), "text")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = (langid.id_remainder(F.col("doc_id"), 3) == 1).alias("held_out")
     docs = _table(spark, sf_dir, "documents")
@@ -97,15 +154,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_urls": op2_urls,
     "op3_mixing": op3_mixing,
     "op4_audio": op4_audio,
     "op5_embedding": op5_embedding,
     "op6_language": op6_language,
     "op7_lines": op7_lines,
     "op8_simhash": op8_simhash,
+    "op9_pii": op9_pii,
     "op10_quality": op10_quality,
 }
 ORACLE: dict[str, str] = {
+    "op2_urls": op2_sql(),
     "op3_mixing": OP3_SQL,
     "op7_lines": OP7_SQL,
 }

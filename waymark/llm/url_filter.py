@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 BUCKETS, ORDERS = 4096, (3, 4, 5)
 MOST_LABELLED = 2000
 #: Of gradient descent; BIAS scales the constant feature, so that it is learnt slowly and unknown addresses are not blocked by it.
-STEPS, RATE, PENALTY, BIAS = 80, 0.4, 0.01, 0.02
+STEPS, RATE, PENALTY, BIAS = 60, 0.4, 0.01, 0.02
 
 #: Rules (host, path, verdict) of the production filter.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -35,12 +35,18 @@ WANTED = (
 _BEGINNINGS, _DOMAINS, _PATHS = ("", "www.", "m.", "blog."), ("example.com", "example.net", "example.org"), ("/en/12", "/de/7.html", "/fr/104/", "/es/33", "/", "/about", "/en/501#top")
 
 
+def invented(n: int = 60) -> tuple[str, ...]:
+    """Harmless names of two or three of the most common English letter groups, taken in turn."""
+    groups = ("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "or", "nt", "ea", "ti", "st", "ou", "ing", "tion", "ble", "ly")
+    return tuple(groups[k % 23] + groups[(k * 7 + 3) % 23] + (groups[(k * 5 + 1) % 23] if k % 2 else "") for k in range(n))
+
+
 def labelled() -> list[tuple[str, int]]:
-    """(url, 1 for unwanted or 0) for each name three times."""
+    """(url, 1 for unwanted or 0) for each name twice."""
     rows = []
-    for bad, names in ((1, UNWANTED), (0, WANTED)):
+    for bad, names in ((1, UNWANTED), (0, WANTED + invented())):
         for k, name in enumerate(names):
-            rows += [(f"https://{_BEGINNINGS[(k + j) % 4]}{name}.{_DOMAINS[(k + j) % 3]}{_PATHS[(k * 3 + j) % 7]}", bad) for j in range(3)]
+            rows += [(f"https://{_BEGINNINGS[(k + j) % 4]}{name}.{_DOMAINS[(k + j) % 3]}{_PATHS[(k * 3 + j) % 7]}", bad) for j in range(2)]
     return rows
 
 

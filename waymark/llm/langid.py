@@ -185,14 +185,14 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     return model
 
 
-def predict(docs: DataFrame, model: Model, *, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
-    """All columns of `docs` but the text, and the language and its calibrated probability.
+def predict(docs: DataFrame, model: Model, *, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score", keep_text: bool = False) -> DataFrame:
+    """All columns of `docs` (but the text, unless keep_text), and the language and its calibrated probability.
 
     Null, empty and letterless texts have language `und` and score 0, and so has every text if the model knows no language.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c != text_col]
-    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col)
+    kept = [c for c in docs.columns if keep_text or c != text_col]
+    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if keep_text or f.name != text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value

@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -250,8 +251,8 @@ class Codec:
     def words(self, text: str) -> list[str]:
         return _SPLIT.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def encode(self, texts: list[str]) -> list[list[tuple[int, bytes, bytes]]]:
-        """For each word of each text: number of ids, the ids in decimal digits with a comma after each, the ids' surfaces in UTF-8."""
+    def encode(self, texts: list[str]) -> list[list[tuple[int, bytes, bytes, bytes]]]:
+        """For each word of each text: number of ids, the ids in decimal digits with a comma after each, the ids' surfaces in UTF-8, the ids as 32-bit integers."""
         split = [self.words(t) for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache = {}
@@ -259,7 +260,7 @@ class Codec:
         new = list(set().union(*split).difference(cache))
         names, surface, long_words = self.names, self.vocabulary.surface, []
         for word, ids in zip(new, encode_words(self.vocabulary, new)):
-            cache[word] = (len(ids), b"".join([names[i] for i in ids]), b"".join([surface[i] for i in ids]))
+            cache[word] = (len(ids), b"".join([names[i] for i in ids]), b"".join([surface[i] for i in ids]), array("i", ids).tobytes())
             if len(word) > CACHE_LENGTH:
                 long_words.append(word)
         found = [[cache[w] for w in words] for words in split]
@@ -318,10 +319,15 @@ def _codec(model: bytes) -> Codec:
     return _CODECS[key]
 
 
-def tokenize(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """(id_col, n_tokens, ids_text, decoded[, ids]) for each document.
+def _lists(packed: list[bytes]) -> pa.ListArray:
+    ends = np.r_[0, np.cumsum([len(x) // 4 for x in packed])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
 
-    Null is encoded as the empty text: no ids, and "" decoded. Rows stay as they are, repeated ones included; other columns are
+
+def tokenize(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_text: bool = True) -> DataFrame:
+    """(id_col, n_tokens, decoded, ids_text, ids) for each document.
+
+    Without with_ids or with_text, ids or ids_text are left out. Null is encoded as the empty text: no ids, and "" decoded. Rows stay as they are, repeated ones included; other columns are
     left out. The model file is read on the driver only and sent to the executors as a broadcast of its own size. ids_text holds
     the ids in decimal digits, joined by commas.
     """
@@ -336,13 +342,16 @@ def tokenize(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
             n, ids_text, decoded, ids = [], [], [], []
             for words in codec.encode(texts):
                 n.append(sum([w[0] for w in words]))
-                ids_text.append(b"".join([w[1] for w in words])[:-1].decode())
+                if with_text:
+                    ids_text.append(b"".join([w[1] for w in words])[:-1].decode())
                 # Bytes of one character never stand in two words, so words are decoded one by one.
                 decoded.append(b"".join([w[2] for w in words])[1:].decode())
                 if with_ids:
-                    ids.append([int(x) for x in ids_text[-1].split(",")] if words else [])
-            arrays = [batch.column("i"), pa.array(n, pa.int64()), pa.array(ids_text, pa.string()), pa.array(decoded, pa.string())]
-            yield pa.record_batch(arrays + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), names=["i", "n_tokens", "ids_text", "decoded"] + ["ids"] * with_ids)
+                    ids.append(b"".join([w[3] for w in words]))
+            columns = {"i": batch.column("i"), "n_tokens": pa.array(n, pa.int64()), "decoded": pa.array(decoded, pa.string())}
+            columns |= {"ids_text": pa.array(ids_text, pa.string())} if with_text else {}
+            columns |= {"ids": _lists(ids)} if with_ids else {}
+            yield pa.record_batch(list(columns.values()), names=list(columns))
 
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, f"i {id_type}, n_tokens long, ids_text string, decoded string" + ", ids array<int>" * with_ids).withColumnRenamed("i", id_col)
+    return rows.mapInArrow(run, f"i {id_type}, n_tokens long, decoded string" + ", ids_text string" * with_text + ", ids array<int>" * with_ids).withColumnRenamed("i", id_col)

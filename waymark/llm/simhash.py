@@ -45,17 +45,16 @@ def fingerprint(text: bytes | None, shingle: int) -> int:
     return int(np.packbits(counts * 2 > take, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(id_col, fp) with the fingerprint's bits as a signed long. Null and blank texts have 0."""
-    id_type = docs.schema[id_col].dataType
+def fingerprints(docs: DataFrame, keys: list[str], text_col: str = "text", shingle: int = 4) -> DataFrame:
+    """The key columns and fp, the fingerprint's bits as a signed long. Null and blank texts have 0."""
+    typed = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t"):
-            found = np.array([fingerprint(t, shingle) for t in column_bytes(batch.column("t"))], np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column("i"), pa.array(found)], names=["i", "fp"])
+        for batch in slices(batches, "__simhash_text"):
+            found = np.array([fingerprint(t, shingle) for t in column_bytes(batch.column("__simhash_text"))], np.uint64).view(np.int64)
+            yield pa.record_batch([*(batch.column(c) for c in keys), pa.array(found)], names=[*keys, "fp"])
 
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, f"i {id_type.simpleString()}, fp long").withColumnRenamed("i", id_col)
+    return docs.select(*keys, F.col(text_col).cast("string").alias("__simhash_text")).mapInArrow(run, f"{typed}, fp long")
 
 
 def segment_widths(m: int) -> list[int]:
@@ -185,16 +184,36 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4, segments: int | None
     return keys.mapInArrow(run, "u long, v long").distinct()
 
 
+def components(fps: DataFrame, radius: int = 4) -> DataFrame:
+    """(fp, root) for each distinct fingerprint of `fps`; fingerprints linked over others have the same root."""
+    distinct = cut(fps.select("fp").distinct())
+    roots = connected_components(fingerprint_links(distinct, radius))
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """(id_col, fp, component_id): component_id is the smallest id reachable over fingerprints within `radius` bits.
 
     Equal fingerprints, those of blank and null texts (0) included, are one class before anything is compared, so copies cost
     one row each. Rows with a null id get a component like others; it is null only where no id of the component is set.
     """
-    marked = cut(fingerprints(docs, id_col, text_col, shingle))
-    classes = cut(marked.groupBy("fp").agg(F.min(id_col).alias("least")))
-    roots = connected_components(fingerprint_links(classes.select("fp"), radius))
-    linked = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    component = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = cut(linked.join(component, "root").select("fp", "component_id"))
-    return marked.join(by_class, "fp", "left").select(id_col, "fp", "component_id")
+    marked = cut(fingerprints(docs.select(F.col(id_col).alias("id"), text_col), ["id"], text_col, shingle))
+    classes = cut(marked.groupBy("fp").agg(F.min("id").alias("least")).join(components(marked, radius), "fp"))
+    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_class = cut(classes.join(least, "root").select("fp", "component_id"))
+    return marked.join(by_class, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 8) -> DataFrame:
+    """One row of each group of near-duplicates: that with the smallest id (null last), then the smallest text hash.
+
+    Rows with equal id and text are one document, of which one row stays. All columns are kept; names that begin with
+    `__simhash_` are reserved.
+    """
+    hashed = docs.withColumn("__simhash_id", F.col(id_col)).withColumn("__simhash_th", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.col(text_col).isNull()))
+    marked = cut(fingerprints(hashed, ["__simhash_id", "__simhash_th"], text_col, shingle))
+    first = F.min(F.struct(F.col("__simhash_id").isNull().alias("none"), F.col("__simhash_id").alias("id"), F.col("__simhash_th").alias("th")))
+    classes = marked.groupBy("fp").agg(first.alias("first")).join(components(marked, radius), "fp")
+    kept = classes.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("kept_id"), F.col("first.th").alias("kept_th"))
+    stay = hashed.join(cut(kept), F.col("__simhash_id").eqNullSafe(F.col("kept_id")) & (F.col("__simhash_th") == F.col("kept_th")), "left_semi")
+    return stay.dropDuplicates(["__simhash_id", "__simhash_th"]).drop("__simhash_id", "__simhash_th")

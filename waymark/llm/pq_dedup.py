@@ -4,8 +4,9 @@ Vectors are put into coarse inverted lists; each keeps its residual as subspace
 codes leave. A query probes every list that can hold a vector near enough, compares itself with the codes there by table
 lookups, and takes the exact cosine of those that the lookup cannot rule out. Two bounds make the search whole:
 
-* y lies in the list j of its nearest centroid, so |y-c_j|^2 <= |y-c_i|^2 for the query's own list i. The difference of the two
-  sides changes by at most 2 |c_i-c_j| t over a distance t. So j is probed if |q-c_j|^2 - |q-c_i|^2 <= 2 |c_i-c_j| t.
+* q lies in the list i of its nearest centroid and y in list j, so the plane midway between c_i and c_j separates them. If they
+  are t apart, one of them is at most t/2 from that plane. So a vector probes j if |q-c_j|^2 - |q-c_i|^2 <= 2 |c_i-c_j| t/2, and
+  of each pair within t at least one side finds the other; a pair that only one side finds counts for both.
 * the looked-up distance is off by at most the length of y's own coding error.
 """
 
@@ -25,7 +26,7 @@ from waymark.llm.common import connected_components, cut
 SAMPLE, CODES, SUBSPACES = 20_000, 256, 8
 #: Members and queries of one tile at most (expected); tiles are compared in blocks.
 TILE, BLOCK = 2048, 256
-MOST_LISTS = 4096
+LIST_ROWS, MOST_LISTS = 64, 4096
 SLACK = 1e-6
 
 
@@ -74,11 +75,11 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray
 
 
 def fit(sample: np.ndarray, rows: int) -> Index:
-    """An index for `rows` unit vectors from a sample of them; lists grow with the rows, about one for 200, MOST_LISTS at most."""
+    """An index from a sample of unit vectors; lists grow with the rows of the largest label, about one for LIST_ROWS, MOST_LISTS at most."""
     dims = sample.shape[1]
     width = -(-dims // SUBSPACES) * SUBSPACES
     x = np.pad(sample, ((0, 0), (0, width - dims)))
-    centroids = kmeans(x, int(np.clip(rows // 200, 1, min(MOST_LISTS, len(x)))))
+    centroids = kmeans(x, int(np.clip(rows // LIST_ROWS, 1, min(MOST_LISTS, len(x)))))
     index = Index(centroids, np.zeros((SUBSPACES, 1, width // SUBSPACES)), dims)
     residual = x - centroids[np.argmin(index.coarse(x), axis=1)]
     sub = width // SUBSPACES
@@ -113,7 +114,7 @@ def normalised(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def probes(index: Index, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Own list of each vector, and pairs (row, list) of all lists that may hold a vector within radius."""
+    """Own list of each vector, and pairs (row, list) of the lists whose border with its own is within radius."""
     d = index.coarse(x)
     own = np.argmin(d, axis=1)
     apart = np.sqrt(np.maximum(0, (index.centroids**2).sum(1)[:, None] - 2 * index.centroids @ index.centroids.T + (index.centroids**2).sum(1)[None, :]))
@@ -171,13 +172,13 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     spark = vectors.sparkSession
     base = cut(vectors.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("uid", F.monotonically_increasing_id()))
     usable = base.where("label is not null and size(v) > 0")
-    n, dims = usable.agg(F.count("*"), F.max(F.size("v"))).first()
+    n, dims, largest = usable.groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims")).agg(F.sum("n"), F.max("dims"), F.max("n")).first()
     if not n:
         return base.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
     chosen = usable.where(F.pmod(F.xxhash64("uid"), F.lit(1 << 30)) < F.lit(SAMPLE / n * (1 << 30))).orderBy("uid").select("v").toArrow()
     column = chosen["v"].combine_chunks() if chosen.num_rows else pa.array([], pa.list_(pa.float64()))
     sample, good = normalised(column, dims) if len(column) else (np.zeros((0, dims)), np.zeros(0, bool))
-    shared = spark.sparkContext.broadcast(fit(sample[good] if good.any() else np.eye(1, dims), n))
+    shared = spark.sparkContext.broadcast(fit(sample[good] if good.any() else np.eye(1, dims), largest))
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,27 +191,32 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
                 at_good = np.flatnonzero(good)
                 if not len(at_good):
                     continue
-                own, row, lists = probes(index, index.pad(unit[at_good]), radius)
+                own, row, lists = probes(index, index.pad(unit[at_good]), radius / 2)
                 row_all = at_good[np.r_[np.arange(len(at_good)), row]]
                 lists_all = np.r_[own, lists]
                 member = np.r_[np.ones(len(at_good), bool), np.zeros(len(row), bool)]
+                # A member carries the lists that it probes itself, a query its own list.
+                ends = np.searchsorted(row, np.arange(len(at_good) + 1))
+                ends = np.r_[ends, ends[-1] + 1 + np.arange(len(row))].astype(np.int32)
+                others = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.r_[lists, own[row]].astype(np.int32)))
                 yield pa.record_batch([
                     part.column("label").take(pa.array(row_all)),
                     pa.array(lengths[row_all].astype(np.int32)),
                     pa.array(lists_all.astype(np.int32)),
                     pa.array(member),
                     part.column("uid").take(pa.array(row_all)),
+                    others,
                     pa.array([x.tobytes() for x in unit[row_all]], pa.binary()),
-                ], names=["label", "length", "list", "member", "uid", "x"])
+                ], names=["label", "length", "list", "member", "uid", "others", "x"])
 
-    routed = usable.select("label", "v", "uid").mapInArrow(route, "label string, length int, list int, member boolean, uid long, x binary")
+    routed = usable.select("label", "v", "uid").mapInArrow(route, "label string, length int, list int, member boolean, uid long, others array<int>, x binary")
     group = ["label", "length", "list"]
     counts = cut(routed.groupBy(*group).agg(F.ceil(F.count_if("member") / TILE).cast("int").alias("m_chunks"), F.ceil(F.count_if(~F.col("member")) / TILE).cast("int").alias("q_chunks")).where("m_chunks > 0"))
     spread = routed.join(counts, group)
     mine = F.pmod(F.xxhash64("uid"), F.when(F.col("member"), F.col("m_chunks")).otherwise(F.col("q_chunks"))).cast("int")
     others = F.sequence(F.lit(0), F.greatest(F.lit(1), F.when(F.col("member"), F.col("q_chunks")).otherwise(F.col("m_chunks"))) - 1)
     spread = spread.withColumn("mine", mine).withColumn("other", F.explode(others))
-    tiles = spread.select(*group, "member", "uid", "x", F.when(F.col("member"), F.col("mine")).otherwise(F.col("other")).alias("mc"), F.when(F.col("member"), F.col("other")).otherwise(F.col("mine")).alias("qc"))
+    tiles = spread.select(*group, "member", "uid", "others", "x", F.when(F.col("member"), F.col("mine")).otherwise(F.col("other")).alias("mc"), F.when(F.col("member"), F.col("other")).otherwise(F.col("mine")).alias("qc"))
 
     def compare(table: pa.Table) -> pa.Table:
         index = shared.value
@@ -221,9 +227,17 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
         link = tile_links(index, index.centroids[table["list"][0].as_py()], x[~member], x[member], threshold)
         link &= q[:, None] != m[None, :]
         q_root, m_root = stars(link)
-        count = link.sum(1)
         keep_q, keep_m = np.flatnonzero(q_root >= 0), np.flatnonzero(m_root >= 0)
-        return pa.table({"uid": np.r_[q[keep_q], m[keep_m]], "root": np.r_[q[q_root[keep_q]], q[m_root[keep_m]]], "n": np.r_[count[keep_q], np.zeros(len(keep_m), np.int64)].astype(np.int64)})
+        others = table["others"].to_pylist()
+        q_at, m_at = np.flatnonzero(~member)[keep_q].tolist(), np.flatnonzero(member)[keep_m].tolist()
+        own = np.array([others[k][0] for k in q_at], int)
+        probed = np.zeros((len(keep_m), len(index.centroids)), bool)
+        for k, at in enumerate(m_at):
+            probed[k, others[at]] = True
+        # Where the member probes the query's list too, it counts the link there; else here.
+        found = link[np.ix_(keep_q, keep_m)]
+        n_m = (found & ~probed[:, own].T).sum(0)
+        return pa.table({"uid": np.r_[q[keep_q], m[keep_m]], "root": np.r_[q[q_root[keep_q]], q[m_root[keep_m]]], "n": np.r_[found.sum(1), n_m].astype(np.int64)})
 
     found = cut(tiles.groupBy(*group, "mc", "qc").applyInArrow(compare, "uid long, root long, n long"))
     links = found.groupBy("uid").agg(F.sum("n").alias("n_links"))

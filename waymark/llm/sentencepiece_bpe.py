@@ -24,7 +24,9 @@ from waymark.llm.common import column_bytes, slices
 
 MARK = "▁"
 #: Words kept with their ids in each Python worker, and the longest word kept.
-CACHE_WORDS, CACHE_LENGTH = 400_000, 256
+CACHE_WORDS, CACHE_LENGTH = 250_000, 256
+#: Characters merged together at a time (a longer word alone), and bytes of text split into words at a time.
+MERGE_CHARS, SLICE_BYTES = 1 << 17, 2 << 20
 NONE = np.int64(1) << 40
 
 
@@ -160,10 +162,19 @@ def _merge_marks(vocabulary: Vocabulary, symbols: list[int]) -> list[int]:
     return [length[size[i]] for i in range(n) if alive[i]]
 
 
-def encode_words(vocabulary: Vocabulary, words: list[str]) -> list[list[int]]:
-    """Ids of each word, all words merged together in rounds."""
-    if not words:
-        return []
+def encode_words(vocabulary: Vocabulary, words: list[str]) -> Iterator[list[int]]:
+    """Ids of each word; words are merged together in rounds, MERGE_CHARS at a time, so that the arrays stay small."""
+    start = size = 0
+    for i, word in enumerate(words):
+        if size and size + len(word) > MERGE_CHARS:
+            yield from _merge_words(vocabulary, words[start:i])
+            start, size = i, 0
+        size += len(word)
+    if words:
+        yield from _merge_words(vocabulary, words[start:])
+
+
+def _merge_words(vocabulary: Vocabulary, words: list[str]) -> list[list[int]]:
     points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     word = np.repeat(np.arange(len(words)), lengths)
@@ -337,7 +348,7 @@ def tokenize(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model.value)
-        for batch in slices(batches, "t"):
+        for batch in slices(batches, "t", SLICE_BYTES):
             texts = [t or "" for t in batch.column("t").to_pylist()]
             n, ids_text, decoded, ids = [], [], [], []
             for words in codec.encode(texts):

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from waymark.config import EVENTIZER_VERSION, MODALITY, PROFILE_ID, Config, plain_number
+from waymark.config import EVENTIZER_VERSION, MODALITY, PRODUCER, PROFILE_ID, VERSION, WIRE_VERSION, Config, plain_number
 from waymark.functions import expressions as X
 from waymark.functions.jsontext import spell, text
 from waymark.functions.wkb import wkb_point
@@ -78,12 +80,9 @@ def start_end(normalized: DataFrame, cfg: Config) -> DataFrame:
 
 def _previous_fix(folded: DataFrame) -> DataFrame:
     """Rows at continuity breaks, with the row before them as identifiers and contexts need it."""
-    w = F.lag
-    from pyspark.sql import Window
-
     by_entity = Window.partitionBy("entity_id").orderBy("idx")
     fix = X.stable_id("fix", F.col("entity_id"), F.col("ts_text"), F.col("lat9"), F.col("lon9"), F.col("ha3"))
-    return folded.withColumn("fix", fix).withColumns({"prev_fix": w("fix").over(by_entity), "prev_geohash": w("geohash").over(by_entity)}).where("is_gap or is_discontinuity")
+    return folded.withColumn("fix", fix).withColumns({"prev_fix": F.lag("fix").over(by_entity), "prev_geohash": F.lag("geohash").over(by_entity)}).where("is_gap or is_discontinuity")
 
 
 def breaks(folded: DataFrame, cfg: Config) -> DataFrame:
@@ -135,8 +134,6 @@ def enters_leaves(presence: DataFrame) -> DataFrame:
 
 def stream(normalized: DataFrame, folded: DataFrame, presence: DataFrame, cfg: Config) -> DataFrame:
     """All events with `seq`, their order within the entity: by time, then kind, then identifier."""
-    from pyspark.sql import Window
-
     every = start_end(normalized, cfg).unionByName(enters_leaves(presence)).unionByName(stays(presence, cfg)).unionByName(breaks(folded, cfg))
     order = Window.partitionBy("entity_id").orderBy("ts_s", "ts_ns", rank(F.col("event_type")), "event_id")
     return every.withColumn("seq", F.row_number().over(order))
@@ -163,8 +160,6 @@ def events(normalized: DataFrame, folded: DataFrame, presence: DataFrame, cfg: C
 
 def canonical(rows: DataFrame, cfg: Config) -> DataFrame:
     """(entity_id, seq, value): each event of `stream` as one JSON line."""
-    from waymark.config import PRODUCER, VERSION, WIRE_VERSION
-
     kind = F.col("event_type")
     raw = F.to_json(F.struct(
         F.col("event_id").alias("id"), F.col("ts_text").alias("event_time"), F.col("end_text").alias("end_time"), F.col("subject"), _of_kind(kind, 0).alias("feature"), _of_kind(kind, 1).alias("action"), _of_kind(kind, 2).alias("state"), _of_kind(kind, 3).alias("polarity"),
@@ -172,9 +167,7 @@ def canonical(rows: DataFrame, cfg: Config) -> DataFrame:
     ))
     fixed = json.dumps({"xq_version": WIRE_VERSION, "source": cfg.source, "modality": MODALITY, "profile": PROFILE_ID, "producer": PRODUCER, "producer_version": VERSION, "parameters": {k: plain_number(v) for k, v in cfg.parameters().items()}})
 
-    import pyarrow as pa
-
-    @F.arrow_udf("string")
+    @F.arrow_udf(StringType())
     def line(column: pa.Array) -> pa.Array:
         given = json.loads(fixed)
 

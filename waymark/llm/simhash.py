@@ -21,8 +21,8 @@ from waymark.llm.common import column_bytes, connected_components, cut, slices
 
 #: Shingles hashed at a time, and fingerprints that one task compares with each other at most.
 SHINGLE_BLOCK, TILE = 1 << 15, 8192
-#: Up to this many distinct fingerprints, 6 segments (pairs of equal ones) select well enough; beyond, 7 (triples).
-SEGMENTS_SWITCH = 20_000_000
+#: Bits that a key should have, for up to so many distinct fingerprints and beyond: more fingerprints need keys that select better.
+KEY_BITS, MANY, KEY_BITS_OF_MANY = 20, 20_000_000, 26
 
 
 def fingerprint(text: bytes | None, shingle: int) -> int:
@@ -61,6 +61,11 @@ def segment_widths(m: int) -> list[int]:
     return [64 // m + (i < 64 % m) for i in range(m)]
 
 
+def segments_for(radius: int, bits: int) -> int:
+    """The fewest segments of which those that must be equal make keys of `bits` bits."""
+    return next((m for m in range(radius + 1, 33) if (m - radius) * (64 // m) >= bits), 32)
+
+
 def zero_patterns(m: int, radius: int) -> list[tuple[int, ...]]:
     """Sets of segments of which one must be wholly equal, by the ring's budgets.
 
@@ -137,7 +142,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4, segments: int | None
     more than two chunks, and every pair still meets.
     """
     n = distinct.count()
-    m = segments or (radius + 2 if n <= SEGMENTS_SWITCH else radius + 3)
+    m = segments or segments_for(radius, KEY_BITS if n <= MANY else KEY_BITS_OF_MANY)
     at, parts = 0, []
     for w in segment_widths(m):
         parts.append((at, w))
@@ -204,7 +209,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(by_class, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 8) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 6) -> DataFrame:
     """One row of each group of near-duplicates: that with the smallest id (null last), then the smallest text hash.
 
     Rows with equal id and text are one document, of which one row stays. All columns are kept; names that begin with

@@ -16,8 +16,8 @@ from waymark.llm.common import ensure_checkpoint_dir
 
 #: A document whose best language has a smaller probability, or that has no letters, is rejected.
 LEAST_LANGUAGE_SCORE = 0.5
-#: Bits in which fingerprints of linked documents may differ, out of 64: an agreement of 0.8 or more.
-RADIUS = 8
+#: Bits in which fingerprints of linked documents may differ, out of 64: an agreement of 0.9 or more.
+RADIUS = 6
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,15 +42,14 @@ def _trained_by_hand() -> tuple[list[float], float]:
                     h = (h * 131 + c) % 1000003
                 found.add(h % url_filter.BUCKETS)
         rows.append((sorted(found), y))
-    weights, bias = [0.0] * url_filter.BUCKETS, 0.0
+    weights, bias = [0.0] * url_filter.BUCKETS, url_filter.PRIOR
     for _ in range(url_filter.STEPS):
         errors = [y - 1 / (1 + math.exp(-(bias + sum(weights[b] for b in found) / math.sqrt(len(found))))) for found, y in rows]
         shrink = 1 - url_filter.RATE * url_filter.PENALTY
-        weights, bias = [w * shrink for w in weights], bias * shrink
+        weights = [w * shrink for w in weights]
         for (found, _), e in zip(rows, errors, strict=True):
             for b in found:
                 weights[b] += url_filter.RATE * e / math.sqrt(len(found))
-            bias += url_filter.RATE * url_filter.BIAS * e
     return weights, bias
 
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 BUCKETS, ORDERS = 4096, (3, 4, 5)
 MOST_LABELLED = 2000
-#: Of gradient descent; BIAS scales the constant feature, so that it is learnt slowly and unknown addresses are not blocked by it.
-STEPS, RATE, PENALTY, BIAS = 60, 0.4, 0.01, 0.02
+#: Of gradient descent. PRIOR is the fixed intercept, the log odds of an address with nothing known: it is allowed.
+STEPS, RATE, PENALTY, PRIOR = 60, 0.4, 0.01, -0.5
 
 #: Rules (host, path, verdict) of the production filter.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -91,12 +91,12 @@ def buckets(host: Column, path: Column) -> Column:
 
 
 def fit(spark: SparkSession, rows: list[tuple[str, int]] | None = None) -> tuple[list[float], float]:
-    """Weights of the buckets and the bias, from a small table of (url, label 0 or 1). An empty table gives zeros."""
+    """Weights of the buckets and the intercept, from a small table of (url, label 0 or 1). An empty table gives zero weights."""
     rows = labelled() if rows is None else rows
     if len(rows) > MOST_LABELLED:
         raise ValueError(f"at most {MOST_LABELLED} labelled addresses")
     if not rows:
-        return [0.0] * BUCKETS, 0.0
+        return [0.0] * BUCKETS, PRIOR
     table = spark.createDataFrame([(k, u, float(y)) for k, (u, y) in enumerate(rows)], "k int, url string, y double").coalesce(1)
     host, path = parts(F.col("url"))
     # Unit length: each gram weighs 1 / sqrt(number of grams).
@@ -107,23 +107,15 @@ def fit(spark: SparkSession, rows: list[tuple[str, int]] | None = None) -> tuple
     whole = by_row.agg(F.sort_array(F.collect_list(F.struct("k", "y", "o"))).alias("rows"))
 
     def step(a: Column, _: Column) -> Column:
-        bias = F.aggregate(a, F.lit(0.0), lambda s, v: s + v * BIAS)
-
-        def next_values(at: Column) -> Column:
-            margin = lambda r: F.aggregate(r["o"], at["bias"], lambda s, o: s + o["o"] * F.get(at["a"], o["k2"]))
-            return F.transform(F.col("rows"), lambda r: F.get(at["a"], r["k"]) * (1 - RATE * PENALTY) + RATE * (r["y"] - 1 / (1 + F.exp(-margin(r)))))
-
-        return F.get(F.transform(F.array(F.struct(a.alias("a"), bias.alias("bias"))), next_values), F.lit(0))
+        margin = lambda r: F.aggregate(r["o"], F.lit(PRIOR), lambda s, o: s + o["o"] * F.get(a, o["k2"]))
+        return F.transform(F.col("rows"), lambda r: F.get(a, r["k"]) * (1 - RATE * PENALTY) + RATE * (r["y"] - 1 / (1 + F.exp(-margin(r)))))
 
     duals = whole.select(F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.transform("rows", lambda r: F.lit(0.0)), step).alias("a"))
     dual = duals.select(F.posexplode("a").alias("k", "a"))
-    weights, bias = [0.0] * BUCKETS, 0.0
-    for r in dual.join(grams, "k").groupBy("b").agg(F.sum(F.col("a") * F.col("x")).alias("w")).unionByName(dual.agg(F.lit(-1).alias("b"), F.sum("a").alias("w"))).collect():
-        if r["b"] < 0:
-            bias = r["w"] * BIAS
-        else:
-            weights[r["b"]] = r["w"]
-    return weights, bias
+    weights = [0.0] * BUCKETS
+    for r in dual.join(grams, "k").groupBy("b").agg(F.sum(F.col("a") * F.col("x")).alias("w")).collect():
+        weights[r["b"]] = r["w"]
+    return weights, PRIOR
 
 
 def probability(found: Column, weights: list[float], bias: float) -> Column:

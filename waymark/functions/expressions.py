@@ -53,49 +53,33 @@ def centroid(x: Column, y: Column, z: Column) -> tuple[Column, Column]:
     return F.degrees(F.atan2(z, F.sqrt(x * x + y * y))), F.degrees(F.atan2(y, x))
 
 
+def _cell_index(value: Column, low: float, width: float, bits: int) -> Column:
+    """Number of the cell that holds a value when the range is halved `bits` times; a border belongs to the cell above it.
+
+    The first estimate may be a cell off by rounding. Borders are exact in doubles, so one comparison on each side settles it.
+    """
+    size, last = width / (1 << bits), (1 << bits) - 1
+    guess = F.floor((value - low) / size).cast("long")
+    border = guess * size + low
+    exact = F.when(value < border, guess - 1).when(value >= border + size, guess + 1).otherwise(guess)
+    return F.least(F.greatest(exact, F.lit(0)), F.lit(last)).cast("long")
+
+
 def geohash(lat: Column, lon: Column, precision: int) -> Column:
-    """Geohash by halving longitude and latitude in turn, five bits a character."""
-
-    def halve(s: Column, i: Column) -> Column:
-        even = i % 2 == 0
-        value, low, high = F.when(even, lon).otherwise(lat), F.when(even, s["w"]).otherwise(s["s"]), F.when(even, s["e"]).otherwise(s["n"])
-        middle = (low + high) / 2
-        up = value >= middle
-        return F.struct(
-            F.when(even & up, middle).otherwise(s["w"]).alias("w"),
-            F.when(even & ~up, middle).otherwise(s["e"]).alias("e"),
-            F.when(~even & up, middle).otherwise(s["s"]).alias("s"),
-            F.when(~even & ~up, middle).otherwise(s["n"]).alias("n"),
-            (s["bits"] * 2 + up.cast("long")).alias("bits"),
-        )
-
-    box = F.struct(F.lit(-180.0).alias("w"), F.lit(180.0).alias("e"), F.lit(-90.0).alias("s"), F.lit(90.0).alias("n"), F.lit(0).cast("long").alias("bits"))
-    bits = F.aggregate(F.sequence(F.lit(0), F.lit(5 * precision - 1)), box, halve, lambda s: s["bits"])
+    """Geohash: the bits of longitude and latitude in turn, five to a character."""
+    total = 5 * precision
+    across, up = (total + 1) // 2, total // 2
+    x, y = _cell_index(lon, -180.0, 360.0, across), _cell_index(lat, -90.0, 180.0, up)
     letters = F.lit(GEOHASH_ALPHABET)
-    return let(bits, lambda v: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(precision - 1)), lambda k: F.substr(letters, (F.floor(v / F.pow(F.lit(2.0), (precision - 1 - k) * 5)).cast("long") % 32 + 1).cast("int"), F.lit(1))), "")) if precision <= 10 else _long_geohash(lat, lon, precision)
-
-
-def _long_geohash(lat: Column, lon: Column, precision: int) -> Column:
-    """More than ten characters: integer shifts instead of doubles."""
-
-    def halve(s: Column, i: Column) -> Column:
-        even = i % 2 == 0
-        value, low, high = F.when(even, lon).otherwise(lat), F.when(even, s["w"]).otherwise(s["s"]), F.when(even, s["e"]).otherwise(s["n"])
-        middle = (low + high) / 2
-        up = value >= middle
-        bits = s["bits"] * 2 + up.cast("int")
-        full = i % 5 == 4
-        return F.struct(
-            F.when(even & up, middle).otherwise(s["w"]).alias("w"),
-            F.when(even & ~up, middle).otherwise(s["e"]).alias("e"),
-            F.when(~even & up, middle).otherwise(s["s"]).alias("s"),
-            F.when(~even & ~up, middle).otherwise(s["n"]).alias("n"),
-            F.when(full, F.lit(0)).otherwise(bits).alias("bits"),
-            F.when(full, F.concat(s["out"], F.substr(F.lit(GEOHASH_ALPHABET), bits + 1, F.lit(1)))).otherwise(s["out"]).alias("out"),
-        )
-
-    box = F.struct(F.lit(-180.0).alias("w"), F.lit(180.0).alias("e"), F.lit(-90.0).alias("s"), F.lit(90.0).alias("n"), F.lit(0).alias("bits"), F.lit("").alias("out"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(5 * precision - 1)), box, halve, lambda s: s["out"])
+
+    def letter(k: int) -> Column:
+        value = F.lit(0).cast("long")
+        for j in range(5 * k, 5 * k + 5):
+            bit = F.shiftright(x, across - 1 - j // 2) if j % 2 == 0 else F.shiftright(y, up - 1 - j // 2)
+            value = value * 2 + bit.bitwiseAND(F.lit(1).cast("long"))
+        return F.substr(letters, (value + 1).cast("int"), F.lit(1))
+
+    return F.concat(*[letter(k) for k in range(precision)])
 
 
 def stable_id(prefix: str, *parts: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,12 +36,23 @@ def _long(*names: str) -> list[Column]:
 class Layers:
     """All layers of one set of observations, each a DataFrame planned from the same normalized rows.
 
-    `geometry` adds the WKB columns. `persist` keeps the folded rows, for runs that write several layers.
+    `geometry` adds the WKB columns. `keep` keeps the folded rows and the presence intervals in memory or on disk once they are
+    made: most layers read them several times, and the fold runs in Python. `release` gives them up.
     """
 
     source: DataFrame
     cfg: Config
     geometry: bool = False
+    keep: bool = False
+
+    def _kept(self, df: DataFrame) -> DataFrame:
+        if self.keep:
+            self.__dict__.setdefault("_held", []).append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return df
+
+    def release(self) -> None:
+        for df in self.__dict__.pop("_held", []):
+            df.unpersist()
 
     @cached_property
     def normalized(self) -> DataFrame:
@@ -48,11 +60,11 @@ class Layers:
 
     @cached_property
     def folded(self) -> DataFrame:
-        return P.fold(self.normalized, self.cfg)
+        return self._kept(P.fold(self.normalized, self.cfg))
 
     @cached_property
     def presence(self) -> DataFrame:
-        return P.intervals(self.folded, self.cfg)
+        return self._kept(P.intervals(self.folded, self.cfg))
 
     @cached_property
     def moves(self) -> DataFrame:

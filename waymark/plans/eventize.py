@@ -60,10 +60,8 @@ def eventize(spark: SparkSession, path: str, out: str, cfg: Config) -> dict[str,
     reasons = {r[0]: r[1] for r in ingested.rows.where("reject_code is not null").groupBy("reject_code").count().collect()}
     phase("ingest", at)
     at = time.time()
-    layers = Layers(ingested.accepted, cfg, geometry=True)
-    layers.folded = layers.folded.persist(StorageLevel.MEMORY_AND_DISK)
+    layers = Layers(ingested.accepted, cfg, geometry=True, keep=True)
     layers.normalized = layers.folded
-    layers.presence = layers.presence.persist(StorageLevel.MEMORY_AND_DISK)
     stream = E.stream(layers.normalized, layers.folded, layers.presence, cfg).persist(StorageLevel.MEMORY_AND_DISK)
     lines = E.canonical(stream, cfg)
     broken = C.errors(C.parse(lines)).select("event_id", "error").head(1)
@@ -110,6 +108,7 @@ def eventize(spark: SparkSession, path: str, out: str, cfg: Config) -> dict[str,
     }
     with open(os.path.join(out, "manifest.json"), "w", encoding="utf-8") as f:
         json.dump(manifest, f, indent=2, default=str)
-    for df in (stream, layers.presence, layers.folded, ingested.rows):
+    layers.release()
+    for df in (stream, ingested.rows):
         df.unpersist()
     return manifest

@@ -37,8 +37,18 @@ def exact(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
+_last: list[Layers] = []
+
+
 def layers(spark: SparkSession, sf_dir: str) -> Layers:
-    return Layers(mapped_observations(spark, sf_dir), CFG)
+    """Layers for one query. Rows that the query before it kept are given up."""
+    while _last:
+        try:
+            _last.pop().release()
+        except Exception:  # its session has ended
+            continue
+    _last.append(Layers(mapped_observations(spark, sf_dir), CFG, keep=True))
+    return _last[0]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Callable[[Layers], DataFrame]], Callable[[Layers], DataFrame]]:

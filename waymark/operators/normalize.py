@@ -20,7 +20,8 @@ def collapse(observations: DataFrame) -> DataFrame:
     """
     instant = Window.partitionBy("entity_id", "ts_s", "ts_ns").orderBy(F.col("ha").asc_nulls_last(), "lat", "lon", "source_row")
     whole = instant.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = observations.withColumns({
+    # Rows of an entity are in one partition from here on, which serves this window by instant and the next by entity.
+    ranked = observations.repartition(F.col("entity_id")).withColumns({
         "rank": F.row_number().over(instant),
         "sample_count": F.count("*").over(whole),
         "best_lat": F.first("lat").over(whole),

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.config import ANALYSIS_CONTRACT, Config
@@ -295,19 +295,31 @@ class Dataset:
 
 
 def batch_nearest(events: DataFrame, observations: DataFrame, limit: int = 6) -> DataFrame:
-    """For every event its nearest observations in time: candidates come by equi-join on the entity, ranked per event."""
-    from pyspark.sql import Window
-
-    near = observations.select("entity_id", "observation_id", F.unix_millis("ts").alias("o_ms"))
-    joined = events.select("entity_id", "event_id", F.unix_millis("event_time").alias("e_ms")).join(near, "entity_id")
+    """For every event its nearest observations in time, by distance, then time, then identifier.
+
+    Both sides are sorted together once to count the observations up to each event. The nearest are among the last `limit` up to it
+    and the first `limit` after it, which come by equi-joins on their numbers: the work grows with the events, not with all pairs.
+    """
+    rows = observations.select("entity_id", "observation_id", F.unix_millis("ts").alias("o_ms"))
+    asked = events.select("entity_id", "event_id", F.unix_millis("event_time").alias("e_ms"))
+    none = F.lit(None).cast("string")
+    both = rows.select("entity_id", F.col("o_ms").alias("ms"), F.lit(1).alias("seen"), none.alias("event_id")).unionByName(asked.select("entity_id", F.col("e_ms").alias("ms"), F.lit(0).alias("seen"), "event_id"))
+    upto = F.sum("seen").over(Window.partitionBy("entity_id").orderBy("ms").rangeBetween(Window.unboundedPreceding, 0))
+    counted = both.withColumn("upto", upto).where("event_id is not null").select("entity_id", "event_id", F.col("ms").alias("e_ms"), "upto")
+    # Equal times are numbered so that the smaller identifiers are nearer on both sides.
+    before = rows.withColumn("number", F.row_number().over(Window.partitionBy("entity_id").orderBy("o_ms", F.desc("observation_id"))).cast("long"))
+    after = rows.withColumn("number", F.row_number().over(Window.partitionBy("entity_id").orderBy("o_ms", "observation_id")).cast("long"))
+
+    def near(numbered: DataFrame, first: Column, last: Column) -> DataFrame:
+        return counted.select("entity_id", "event_id", "e_ms", F.explode(F.sequence(first, last)).alias("number")).join(numbered, ["entity_id", "number"])
+
+    found = near(before, F.col("upto") - limit + 1, F.col("upto")).unionByName(near(after, F.col("upto") + 1, F.col("upto") + limit))
     by_event = Window.partitionBy("entity_id", "event_id").orderBy(F.abs(F.col("o_ms") - F.col("e_ms")), "o_ms", "observation_id")
-    return joined.withColumn("nth", F.row_number().over(by_event)).where(F.col("nth") <= limit).select("event_id", "nth", "observation_id")
+    return found.withColumn("nth", F.row_number().over(by_event)).where(F.col("nth") <= limit).select("event_id", "nth", "observation_id")
 
 
 def batch_previous(events: DataFrame, observations: DataFrame) -> DataFrame:
     """As-of join: for every event the last observation before its time, by one sort of both sides together instead of a join."""
-    from pyspark.sql import Window
-
     both = observations.select("entity_id", F.unix_millis("ts").alias("ms"), F.lit(1).alias("side"), F.lit(None).cast("string").alias("event_id"), "observation_id").unionByName(
         events.select("entity_id", F.unix_millis("event_time").alias("ms"), F.lit(0).alias("side"), "event_id", F.lit(None).cast("string").alias("observation_id")))
     before = Window.partitionBy("entity_id").orderBy("ms", "side", "observation_id").rowsBetween(Window.unboundedPreceding, -1)

@@ -20,6 +20,7 @@ from waymark.sources.csv_input import judge
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")  # the table's times carry no zone
     return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
 
 

@@ -26,6 +26,7 @@ m AS (SELECT id, t_us, source_row, lat, lon, ha FROM b
 
 def mapped_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(entity_id, ts_s, ts_ns, source_row, lat, lon, ha, lat_places, lon_places); places are those of the number as Spark writes it."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")  # the table's times carry no zone
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     numbered = events.select(
         "event_id", "user_id", "event_type", "value",

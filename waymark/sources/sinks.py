@@ -7,10 +7,12 @@ import hashlib
 import json
 import os
 import shutil
+from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.config import ANALYSIS_CONTRACT, EVENTIZER_VERSION, Config
@@ -48,23 +50,33 @@ def file_metadata(name: str, cfg: Config) -> dict[str, str]:
     return meta
 
 
-def stamp(folder: str, meta: dict[str, str]) -> None:
-    """Adds key-value metadata to every file of a layer, which Spark's writer cannot; row group by row group."""
-    for name in sorted(os.listdir(folder)):
-        if not name.endswith(".parquet"):
-            continue
-        path = os.path.join(folder, name)
-        source = pq.ParquetFile(path)
-        codec = source.metadata.row_group(0).column(0).compression if source.metadata.num_row_groups else "SNAPPY"
-        schema = source.schema_arrow.with_metadata({**(source.schema_arrow.metadata or {}), **{k.encode(): v.encode() for k, v in meta.items()}})
-        with pq.ParquetWriter(path + ".new", schema, compression=codec if codec != "UNCOMPRESSED" else "NONE", coerce_timestamps="ms", allow_truncated_timestamps=True) as writer:
-            for k in range(source.metadata.num_row_groups):
-                writer.write_table(source.read_row_group(k).replace_schema_metadata(schema.metadata), row_group_size=max(1, source.metadata.row_group(k).num_rows))
-        source.close()
-        os.replace(path + ".new", path)
-        checksum = os.path.join(folder, f".{name}.crc")
-        if os.path.exists(checksum):
-            os.remove(checksum)
+def stamp_file(path: str, meta: dict[str, str]) -> None:
+    """Adds key-value metadata to a file, row group by row group; the new file takes the old one's place at once, so a repeated task does no harm."""
+    source = pq.ParquetFile(path)
+    codec = source.metadata.row_group(0).column(0).compression if source.metadata.num_row_groups else "SNAPPY"
+    schema = source.schema_arrow.with_metadata({**(source.schema_arrow.metadata or {}), **{k.encode(): v.encode() for k, v in meta.items()}})
+    with pq.ParquetWriter(path + ".new", schema, compression=codec if codec != "UNCOMPRESSED" else "NONE", coerce_timestamps="ms", allow_truncated_timestamps=True) as writer:
+        for k in range(source.metadata.num_row_groups):
+            writer.write_table(source.read_row_group(k).replace_schema_metadata(schema.metadata), row_group_size=max(1, source.metadata.row_group(k).num_rows))
+    source.close()
+    os.replace(path + ".new", path)
+    checksum = os.path.join(os.path.dirname(path), f".{os.path.basename(path)}.crc")
+    if os.path.exists(checksum):
+        os.remove(checksum)
+
+
+def stamp(spark: SparkSession, folder: str, meta: dict[str, str]) -> None:
+    """Adds key-value metadata to every file of a layer, which Spark's writer cannot: a task for each file, over the folder that all share."""
+    paths = [os.path.join(os.path.abspath(folder), n) for n in sorted(os.listdir(folder)) if n.endswith(".parquet")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                stamp_file(path, meta)
+            yield batch
+
+    if paths:
+        spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths)).mapInArrow(run, "path string").count()
 
 
 def write_layer(df: DataFrame, out: str, name: str, cfg: Config) -> str:
@@ -73,7 +85,7 @@ def write_layer(df: DataFrame, out: str, name: str, cfg: Config) -> str:
     ordered = df.repartitionByRange(*[F.col(c) for c in SORT[name]]).sortWithinPartitions(*SORT[name])
     writer = ordered.write.mode("overwrite").option("compression", {"none": "uncompressed"}.get(cfg.parquet_compression, cfg.parquet_compression))
     writer.option("parquet.block.row.count.limit", cfg.parquet_row_group_rows).option("parquet.dictionary.page.size", max(1, cfg.parquet_dictionary_max_bytes)).parquet(path)
-    stamp(path, file_metadata(name, cfg))
+    stamp(df.sparkSession, path, file_metadata(name, cfg))
     return path
 
 

@@ -62,6 +62,11 @@ class Layers:
     def folded(self) -> DataFrame:
         return self._kept(P.fold(self.normalized, self.cfg))
 
+    @property
+    def rows(self) -> DataFrame:
+        """Normalized rows for layers that need the fold as well: the kept ones, if they are kept."""
+        return self.folded if self.keep else self.normalized
+
     @cached_property
     def presence(self) -> DataFrame:
         return self._kept(P.intervals(self.folded, self.cfg))
@@ -109,15 +114,15 @@ class Layers:
 
     @cached_property
     def tracks(self) -> DataFrame:
-        return tracks(self.normalized, self.presence, self.moves, self.geometry)
+        return tracks(self.rows, self.presence, self.moves, self.geometry)
 
     @cached_property
     def entities(self) -> DataFrame:
-        return entities(self.normalized, self.folded, self.presence, self.moves)
+        return entities(self.rows, self.folded, self.presence, self.moves)
 
     @cached_property
     def events(self) -> DataFrame:
-        return E.events(self.normalized, self.folded, self.presence, self.cfg, self.geometry)
+        return E.events(self.rows, self.folded, self.presence, self.cfg, self.geometry)
 
 
 def segments(normalized: DataFrame, geometry: bool = False) -> DataFrame:

@@ -255,7 +255,7 @@ _events("enter_leave_events", "ENTER", "LEAVE")
 
 @query("event_order", O.events("SELECT id AS entity_id, seq, event_type, event_id FROM ev"))
 def event_order(L: Layers) -> DataFrame:
-    return E.stream(L.normalized, L.folded, L.presence, CFG).select("entity_id", F.col("seq").cast("long").alias("seq"), "event_type", "event_id")
+    return E.stream(L.rows, L.folded, L.presence, CFG).select("entity_id", F.col("seq").cast("long").alias("seq"), "event_type", "event_id")
 
 
 def dataset(L: Layers) -> Dataset:

@@ -78,7 +78,7 @@ ORACLE["coordinate_precision"] = "SELECT 'lat_' || ['0', '2', 'scientific', '6']
 def validate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canonical stream with its units turned from seconds to metres: counts of broken rules."""
     L = layers(spark, sf_dir)
-    lines = E.canonical(E.stream(L.normalized, L.folded, L.presence, CFG), CFG)
+    lines = E.canonical(E.stream(L.rows, L.folded, L.presence, CFG), CFG)
     spoilt = lines.withColumn("value", F.regexp_replace("value", '"unit":"s"', '"unit":"m"'))
     return C.errors(C.parse(spoilt)).groupBy("error").agg(F.count("*").alias("n"))
 
@@ -137,7 +137,7 @@ def wkb_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 def canonical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event stream as JSON lines."""
     L = layers(spark, sf_dir)
-    return E.canonical(E.stream(L.normalized, L.folded, L.presence, CFG), CFG)
+    return E.canonical(E.stream(L.rows, L.folded, L.presence, CFG), CFG)
 
 
 for _name, _query in (("timestamp_parse", timestamp_parse), ("reject_counts", reject_counts), ("coordinate_precision", coordinate_precision), ("validate_events", validate_events), ("target_population", target_population), ("reversals", reversals), ("wkb_geometry", wkb_geometry), ("canonical_events", canonical_events)):

@@ -14,13 +14,15 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import column_bytes, connected_components, cut, slices
+from waymark.llm.common import column_bytes, connected_components, cut, document_batches, slices
 
 #: Shingles hashed at a time, and fingerprints that one task compares with each other at most.
 SHINGLE_BLOCK, TILE = 1 << 15, 8192
+#: Rows of keys that a task compares at a time, besides those of one key.
+KEY_ROWS = 1 << 16
 #: Bits that a key should have, for up to so many distinct fingerprints and beyond: more fingerprints need keys that select better.
 KEY_BITS, MANY, KEY_BITS_OF_MANY = 20, 20_000_000, 26
 
@@ -47,6 +49,7 @@ def fingerprint(text: bytes | None, shingle: int) -> int:
 
 def fingerprints(docs: DataFrame, keys: list[str], text_col: str = "text", shingle: int = 4) -> DataFrame:
     """The key columns and fp, the fingerprint's bits as a signed long. Null and blank texts have 0."""
+    document_batches(docs.sparkSession)
     typed = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,6 +113,8 @@ def near(a: np.ndarray, b: np.ndarray, m: int, radius: int) -> np.ndarray:
 def spanning_links(key: np.ndarray, fp: np.ndarray, m: int, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Links that connect what pairs within `radius` connect, in runs of equal keys. Large runs are searched breadth first, so a dense group of n gives n - 1 links."""
     us, vs = [], []
+    if not len(key):
+        return us, vs
     bounds = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
     sizes = np.diff(bounds)
     small = np.repeat((sizes > 1) & (sizes <= 24), sizes)
@@ -135,6 +140,21 @@ def spanning_links(key: np.ndarray, fp: np.ndarray, m: int, radius: int) -> tupl
     return us, vs
 
 
+def _hot_keys(keys: DataFrame, rows: int) -> DataFrame | None:
+    """(key, chunks) of keys with more than TILE fingerprints; None if there are none.
+
+    Keys are counted in buckets first, which tasks combine before the shuffle; only keys of buckets over TILE are counted one by one.
+    """
+    buckets = 1 << int(np.clip(np.ceil(np.log2(max(1, rows) / 64)), 16, 26))
+    bucket = F.pmod("key", F.lit(buckets))
+    heavy = cut(keys.groupBy(bucket.alias("bucket")).count().where(F.col("count") > TILE).select("bucket"))
+    if heavy.isEmpty():
+        return None
+    counted = keys.withColumn("bucket", bucket).join(heavy, "bucket", "left_semi").groupBy("key").count()
+    hot = cut(counted.where(F.col("count") > TILE).select("key", F.ceil(F.col("count") / TILE).cast("int").alias("chunks")))
+    return None if hot.isEmpty() else hot
+
+
 def fingerprint_links(distinct: DataFrame, radius: int = 4, segments: int | None = None) -> DataFrame:
     """Links (u, v) between distinct fingerprints (column fp) whose components are those of all pairs within `radius` bits.
 
@@ -147,43 +167,44 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4, segments: int | None
     for w in segment_widths(m):
         parts.append((at, w))
         at += w
-    def packed(pattern: tuple[int, ...]):
+
+    def packed(pattern: tuple[int, ...]) -> Column:
         value, used = F.lit(0).cast("long"), 0
         for s in pattern:
             start, width = parts[s]
             value = value.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.col("fp"), start).bitwiseAND(F.lit((1 << width) - 1).cast("long")), used))
             used += width
         return value
+
     patterns = zero_patterns(m, radius)
-    keys = distinct.select("fp", F.posexplode(F.array(*[packed(p) for p in patterns])).alias("pattern", "bits"))
-    if n > TILE:
-        hot = keys.groupBy("pattern", "bits").count().where(F.col("count") > TILE).select("pattern", "bits", F.ceil(F.col("count") / TILE).cast("int").alias("chunks"))
-        tiled = keys.join(hot, ["pattern", "bits"], "left")
-        mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-        other = F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(-1))).otherwise(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c != mine)))
-        tiled = tiled.select("fp", "pattern", "bits", F.coalesce(mine, F.lit(-1)).alias("mine"), other.alias("other"))
-        keys = tiled.select("fp", "pattern", "bits", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
-    else:
-        keys = keys.withColumns({"low": F.lit(-1), "high": F.lit(-1)})
-    keys = keys.select(F.xxhash64("pattern", "bits", "low", "high").alias("key"), "fp").repartition(F.col("key")).sortWithinPartitions("key")
+    bits = F.posexplode(F.array(*[packed(p) for p in patterns])).alias("pattern", "bits")
+    keys = distinct.select("fp", bits).select("fp", F.xxhash64("pattern", "bits").alias("key"))
+    hot = _hot_keys(keys, n * len(patterns))
+    if hot is not None:
+        chunks = keys.join(hot, "key", "left").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+        others = F.when(F.col("chunks").isNull(), F.array(F.lit(-1))).otherwise(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c != F.col("mine")))
+        tiled = chunks.withColumn("other", F.explode(others))
+        pair = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
+        keys = tiled.select("fp", F.when(F.col("chunks").isNull(), F.col("key")).otherwise(pair).alias("key"))
+    keys = keys.repartition(F.col("key")).sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_key, kept_fp = np.empty(0, np.int64), np.empty(0, np.uint64)
-
-        def out(key, fp):
-            us, vs = spanning_links(key, fp, m, radius)
-            if us and sum(map(len, us)):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def links(last: bool) -> pa.RecordBatch | None:
+            """Links among the held rows; those of the last key stay, as they may go on, unless it is the end."""
+            key, fp = (np.concatenate(x) for x in zip(*held))
+            end = len(key) if last else int(np.searchsorted(key, key[-1]))
+            held[:] = [(key[end:], fp[end:])]
+            us, vs = spanning_links(key[:end], fp[:end], m, radius)
+            if sum(map(len, us)):
                 return pa.record_batch([pa.array(np.concatenate(x).view(np.int64)) for x in (us, vs)], names=["u", "v"])
 
         for batch in batches:
-            key = np.r_[kept_key, batch.column("key").to_numpy(zero_copy_only=False)]
-            fp = np.r_[kept_fp, batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)]
-            # The last key's rows may go on in the next batch.
-            end = np.searchsorted(key, key[-1]) if len(key) else 0
-            if end and (found := out(key[:end], fp[:end])):
+            held.append((batch.column("key").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)))
+            if sum(len(k) for k, _ in held) >= KEY_ROWS and (found := links(False)):
                 yield found
-            kept_key, kept_fp = key[end:], fp[end:]
-        if len(kept_key) and (found := out(kept_key, kept_fp)):
+        if held and (found := links(True)):
             yield found
 
     return keys.mapInArrow(run, "u long, v long").distinct()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import column_bytes, slices
+from waymark.llm.common import column_bytes, document_batches, slices
 
 SAMPLE_RATE, TARGET_RATE = 16_000, 8_000
 TAPS = 24
@@ -180,6 +180,7 @@ def spell(mel: np.ndarray, active: list[tuple[int, int]]) -> str:
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_bytes, media): each whole text as a WAV file. Null texts are empty ones; the shortest payload is UNIT spaces."""
+    document_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

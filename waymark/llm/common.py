@@ -29,12 +29,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows and bytes of one Arrow batch of documents between the JVM and Python.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def document_batches(spark: SparkSession) -> None:
+    """Lowers the session's limits of Arrow batches to BATCH_ROWS and BATCH_BYTES: whole documents are large rows, and both sides hold a batch at a time."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key)
+        size = int(now[:-1] if now.endswith("b") else now) if now.rstrip("b").lstrip("-").isdigit() else 0
+        if not 0 < size <= most:
+            spark.conf.set(key, str(most))
+
+
 def column_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """A string column's values in UTF-8."""
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def slices(batches: Iterator[pa.RecordBatch], weight: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], weight: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts record batches into slices with about `most` bytes in column `weight`, one row at least."""
     for batch in batches:
         n, start, size = batch.num_rows, 0, 0

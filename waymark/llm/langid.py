@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import cut, slices
+from waymark.llm.common import cut, document_batches, slices
 
 BITS, ORDERS = 15, (1, 2, 3)
 BUCKETS = 1 << BITS
@@ -136,6 +136,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     Document frequencies count every such row. The sample takes a row if the hash of its id falls below per_language over the
     language's rows, so its size follows the number of languages, not of rows. One in five sample rows calibrates.
     """
+    document_batches(docs.sparkSession)
     labelled = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("t"))
     rates = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     languages = sorted(r["lang"] for r in rates)
@@ -190,6 +191,7 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", lang_name:
 
     Null, empty and letterless texts have language `und` and score 0, and so has every text if the model knows no language.
     """
+    document_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if keep_text or c != text_col]
     typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if keep_text or f.name != text_col)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import column_bytes, slices
+from waymark.llm.common import column_bytes, document_batches, slices
 
 WORD_BUCKETS, RANK = 1 << 15, 8
 #: Expected labelled rows that the weights are fitted on.
@@ -152,6 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text", chars_col: str | None = "n_chars", score_name: str = "score") -> DataFrame:
     """All columns of `docs` but the text, and the probability of label 1. Null texts count as empty; a null n_chars as unknown metadata."""
+    document_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c != text_col]
     known = chars_col if chars_col in kept else None

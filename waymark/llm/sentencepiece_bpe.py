@@ -20,11 +20,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import column_bytes, slices
+from waymark.llm.common import column_bytes, document_batches, slices
 
 MARK = "▁"
-#: Words kept with their ids in each Python worker, and the longest word kept.
-CACHE_WORDS, CACHE_LENGTH = 250_000, 256
+#: Words kept with their ids in each of two generations in a Python worker, and the longest word kept.
+CACHE_WORDS, CACHE_LENGTH = 150_000, 256
 #: Characters merged together at a time (a longer word alone), and bytes of text split into words at a time.
 MERGE_CHARS, SLICE_BYTES = 1 << 17, 2 << 20
 NONE = np.int64(1) << 40
@@ -256,7 +256,7 @@ class Codec:
     """Encodes and decodes texts with one vocabulary; keeps words that it has met."""
 
     def __init__(self, model: bytes):
-        self.vocabulary, self.cache = Vocabulary(model), {}
+        self.vocabulary, self.cache, self.older = Vocabulary(model), {}, {}
         self.names = [b"%d," % i for i in range(self.vocabulary.size)]
 
     def words(self, text: str) -> list[str]:
@@ -266,9 +266,12 @@ class Codec:
         """For each word of each text: number of ids, the ids in decimal digits with a comma after each, the ids' surfaces in UTF-8, the ids as 32-bit integers."""
         split = [self.words(t) for t in texts]
         if len(self.cache) > CACHE_WORDS:
-            self.cache = {}
-        cache = self.cache
-        new = list(set().union(*split).difference(cache))
+            self.cache, self.older = {}, self.cache
+        cache, older = self.cache, self.older
+        unmet = set().union(*split).difference(cache)
+        again = unmet.intersection(older)
+        cache.update({w: older[w] for w in again})
+        new = list(unmet.difference(again))
         names, surface, long_words = self.names, self.vocabulary.surface, []
         for word, ids in zip(new, encode_words(self.vocabulary, new)):
             cache[word] = (len(ids), b"".join([names[i] for i in ids]), b"".join([surface[i] for i in ids]), array("i", ids).tobytes())
@@ -342,6 +345,7 @@ def tokenize(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     left out. The model file is read on the driver only and sent to the executors as a broadcast of its own size. ids_text holds
     the ids in decimal digits, joined by commas.
     """
+    document_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
     id_type = docs.schema[id_col].dataType.simpleString()

@@ -97,7 +97,8 @@ def fit(spark: SparkSession, rows: list[tuple[str, int]] | None = None) -> tuple
         raise ValueError(f"at most {MOST_LABELLED} labelled addresses")
     if not rows:
         return [0.0] * BUCKETS, PRIOR
-    table = spark.createDataFrame([(k, u, float(y)) for k, (u, y) in enumerate(rows)], "k int, url string, y double").coalesce(1)
+    listed = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(u).alias("url"), F.lit(float(y)).alias("y")) for k, (u, y) in enumerate(rows)])
+    table = spark.range(0, 1, 1, 1).select(F.inline(listed))
     host, path = parts(F.col("url"))
     # Unit length: each gram weighs 1 / sqrt(number of grams).
     grams = table.select("k", "y", buckets(host, path).alias("b")).select("k", "y", F.explode("b").alias("b"), (1 / F.sqrt(F.size("b"))).alias("x"))

@@ -119,10 +119,17 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, dims: int
 
 
 def fit_temperature(logits: np.ndarray, targets: np.ndarray) -> float:
-    """The temperature with the least negative log-likelihood, by golden section over its logarithm."""
-    if not len(logits):
+    """The temperature with the least cross-entropy, by golden section over its logarithm.
+
+    The right class counts (n + 1) / (n + 2) and the others share the rest, so that a sample without errors does not make every
+    score 1.
+    """
+    n, k = logits.shape if logits.ndim == 2 else (0, 0)
+    if n == 0 or k < 2:
         return 1.0
-    loss = lambda t: -np.log(np.maximum(softmax(logits / np.exp(t))[np.arange(len(targets)), targets], 1e-12)).mean()
+    wanted = np.full((n, k), 1 / ((n + 2) * (k - 1)))
+    wanted[np.arange(n), targets] = (n + 1) / (n + 2)
+    loss = lambda t: -(wanted * np.log(np.maximum(softmax(logits / np.exp(t)), 1e-300))).sum(1).mean()
     a, b, g = np.log(0.02), np.log(20.0), (np.sqrt(5) - 1) / 2
     for _ in range(40):
         c, d = b - g * (b - a), a + g * (b - a)
@@ -133,8 +140,8 @@ def fit_temperature(logits: np.ndarray, targets: np.ndarray) -> float:
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """A model from all rows of `docs` with a language. Texts without letters teach nothing.
 
-    Document frequencies count every such row. The sample takes a row if the hash of its id falls below per_language over the
-    language's rows, so its size follows the number of languages, not of rows. One in five sample rows calibrates.
+    Document frequencies count every such row. The sample takes a row if the hash of its id and text falls below per_language over
+    the language's rows, so its size follows the number of languages, not of rows. One in five sample rows calibrates.
     """
     document_batches(docs.sparkSession)
     labelled = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("t"))
@@ -162,7 +169,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
 
     if not languages:
         return Model([], np.zeros(BUCKETS), np.zeros((BUCKETS + 1, 0)), 1.0)
-    draw = F.pmod(F.xxhash64(F.lit("langid"), F.coalesce("i", F.lit(""))), F.lit(1 << 30))
+    draw = F.pmod(F.xxhash64(F.lit("langid"), F.coalesce("i", F.lit("")), F.coalesce("t", F.lit(""))), F.lit(1 << 30))
     chance = F.coalesce(F.element_at(F.create_map(*[x for lang, r in rate.items() for x in (F.lit(lang), F.lit(r))]), F.col("lang")), F.lit(0.0))
     marked = labelled.select("t", "lang", draw.alias("draw")).withColumn("chosen", F.col("draw") < chance * F.lit(float(1 << 30)))
     parts = cut(marked.mapInArrow(run, "lang int, draw long, buckets array<int>, counts array<long>"))
@@ -172,8 +179,8 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     for row in per_task.select(F.explode(F.arrays_zip("buckets", "counts")).alias("x")).groupBy("x.buckets").agg(F.sum("x.counts").alias("n")).collect():
         frequency[row[0]] = row[1]
     idf = np.log((1 + total) / (1 + frequency)) + 1
-    # Sorted by hash, so that the order of training does not depend on the tasks.
-    sample = parts.where("lang >= 0").orderBy("draw", "lang").toArrow()
+    # Copies of a row draw alike and count once, so one id cannot fill the sample. Sorted by hash: the order of training does not depend on the tasks.
+    sample = parts.where("lang >= 0").dropDuplicates(["lang", "draw"]).orderBy("draw", "lang").toArrow()
     model = Model(languages, idf, np.zeros((BUCKETS + 1, len(languages))), 1.0)
     rows = []
     for lang, buckets, counts in zip(sample["lang"].to_pylist(), sample["buckets"], sample["counts"]):

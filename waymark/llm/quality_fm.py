@@ -129,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     A label row enters the sample if the hash of its id falls below a rate that gives each class half of sample_rows; only the
     sample, whose bound does not grow with the corpus, is broadcast and joined to the texts.
     """
-    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__fm_id"), F.col(label_col).cast("int").alias("y"))
+    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__fm_id"), F.col(label_col).cast("int").alias("y")).where("__fm_id is not null").distinct()
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     if len(counts) < 2:
         model = train([])
@@ -139,7 +139,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     rate = F.when(F.col("y") == 1, F.lit(sample_rows / 2 / counts[1])).otherwise(F.lit(sample_rows / 2 / counts[0]))
     sample = F.broadcast(known.withColumn("draw", draw).where(F.col("draw") < rate * F.lit(float(1 << 30))))
     chars = F.col(chars_col).cast("long") if chars_col and chars_col in docs.columns else F.lit(None).cast("long")
-    rows = docs.select(F.col(id_col).alias("__fm_id"), F.col(text_col).cast("string").alias("t"), chars.alias("n")).join(sample, "__fm_id").select("t", "n", "y", "draw")
+    rows = docs.select(F.col(id_col).alias("__fm_id"), F.col(text_col).cast("string").alias("t"), chars.alias("n")).join(sample, "__fm_id")
+    # One text for each label row, whatever number of documents bear its id.
+    rows = rows.groupBy("__fm_id", "y", "draw").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t", "n")).alias("d")).select("d.t", "d.n", "y", "draw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t"):

@@ -15,7 +15,7 @@ from waymark.llm import langid, line_dedup, mixing, sentencepiece_bpe, simhash
 from waymark.llm.common import ensure_checkpoint_dir
 
 #: A document whose best language has a smaller probability, or that has no letters, is rejected.
-LEAST_LANGUAGE_SCORE = 0.35
+LEAST_LANGUAGE_SCORE = 0.25
 #: Bits in which fingerprints of linked documents may differ, out of 64: an agreement of 0.9 or more.
 RADIUS = 6
 

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.config import EVENTIZER_VERSION, Config
@@ -135,7 +135,7 @@ def segments(normalized: DataFrame, geometry: bool = False) -> DataFrame:
     rows = normalized
     extra = []
     if geometry:
-        part = F.sum((inner & F.col("is_gap")).cast("int")).over(N.Window.partitionBy(*key).orderBy("idx"))
+        part = F.sum((inner & F.col("is_gap")).cast("int")).over(Window.partitionBy(*key).orderBy("idx"))
         rows = rows.withColumn("_part", part)
         extra = [F.sort_array(F.collect_list(F.struct("idx", F.col("_part").alias("part"), "lon", "lat"))).alias("_points")]
     made = rows.groupBy(*key).agg(

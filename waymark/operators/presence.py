@@ -33,7 +33,7 @@ _MADE_DDL = ", ".join(f"{f.name} {dict(string='string', int32='int', int64='long
 class Machine:
     """The state between two rows of one stretch. `step` takes a row and returns what it decides."""
 
-    __slots__ = ("cfg", "first", "phase", "anchor", "reason", "count", "no", "last", "candidate", "pending")
+    __slots__ = ("cfg", "phase", "anchor", "reason", "no", "last", "candidate", "pending")
 
     def __init__(self, cfg: Config):
         self.cfg = cfg

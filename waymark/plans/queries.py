@@ -162,12 +162,19 @@ def bearing(L: Layers) -> DataFrame:
     return L.normalized.where("is_discontinuity").select("entity_id", F.col("idx").cast("long").alias("idx"), b.alias("bearing_deg"), X.sector(b).alias("bearing_8"), X.sector(b, X.SECTORS_16).alias("bearing_16"))
 
 
-@query("stable_ids", O.steps(f"SELECT DISTINCT id AS entity_id, track_id, {O.sid('seg', 'track_id', 'CAST(seg AS VARCHAR)')} AS segment_id, {O.sid('obs', 'track_id', O.text_time('t_us'), chr(39) + chr(39))} AS of_time FROM s"))
+_OF_TIME = O.sid("obs", "track_id", O.text_time("t_us"), "''")
+
+
+@query("stable_ids", O.steps(f"SELECT DISTINCT id AS entity_id, track_id, {O.sid('seg', 'track_id', 'CAST(seg AS VARCHAR)')} AS segment_id, {_OF_TIME} AS of_time FROM s"))
 def stable_ids(L: Layers) -> DataFrame:
     return L.normalized.select("entity_id", "track_id", "segment_id", X.stable_id("obs", F.col("track_id"), F.col("ts_text"), F.lit("")).alias("of_time")).distinct()
 
 
-@query("observation_ids", O.steps(f"SELECT id AS entity_id, idx, {O.sid('obs', 'track_id', O.text_time('t_us'), _f := 'printf(' + chr(39) + '%.9f' + chr(39) + ', lat)', _f.replace('lat', 'lon'), 'coalesce(printf(' + chr(39) + '%.3f' + chr(39) + ', ha), ' + chr(39) + 'missing' + chr(39) + ')')} AS observation_id, {O.fix()} AS fix_id FROM s"))
+_WRITTEN = ("printf('%.9f', lat)", "printf('%.9f', lon)", "coalesce(printf('%.3f', ha), 'missing')")
+_OBS = O.sid("obs", "track_id", O.text_time("t_us"), *_WRITTEN)
+
+
+@query("observation_ids", O.steps(f"SELECT id AS entity_id, idx, {_OBS} AS observation_id, {O.fix()} AS fix_id FROM s"))
 def observation_ids(L: Layers) -> DataFrame:
     return L.folded.select("entity_id", F.col("idx").cast("long").alias("idx"), X.stable_id("obs", F.col("track_id"), F.col("ts_text"), F.col("lat9"), F.col("lon9"), F.col("ha3")).alias("observation_id"), P.fingerprint().alias("fix_id"))
 
@@ -355,9 +362,6 @@ def top_entities_in_cell(L: Layers) -> DataFrame:
     return cells(L).top_entities(_busy(L)).limit(10).select("entity_id", "observation_count", "first_seen")
 
 
-_OBS = O.sid("obs", "track_id", O.text_time("t_us"), "printf('%.9f', lat)", "printf('%.9f', lon)", "coalesce(printf('%.3f', ha), 'missing')")
-
-
 @query("nearest_observations", O.events(f"""SELECT event_id, nth, observation_id FROM (SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY abs(o.o_ms - e.e_ms), o.o_ms, observation_id) AS nth, observation_id
   FROM (SELECT id, event_id, t_us // 1000 AS e_ms FROM ev WHERE event_type = 'GAP') e JOIN (SELECT id, {_OBS} AS observation_id, t_us // 1000 AS o_ms FROM s) o USING (id)) WHERE nth <= 6"""))
 def nearest_observations(L: Layers) -> DataFrame:

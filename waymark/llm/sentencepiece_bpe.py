@@ -20,7 +20,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import column_bytes, document_batches, slices
+from waymark.llm.common import document_batches, slices
 
 MARK = "▁"
 #: Words kept with their ids in each of two generations in a Python worker, and the longest word kept.

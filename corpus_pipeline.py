@@ -16,8 +16,8 @@ from waymark.llm.common import ensure_checkpoint_dir
 
 #: A document whose best language has a smaller probability, or that has no letters, is rejected.
 LEAST_LANGUAGE_SCORE = 0.25
-#: Bits in which fingerprints of linked documents may differ, out of 64: an agreement of 0.9 or more.
-RADIUS = 6
+#: Documents are linked if their fingerprints differ in so many of 64 bits at most, or their shingle sets have this Jaccard similarity.
+RADIUS, SIMILARITY = 6, 0.8
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +35,8 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, by fingerprints of five-word shingles."""
-    return simhash.keep_one(docs, shingle=5, radius=RADIUS)
+    """One document of each group of near-duplicates, by five-word shingles: their fingerprints, and the similarity of their sets."""
+    return simhash.keep_one(docs, shingle=5, radius=RADIUS, similarity=SIMILARITY)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -362,6 +362,25 @@ def test_fingerprints_and_groups(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4, 5, 6]
 
 
+def test_texts_that_share_four_fifths_of_their_shingles_are_one(spark):
+    rnd = random.Random(8)
+    text, rows, far = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)], [], 0
+    shingles = lambda words: {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+    for i in range(0, 80, 2):
+        a = text(400)
+        b = list(a)
+        for at in range(20, 20 + 40 * (8 if i < 60 else 13), 40)[: 8 if i < 60 else 13]:
+            b[at % 400] = "other" + str(at)
+        b = b if i < 60 else b[:250] + text(150)
+        s, t = shingles(a), shingles(b)
+        assert (len(s & t) / len(s | t) >= 0.8) == (i < 60)
+        far += i < 60 and (simhash.fingerprint(" ".join(a).encode(), 5) ^ simhash.fingerprint(" ".join(b).encode(), 5)).bit_count() > 6
+        rows += [(i, " ".join(a), "en", "s", 0), (i + 1, " ".join(b), "en", "s", 0)]
+    assert far >= 10
+    kept = {r["doc_id"] for r in simhash.keep_one(docs(spark, rows), shingle=5, radius=6).collect()}
+    assert kept == {i for i in range(80) if i % 2 == 0 or i > 60}
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(900, 901), (901, 900), (7, 7)], "u long, v long")
     found = {r["node"]: r["root"] for r in connected_components(chain).collect()}

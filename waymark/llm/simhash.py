@@ -4,6 +4,9 @@ Fingerprints come from XXH64 of word shingles. Two fingerprints that differ in a
 segments on a ring, have a start from which every chain of l consecutive segments differs in at most l * radius / m bits.
 The budgets of short chains force whole segments to be equal, which gives the join keys; candidates that share a key must
 then show such a start before their bits are counted in full.
+
+Fingerprints of texts whose shingle sets have a Jaccard similarity of 0.8 differ in about 10 bits, too many for such keys. keep_one
+therefore also links by the sets themselves: MinHash bands give the candidates, and their exact similarity decides.
 """
 
 from __future__ import annotations
@@ -25,10 +28,15 @@ SHINGLE_BLOCK, TILE = 1 << 15, 8192
 KEY_ROWS = 1 << 16
 #: Bits that a key should have, for up to so many distinct fingerprints and beyond: more fingerprints need keys that select better.
 KEY_BITS, MANY, KEY_BITS_OF_MANY = 20, 20_000_000, 26
+#: MinHash bands and values a band. A pair of similarity s shares no band with probability (1 - s^ROWS)^BANDS: 3e-6 at 0.8.
+BANDS, ROWS = 32, 5
+_XOR, _ODD = (np.random.default_rng(seed).integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1) for seed in (1, 2))
+#: Shingles of a text for which MinHash values are computed at a time.
+MINHASH_BLOCK = 1 << 11
 
 
-def fingerprint(text: bytes | None, shingle: int) -> int:
-    """64-bit SimHash of a text in UTF-8: A-Z lower-cased, words between ASCII white space, shingles with repeats."""
+def fingerprint(text: bytes | None, shingle: int, seen: list[np.ndarray] | None = None) -> int:
+    """64-bit SimHash of a text in UTF-8: A-Z lower-cased, words between ASCII white space, shingles with repeats. The shingles' hashes are added to `seen`."""
     words = text.lower().split() if text else []
     if not words:
         return 0
@@ -43,6 +51,8 @@ def fingerprint(text: bytes | None, shingle: int) -> int:
     h64, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
     for at in range(0, take, SHINGLE_BLOCK):
         hashes = np.array([h64(joined[a:b], 42) for a, b in zip(first[at : at + SHINGLE_BLOCK], last[at : at + SHINGLE_BLOCK])], np.uint64)
+        if seen is not None:
+            seen.append(hashes)
         counts += np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
     return int(np.packbits(counts * 2 > take, bitorder="little").view("<u8")[0])
 
@@ -60,6 +70,59 @@ def fingerprints(docs: DataFrame, keys: list[str], text_col: str = "text", shing
     return docs.select(*keys, F.col(text_col).cast("string").alias("__simhash_text")).mapInArrow(run, f"{typed}, fp long")
 
 
+def shingle_set(seen: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(seen)) if seen else np.empty(0, np.uint64)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each MinHash band of a set of shingle hashes; none for the empty set."""
+    if not len(hashes):
+        return np.empty(0, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), MINHASH_BLOCK):
+        least = np.minimum(least, ((hashes[at : at + MINHASH_BLOCK] ^ _XOR) * _ODD).min(axis=1))
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(ROWS):
+        key = (key ^ least[k::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def signatures(docs: DataFrame, keys: list[str], text_col: str, shingle: int) -> DataFrame:
+    """The key columns, fp, and of the set of shingles: its hash (null if it is empty), its size and its band keys."""
+    document_batches(docs.sparkSession)
+    typed = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keys)
+
+    def one(text: bytes | None) -> tuple[int, int | None, int, np.ndarray]:
+        seen: list[np.ndarray] = []
+        fp, hashes = fingerprint(text, shingle, seen), shingle_set(seen)
+        return fp, xxhash.xxh64_intdigest(hashes.tobytes(), 42) if len(hashes) else None, len(hashes), band_keys(hashes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "__simhash_text"):
+            fp, whole, n, bands = zip(*(one(t) for t in column_bytes(batch.column("__simhash_text"))))
+            signed = [None if h is None else h - (h >> 63 << 64) for h in whole]
+            made = [pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(signed, pa.int64()), pa.array(n, pa.int32()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.record_batch([*(batch.column(c) for c in keys), *made], names=[*keys, "fp", "whole", "n", "bands"])
+
+    return docs.select(*keys, F.col(text_col).cast("string").alias("__simhash_text")).mapInArrow(run, f"{typed}, fp long, whole long, n int, bands array<long>")
+
+
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(whole, hashes): the sorted shingle hashes of each row (whole, __simhash_text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "__simhash_text"):
+            found = []
+            for text in column_bytes(batch.column("__simhash_text")):
+                seen: list[np.ndarray] = []
+                fingerprint(text, shingle, seen)
+                found.append(shingle_set(seen).view(np.int64))
+            yield pa.record_batch([batch.column("whole"), pa.array(found, pa.list_(pa.int64()))], names=["whole", "hashes"])
+
+    return texts.select("whole", "__simhash_text").mapInArrow(run, "whole long, hashes array<long>")
+
+
 def segment_widths(m: int) -> list[int]:
     return [64 // m + (i < 64 % m) for i in range(m)]
 
@@ -230,16 +293,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(by_class, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 6) -> DataFrame:
+def similar_links(marked: DataFrame, roots: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (u, v) between roots whose documents have shingle sets of at least `similarity`.
+
+    `marked` has signatures by (__simhash_id, __simhash_th), `roots` (fp, root), `texts` the documents. Only bands that meet in
+    different roots give pairs, so a group that fingerprints have linked costs nothing more; each pair is checked once, exactly.
+    """
+    placed = cut(marked.where("n > 0").select("whole", "fp").distinct().join(roots, "fp").select("whole", "root").distinct())
+    least = placed.groupBy("whole").agg(F.min("root").alias("root"))
+    equal = placed.withColumnRenamed("root", "u").join(least.withColumnRenamed("root", "v"), "whole").where("u <> v").select("u", "v")
+    one = F.min_by(F.struct("__simhash_id", "__simhash_th", "n", "bands"), F.struct(F.col("__simhash_id").isNull(), "__simhash_id", "__simhash_th"))
+    sets = cut(marked.where("n > 0").groupBy("whole").agg(one.alias("one")).select("whole", "one.*").join(least, "whole"))
+    keyed = sets.select(F.explode("bands").alias("key"), "whole", "n", "root")
+    meeting = keyed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
+    met = cut(keyed.join(meeting, "key", "left_semi"))
+    left, right = (met.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("whole", "n", "root")]) for side in "uv")
+    alike = (F.col("whole_u") < F.col("whole_v")) & (F.col("root_u") != F.col("root_v")) & (F.least("n_u", "n_v") >= F.greatest("n_u", "n_v") * similarity - 1e-6)
+    pairs = cut(left.join(right, "key").where(alike).drop("key").distinct())
+    wanted = pairs.select(F.explode(F.array("whole_u", "whole_v")).alias("whole")).distinct().join(sets, "whole").select("whole", F.col("__simhash_id").alias("set_id"), F.col("__simhash_th").alias("set_th"))
+    read = texts.join(wanted, F.col("__simhash_id").eqNullSafe(F.col("set_id")) & (F.col("__simhash_th") == F.col("set_th"))).dropDuplicates(["whole"])
+    hashes = cut(shingle_sets(read, shingle))
+    both = pairs.join(hashes.toDF("whole_u", "hashes_u"), "whole_u").join(hashes.toDF("whole_v", "hashes_v"), "whole_v")
+    shared = both.select("root_u", "root_v", "n_u", "n_v", F.size(F.array_intersect("hashes_u", "hashes_v")).alias("shared"))
+    linked = shared.where(F.col("shared") >= (F.col("n_u") + F.col("n_v") - F.col("shared")) * similarity - 1e-6)
+    return equal.unionByName(linked.select(F.col("root_u").alias("u"), F.col("root_v").alias("v")))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 6, similarity: float = 0.8) -> DataFrame:
     """One row of each group of near-duplicates: that with the smallest id (null last), then the smallest text hash.
 
-    Rows with equal id and text are one document, of which one row stays. All columns are kept; names that begin with
-    `__simhash_` are reserved.
+    Documents are linked if their fingerprints differ in at most `radius` bits, or if their sets of shingles have a Jaccard
+    similarity of at least `similarity`. Rows with equal id and text are one document, of which one row stays. All columns are
+    kept; names that begin with `__simhash_` are reserved.
     """
     hashed = docs.withColumn("__simhash_id", F.col(id_col)).withColumn("__simhash_th", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.col(text_col).isNull()))
-    marked = cut(fingerprints(hashed, ["__simhash_id", "__simhash_th"], text_col, shingle))
+    marked = cut(signatures(hashed, ["__simhash_id", "__simhash_th"], text_col, shingle))
+    near_roots = cut(components(marked, radius))
+    texts = hashed.select("__simhash_id", "__simhash_th", F.col(text_col).cast("string").alias("__simhash_text"))
+    joined = connected_components(similar_links(marked, near_roots, texts, shingle, similarity)).select(F.col("node").alias("root"), F.col("root").alias("joined"))
+    roots = near_roots.join(joined, "root", "left").select("fp", F.coalesce("joined", "root").alias("root"))
     first = F.min(F.struct(F.col("__simhash_id").isNull().alias("none"), F.col("__simhash_id").alias("id"), F.col("__simhash_th").alias("th")))
-    classes = marked.groupBy("fp").agg(first.alias("first")).join(components(marked, radius), "fp")
+    classes = marked.groupBy("fp").agg(first.alias("first")).join(roots, "fp")
     kept = classes.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("kept_id"), F.col("first.th").alias("kept_th"))
     stay = hashed.join(cut(kept), F.col("__simhash_id").eqNullSafe(F.col("kept_id")) & (F.col("__simhash_th") == F.col("kept_th")), "left_semi")
     return stay.dropDuplicates(["__simhash_id", "__simhash_th"]).drop("__simhash_id", "__simhash_th")

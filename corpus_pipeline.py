@@ -14,16 +14,23 @@ from pyspark.sql import functions as F
 from waymark.llm import langid, line_dedup, mixing, sentencepiece_bpe, simhash
 from waymark.llm.common import ensure_checkpoint_dir
 
-#: A document whose best language has a smaller probability, or that has no letters, is rejected.
-LEAST_LANGUAGE_SCORE = 0.25
+#: Where the best language's probability must lie at least between 1/k, the least that it can be among k languages, and 1.
+LEAST_OVER_GUESS = 1 / 3
 #: Documents are linked if their fingerprints differ in so many of 64 bits at most, or their shingle sets have this Jaccard similarity.
 RADIUS, SIMILARITY = 6, 0.8
 
 
+def least_score(languages: int) -> float:
+    """The least probability with which a document stays: 0.5 among four languages. One language alone always has 1, which judges nothing."""
+    guess = 1 / max(1, languages)
+    return guess + (1 - guess) * LEAST_OVER_GUESS
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model is sure of; it learns from the documents' own labels."""
-    found = langid.predict(docs, langid.fit(docs), lang_name="__lang_pred", score_name="__lang_score", keep_text=True)
-    return found.where((F.col("__lang_pred") != langid.UNDETERMINED) & (F.col("__lang_score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    """Documents in a language that the model is sure of; it learns from the documents' own labels. Those without letters go."""
+    model = langid.fit(docs)
+    found = langid.predict(docs, model, lang_name="__lang_pred", score_name="__lang_score", keep_text=True)
+    return found.where((F.col("__lang_pred") != langid.UNDETERMINED) & (F.col("__lang_score") >= least_score(len(model.languages)))).select(*docs.columns)
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

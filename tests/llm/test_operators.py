@@ -485,6 +485,21 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, codec):
     assert sorted(got) == sorted(want)
 
 
+@here
+def test_texts_in_no_known_language_are_rejected(spark):
+    import corpus_pipeline as C
+
+    rnd = random.Random(1)
+    noise = lambda letters: " ".join("".join(rnd.choices(letters, k=rnd.randint(2, 9))) for _ in range(200))
+    odd = [noise("abcdefghijklmnopqrstuvwxyz"), noise("abcdefghijklmnopqrstuvwxyz0123456789$#*"), "это не английский текст а русский язык " * 10, "漢字と日本語の文章 " * 30, "tämä on suomenkielinen lause joka ei ole mikään tunnettu kieli täällä " * 5]
+    table = spark.read.parquet(f"{DATA}/documents.parquet")
+    more = docs(spark, [(-1 - k, t, None, "s", len(t)) for k, t in enumerate(odd)])
+    kept = {r["doc_id"] for r in C.identify_language(spark, table.select(more.columns).unionByName(more), DATA).select("doc_id").collect()}
+    clean = {r["doc_id"] for r in table.where("length(text) >= 40").collect()}
+    assert not {i for i in kept if i < 0} and clean <= kept
+    assert [C.least_score(k) > 1 / k for k in (2, 3, 4, 200)] == [True] * 4
+
+
 def test_stages_on_odd_and_empty_documents(spark):
     import corpus_pipeline as C
 

@@ -417,6 +417,17 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert other[2] != text(2)
 
 
+def test_cards_beside_other_numbers_are_replaced(spark):
+    texts = ["4111111111111111", "4111 1111 1111 1111 123", "4111111111111111 12/27", "Order 12 4111-1111-1111-1111", "2 4111111111111111", "2024 1234 4111 1111 1111 1111", "4111 1111 1111 1111 5500 0000 0000 0004", "4111111111111111 123-45-6789 4111111111111111 212 555 0123", "4111111111111112 12"]
+    got = [(r["text"], r["__pii_kinds"]) for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).orderBy("i").collect()]
+    card = got[0][0]
+    four = [card[k : k + 4] for k in range(0, 16, 4)]
+    assert [t for t, _ in got[1:6]] == [" ".join(four) + " 123", card + " 12/27", "Order 12 " + "-".join(four), "2 " + card, "2024 1234 " + " ".join(four)]
+    assert got[6][0].startswith(" ".join(four)) and "5500 0000 0000 0004" not in got[6][0] and got[6][1] == ["card", "card"]
+    assert got[7][0].count(card) == 2 and "123-45-6789" not in got[7][0] and "555 0123" not in got[7][0] and got[7][1] == ["card", "ssn", "card", "phone"]
+    assert got[8] == (texts[8], [])
+
+
 def test_feistel_is_a_permutation(spark):
     rows = spark.range(1000).select(pii.permute_digits("k", "t", F.lpad(F.col("id").cast("string"), 3, "0")).alias("p")).collect()
     assert len({r["p"] for r in rows}) == 1000

@@ -8,7 +8,7 @@ same one of day and month comes first). What does not validate stays as it is.
 
 | kind | found | permuted over |
 |-|-|-|
-| card | 13 to 19 digits, single spaces or hyphens between, Luhn valid | the digits but the last, which is computed again |
+| card | 13 to 19 digits, single spaces or hyphens between, Luhn valid; whole groups of a longer or invalid run, from the left, the longest first | the digits but the last, which is computed again |
 | phone | optional +country, area in brackets or with separators, 10 digits in all | the 10 digits, first digit of the area and of the rest aside |
 | ssn | ddd-dd-dddd with a valid area, group and serial | all valid numbers |
 | ip | four octets up to 255 | all addresses |
@@ -38,7 +38,8 @@ IP = r"(?<![\p{L}\p{N}_.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\p{L}\p{N}_]|\.[0-9])
 DATE = r"(?<![\p{L}\p{N}_./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\p{L}\p{N}_]|[./-][0-9])"
 SSN = r"(?<![\p{L}\p{N}_-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}_]|-[0-9])"
 PHONE = r"(?<![\p{L}\p{N}_+-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\p{L}\p{N}_]|-[0-9])"
-CARD = r"(?<![\p{L}\p{N}_-])[0-9](?:[ -]?[0-9]){12,18}(?![\p{L}\p{N}_]|-[0-9])"
+#: A run of digit groups up to what is found as another kind; cards() searches it.
+CARD = rf"(?<![\p{{L}}\p{{N}}_-])[0-9](?:(?:[ -](?!{DATE}|{SSN}|{PHONE}))?[0-9]){{12,255}}(?![\p{{L}}\p{{N}}_]|-[0-9])"
 ANY = "|".join((EMAIL, SECRET, IBAN, IP, DATE, SSN, PHONE, CARD))
 #: A text without any of these has no candidate.
 HINT = "[0-9@]|[A-Fa-f]{32}"
@@ -109,6 +110,29 @@ def _card(key: str, m: Column, d: Column) -> Column:
     return refill(m, _let(permute_digits(key, "card", F.substr(d, F.lit(1), F.length(d) - 1)), body))
 
 
+def _is_card(digits: Column) -> Column:
+    return F.length(digits).between(13, 19) & (luhn_sum(digits, False) % 10 == 0)
+
+
+def cards(key: str, m: Column) -> Column:
+    """struct(kind, text) of a run of digit groups with the cards among them replaced; kind has `card` for each, with commas between."""
+
+    def search(pieces: Column) -> Column:
+        part = lambda i, n: F.array_join(F.slice(pieces, i, n), "")
+        bare = lambda t: F.regexp_replace(t, "[^0-9]", "")
+
+        def step(s: Column, i: Column) -> Column:
+            lengths = F.filter(F.sequence(F.least(F.size(pieces) - i + 1, F.lit(19)), F.lit(1), F.lit(-1)), lambda n: _let(bare(part(i, n)), _is_card))
+            found = lambda n: F.when(n.isNull(), F.struct(F.concat(s["out"], part(i, F.lit(1))).alias("out"), (i + 1).alias("at"), s["n"].alias("n"))).otherwise(F.struct(F.concat(s["out"], _let(part(i, n), lambda t: _card(key, t, bare(t)))).alias("out"), (i + n).alias("at"), (s["n"] + 1).alias("n")))
+            return F.when(i < s["at"], s).otherwise(_let(F.get(lengths, F.lit(0)), found))
+
+        start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"), F.lit(0).alias("n"))
+        kind = lambda s: F.when(s["n"] > 0, F.array_join(F.array_repeat(F.lit("card"), s["n"]), ","))
+        return F.aggregate(F.sequence(F.lit(1), F.size(pieces)), start, step, lambda s: F.struct(kind(s).alias("kind"), s["out"].alias("text")))
+
+    return _let(F.regexp_extract_all(m, F.lit("[ -]?[0-9]+"), F.lit(0)), search)
+
+
 def _phone(key: str, m: Column, d: Column) -> Column:
     """The first digits of area and exchange stay in 2..9 if they are; other digits are permuted freely."""
     own = F.substr(d, F.length(d) - 9, F.lit(10))
@@ -202,7 +226,7 @@ def replacement(key: str, m: Column) -> Column:
         .when(m.rlike("^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([/.])[0-9]{2}[/.][0-9]{4})$"), _let(_parsed_date(m), dated))
         .when(is_ssn, F.when(ssn_ok, valid(F.lit("ssn"), _ssn(key, m, digits))).otherwise(none))
         .when(m.rlike(f"^{PHONE}$"), valid(F.lit("phone"), _phone(key, m, digits)))
-        .when(m.rlike("^[0-9 -]+$"), F.when(F.length(digits).between(13, 19) & (luhn_sum(digits, False) % 10 == 0), valid(F.lit("card"), _card(key, m, digits))).otherwise(none))
+        .when(m.rlike("^[0-9 -]+$"), F.when(_is_card(digits), valid(F.lit("card"), _card(key, m, digits))).otherwise(cards(key, m)))
         .when(m.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9 ]*$") & F.length(bare).between(15, 34), F.when(mod97(F.concat(F.substr(bare, F.lit(5), F.length(bare) - 4), F.substr(bare, F.lit(1), F.lit(4)))) == 1, valid(F.lit("iban"), _iban(key, m, bare))).otherwise(none))
         .when(m.rlike("^[0-9a-f]{32,128}$"), valid(F.lit("secret"), secret))
         .when(m.rlike("^[0-9A-F]{32,128}$"), valid(F.lit("secret"), F.upper(secret)))
@@ -224,5 +248,5 @@ def pseudonymise(docs: DataFrame, *, text_col: str = "text", key: str = "waymark
     marked = marked.withColumn("__pii_made", made)
     joined = lambda parts: F.array_join(F.zip_with(parts, F.transform("__pii_made", lambda r: r["text"]), lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
     changed = F.exists("__pii_made", lambda r: r["kind"].isNotNull())
-    marked = marked.withColumn("__pii_kinds", F.coalesce(F.filter(F.transform("__pii_made", lambda r: r["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>")))
+    marked = marked.withColumn("__pii_kinds", F.coalesce(F.filter(F.split(F.array_join(F.transform("__pii_made", lambda r: r["kind"]), ","), ","), lambda k: k != ""), F.array().cast("array<string>")))
     return marked.withColumn(text_col, F.when(changed, joined(F.split(text, ANY, -1))).otherwise(text)).drop("__pii_found", "__pii_made")

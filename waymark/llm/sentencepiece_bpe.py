@@ -4,6 +4,11 @@ A text becomes words: each a run of U+2581 marks and what follows it up to the n
 mark after another character, so merges never cross words. All new words of a slice are merged together: one flat array of
 symbols, the minimum pair rank of each word by a segmented reduction, that pair merged at its leftmost places in all words
 at once, then compaction, until no word has a pair. Words seen before come from a bounded cache.
+
+Long words without spaces would need a round for each rank that they hold. They are split first where no piece holds the two
+neighbouring characters, which no merge can cross. In what stays long a round may also merge every pair that comes before all
+others within the length of the longest piece on both sides: whatever could take one of its two symbols away has to be made of
+symbols in that reach, so by a pair there that comes first, and there is none.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ CACHE_WORDS, CACHE_LENGTH = 150_000, 256
 #: Characters merged together at a time (a longer word alone), and bytes of text split into words at a time.
 MERGE_CHARS, SLICE_BYTES = 1 << 17, 2 << 20
 NONE = np.int64(1) << 40
+#: Words over so many characters are split where no piece can cross, and in parts over so many symbols pairs are chosen by reach.
+LONG_WORD = 64
 
 
 def _wire(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -112,6 +119,9 @@ class Vocabulary:
         self.probes = step
         self.mark = self.normal[MARK]
         self.runs = {len(p): i for p, i in self.normal.items() if set(p) == {MARK}}
+        self.longest = max(map(len, self.normal), default=1)
+        #: Pairs of neighbouring characters in pieces; no merge crosses another pair.
+        self.neighbours = np.unique(np.array([ord(a) << 21 | ord(b) for p in self.normal for a, b in zip(p[:-1], p[1:])], np.int64))
         single = [(ord(p), i) for p, i in self.normal.items() if len(p) == 1]
         self.char = np.full(0x110000, -1, np.int64)
         self.char[[c for c, _ in single]] = [i for _, i in single]
@@ -174,14 +184,59 @@ def encode_words(vocabulary: Vocabulary, words: list[str]) -> Iterator[list[int]
         yield from _merge_words(vocabulary, words[start:])
 
 
+def _split_long(vocabulary: Vocabulary, points: np.ndarray, word: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The number of each character's part: words are parts, long ones are split where no piece holds the two characters."""
+    border = np.r_[False, word[1:] != word[:-1]]
+    inside = np.flatnonzero(~border & (lengths > LONG_WORD)[word])
+    inside = inside[inside > 0]
+    if not len(inside):
+        return word
+    pair = points[inside - 1] << 21 | points[inside]
+    known = vocabulary.neighbours
+    at = np.minimum(np.searchsorted(known, pair), max(0, len(known) - 1))
+    border[inside] = known[at] != pair if len(known) else True
+    return np.cumsum(border)
+
+
+def _least_around(rank: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the least rank of the `reach` places before it, and of those after it."""
+
+    def before(x: np.ndarray) -> np.ndarray:
+        least, width = np.r_[NONE, x[:-1]], 1  # of `width` places that end just before
+        while width < reach:
+            shift = min(width, reach - width)
+            least = np.minimum(least, np.r_[np.full(min(shift, len(x)), NONE), least[: max(0, len(x) - shift)]])
+            width += shift
+        return least
+
+    return before(rank), before(rank[::-1])[::-1]
+
+
+def _by_reach(vocabulary: Vocabulary, rank: np.ndarray, word: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The places `at`, but for long parts those that come first in their reach, if these are more."""
+    long_parts = sizes > LONG_WORD
+    if not long_parts.any():
+        return at
+    inside = np.flatnonzero(np.repeat(long_parts, sizes))
+    here = rank[inside]
+    before, after = _least_around(here, vocabulary.longest)
+    first = inside[(here < NONE) & (here < before) & (here <= after)]
+    part = np.repeat(np.arange(len(starts)), sizes)
+    now, reached = np.bincount(part[at], minlength=len(starts)), np.bincount(part[first], minlength=len(starts))
+    better = reached > now
+    return np.sort(np.r_[at[~better[part[at]]], first[better[part[first]]]])
+
+
 def _merge_words(vocabulary: Vocabulary, words: list[str]) -> list[list[int]]:
     points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    word = np.repeat(np.arange(len(words)), lengths)
+    origin = np.repeat(np.arange(len(words)), lengths)
+    word = _split_long(vocabulary, points, origin, lengths)
+    parts = int(word[-1]) + 1 if len(word) else 0
     symbol = vocabulary.char[points]
     # Unknown characters take part in no merge; they are spelt in bytes at the end. -2 - c keeps the character.
     symbol = np.where(symbol < 0, -2 - points, symbol)
-    done_word, done_at, done_symbol = [], [], []
+    done_at, done_symbol = [], []
     place = np.arange(len(symbol))
     while len(symbol):
         same = word[1:] == word[:-1]
@@ -195,7 +250,6 @@ def _merge_words(vocabulary: Vocabulary, words: list[str]) -> list[list[int]]:
         least = np.minimum.reduceat(rank, starts)
         over = np.repeat(least == NONE, sizes)
         if over.any():
-            done_word.append(word[over])
             done_at.append(place[over])
             done_symbol.append(symbol[over])
             keep = ~over
@@ -222,19 +276,20 @@ def _merge_words(vocabulary: Vocabulary, words: list[str]) -> list[list[int]]:
             touches = (new[kept][1:] | new[kept][:-1]) & (w[1:] == w[:-1])
             pair = vocabulary.pair(s[:-1][touches], s[1:][touches])
             owner = w[:-1][touches]
-            by_word = np.full(len(words), NONE)
+            by_word = np.full(parts, NONE)
             by_word[word[starts]] = least
             early = np.unique(owner[(pair >= 0) & (np.where(pair >= 0, vocabulary.rank[pair], NONE) < by_word[owner])])
             if len(early):
                 at = at[first | ~np.isin(word[at], early)]
+        at = _by_reach(vocabulary, rank, word, starts, sizes, at)
         symbol = symbol.copy()
         symbol[at] = merged[at]
         keep = np.ones(len(symbol), bool)
         keep[at + 1] = False
         symbol, word, place = symbol[keep], word[keep], place[keep]
-    word, place, symbol = np.concatenate(done_word), np.concatenate(done_at), np.concatenate(done_symbol)
+    place, symbol = np.concatenate(done_at), np.concatenate(done_symbol)
     order = np.argsort(place)
-    word, symbol = word[order], symbol[order]
+    word, symbol = origin[place[order]], symbol[order]
     bounds = np.searchsorted(word, np.arange(len(words) + 1))
     flat, ends = symbol.tolist(), bounds.tolist()
     out = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]

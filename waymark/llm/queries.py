@@ -29,6 +29,7 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _trained_by_hand() -> tuple[list[float], float]:
     """The regression's weights by plain loops in the primal form: the constants of the SQL below."""
     import math
+    from collections import Counter
 
     rows = []
     for url, y in url_filter.labelled():
@@ -42,15 +43,17 @@ def _trained_by_hand() -> tuple[list[float], float]:
                     h = (h * 131 + c) % 1000003
                 found.add(h % url_filter.BUCKETS)
         rows.append((sorted(found), y))
-    weights, bias = [0.0] * url_filter.BUCKETS, url_filter.PRIOR
+    count = Counter(b for found, _ in rows for b in found)
+    idf = {b: math.log(len(rows) / n) for b, n in count.items()}
+    weights, bias = [0.0] * url_filter.BUCKETS, 0.0
     for _ in range(url_filter.STEPS):
-        errors = [y - 1 / (1 + math.exp(-(bias + sum(weights[b] for b in found) / math.sqrt(len(found))))) for found, y in rows]
+        errors = [y - 1 / (1 + math.exp(-(bias + sum(weights[b] * idf[b] for b in found) / math.sqrt(len(found))))) for found, y in rows]
         shrink = 1 - url_filter.RATE * url_filter.PENALTY
-        weights = [w * shrink for w in weights]
+        weights, bias = [w * shrink for w in weights], bias * shrink + url_filter.RATE * url_filter.BIAS**2 * sum(errors)
         for (found, _), e in zip(rows, errors, strict=True):
             for b in found:
-                weights[b] += url_filter.RATE * e / math.sqrt(len(found))
-    return weights, bias
+                weights[b] += url_filter.RATE * e * idf[b] / math.sqrt(len(found))
+    return [w * idf.get(b, 0.0) for b, w in enumerate(weights)], bias
 
 
 def op2_sql() -> str:
@@ -59,7 +62,7 @@ def op2_sql() -> str:
     grams = " || ".join(f"list_transform(range(1, greatest(1, len(c) - {n - 2})), lambda i: list_reduce(list_prepend(CAST({n} AS BIGINT), c[i:i + {n - 1}]), lambda h, x: (h * 131 + x) % 1000003) % {url_filter.BUCKETS})" for n in url_filter.ORDERS)
     return f"""
 WITH r(rule_host, rule_path, rule_verdict) AS (VALUES {rules}),
-w AS (SELECT [{", ".join(f"{x:.12g}" for x in weights)}]::DOUBLE[] AS w),
+w AS (SELECT CAST(string_split('{",".join(f"{x:.9g}" for x in weights)}', ',') AS DOUBLE[]) AS w),
 a AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 b AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path FROM a),
 f AS (SELECT page_id, arg_min(rule_host || rule_path, (-length(rule_host || rule_path), rule_host || rule_path)) AS rule, arg_min(rule_verdict, (-length(rule_host || rule_path), rule_host || rule_path)) AS rule_verdict
@@ -163,8 +166,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_quality": op10_quality,
 }
-ORACLE: dict[str, str] = {
-    "op2_urls": op2_sql(),
-    "op3_mixing": OP3_SQL,
-    "op7_lines": OP7_SQL,
-}
+
+
+def __getattr__(name: str) -> dict[str, str]:
+    """ORACLE is made when it is asked for: the SQL of operator 2 holds the weights, which plain Python trains for it."""
+    if name != "ORACLE":
+        raise AttributeError(name)
+    return {"op2_urls": op2_sql(), "op3_mixing": OP3_SQL, "op7_lines": OP7_SQL}

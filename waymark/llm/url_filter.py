@@ -10,43 +10,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS, ORDERS = 4096, (3, 4, 5)
+from waymark.llm.common import cut
+
+BUCKETS, ORDERS = 1 << 16, (3, 4, 5)
+#: Addresses that each labelled word stands in.
+COPIES = 3
 MOST_LABELLED = 2000
-#: Of gradient descent. PRIOR is the fixed intercept, the log odds of an address with nothing known: it is allowed.
-STEPS, RATE, PENALTY, PRIOR = 60, 0.4, 0.01, -0.5
+#: Of gradient descent. BIAS is the value of the feature that all addresses have; its weight is the intercept and is fitted like the others.
+STEPS, RATE, PENALTY, BIAS = 15, 0.08, 0.1, 0.4
 
 #: Rules (host, path, verdict) of the production filter.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
-# The labelled table: names of sites, each combined with a few beginnings, domains and paths.
+# The labelled table: words that block lists and directories of harmless sites are about, by topic. Hosts are made of them by rule, below.
 UNWANTED = (
-    "casino-win", "casino-royal", "online-casino", "best-slots", "jackpot-city", "poker-stars", "free-bets", "sports-bets", "bet-now", "lotto-prize", "cheap-pills", "pills-online", "buy-viagra", "pharma-deals",
-    "weight-loss-pills", "adult-x", "adult-video", "xxx-cams", "sex-chat", "hot-porn", "porn-tube", "nude-pics", "spam-farm", "link-farm", "seo-spam", "click-bait", "free-iphone", "payday-loans", "fast-loans", "easy-cash",
-    "crypto-doubler", "warez-crack", "keygen-crack", "free-followers", "fake-watches", "replica-bags", "win-prizes", "escort-girls", "casino-bonus", "cheap-meds",
-    "ads-track", "ad-server", "track-pixel", "popup-ads", "ads-network", "click-track", "adult-dating", "free-spins", "bets-online", "spam-mail", "cheap-cialis", "win-cash", "farm-links", "casino-slots", "pills-shop",
-    "adult-cams", "track-ads", "free-movies-hd", "hack-tool", "malware-host",
+    "casino", "poker", "slots", "roulette", "jackpot", "blackjack", "bingo", "lottery", "betting", "bets", "bookmaker", "wager", "gambling",
+    "viagra", "cialis", "pills", "meds", "steroids", "slimming", "painkiller", "erection", "testosterone",
+    "porn", "xxx", "sex", "adult", "nude", "escort", "webcam-girls", "hentai", "hookup", "fetish",
+    "adserver", "adclick", "ads", "banner-ads", "popup", "popunder", "tracker", "tracking", "clickbait", "telemetry-pixel", "doubleclick",
+    "spam", "bulk-mail", "linkfarm", "backlinks", "seo-boost", "buy-followers", "buy-likes",
+    "malware", "phishing", "keygen", "warez", "cracked", "torrentz", "spyware", "botnet",
+    "replica-watches", "counterfeit", "fake-id", "payday", "quick-loans", "forex-profit", "crypto-doubler", "ponzi", "giveaway", "prizes", "sweepstakes", "get-rich", "easy-money", "cheap", "free-gift", "winner",
 )
 WANTED = (
-    "city-library", "weather", "cooking", "gardener", "history-museum", "open-data", "math-notes", "physics", "local-news", "daily-herald", "travel-guide", "train-times", "school", "university", "hospital", "bookshop", "bakery",
-    "bicycles", "theatre", "orchestra", "river-walks", "mountain-huts", "astronomy", "birds", "linux-docs", "python-help", "recipes", "farmers-market", "town-hall", "archive", "thermal", "tionary", "athens", "ringer", "henthorn",
-    "erstwhile", "onward", "thrush", "weaver", "sandstone", "thousand", "southern", "thistle", "nation", "station", "another", "whether", "within", "thither", "heath", "tenths",
-    "eighth", "months", "youth", "than-then", "the-ring", "rest-area", "other-ones", "that-thing", "hat-shop", "county", "southampton", "thatcher", "what-if", "plants", "thou-art", "anthem", "thin-ice",
+    "library", "museum", "archive", "dictionary", "encyclopedia", "grammar", "history", "poetry", "novels", "theatre", "opera", "orchestra", "painting", "sculpture", "pottery", "photography", "cinema", "documentary",
+    "university", "college", "school", "academy", "teaching", "nursery", "science", "physics", "chemistry", "biology", "astronomy", "geology", "maths", "statistics", "engineering", "architecture", "linux", "python", "compiler", "database", "network", "hardware",
+    "weather", "climate", "ocean", "forest", "mountain", "river", "garden", "orchard", "vineyard", "farming", "birds", "horses", "dogs", "bees", "fishing", "sailing", "cycling", "climbing", "walking", "running", "football", "cricket", "tennis", "chess",
+    "news", "herald", "gazette", "tribune", "journal", "magazine", "radio", "television", "parliament", "council", "court", "law", "police", "charity", "church", "temple", "village", "town", "city", "county", "embassy",
+    "hospital", "nursing", "dentist", "optician", "health", "kitchen", "recipes", "bakery", "cheese", "coffee", "restaurant", "hotel", "travel", "railway", "airport", "maps", "bank", "insurance", "accounting", "careers",
+    "furniture", "plumbing", "carpentry", "electricity", "knitting", "sewing", "toys", "puzzles", "family", "parents", "wedding", "genealogy", "translation", "language", "software", "support", "forum", "community", "association", "institute", "foundation", "government", "research", "international", "national", "northern", "western", "other", "thing", "water", "under", "street", "station", "market", "bridge", "castle", "island", "harbour",
 )
-_BEGINNINGS, _DOMAINS, _PATHS = ("", "www.", "m.", "blog."), ("example.com", "example.net", "example.org"), ("/en/12", "/de/7.html", "/fr/104/", "/es/33", "/", "/about", "/en/501#top")
-
-
-def invented(n: int = 60) -> tuple[str, ...]:
-    """Harmless names of two or three of the most common English letter groups, taken in turn."""
-    groups = ("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "or", "nt", "ea", "ti", "st", "ou", "ing", "tion", "ble", "ly")
-    return tuple(groups[k % 23] + groups[(k * 7 + 3) % 23] + (groups[(k * 5 + 1) % 23] if k % 2 else "") for k in range(n))
+#: Words that stand beside those of either kind.
+BESIDE = ("", "online", "best", "the", "my", "world", "home", "group", "house", "zone", "club", "today", "net", "central", "direct", "time")
+_BEGINNINGS, _DOMAINS, _PATHS = ("", "www.", "m.", "blog."), ("example.com", "example.net", "example.org"), ("/", "/index.html", "/about", "/article/2019/07", "/page?id=4", "/a/b/c", "/contact")
 
 
 def labelled() -> list[tuple[str, int]]:
-    """(url, 1 for unwanted or 0) for each name twice."""
+    """(url, 1 for unwanted or 0): each word COPIES times, beside words, domains and paths that are dealt alike to both kinds."""
     rows = []
-    for bad, names in ((1, UNWANTED), (0, WANTED + invented())):
-        for k, name in enumerate(names):
-            rows += [(f"https://{_BEGINNINGS[(k + j) % 4]}{name}.{_DOMAINS[(k + j) % 3]}{_PATHS[(k * 3 + j) % 7]}", bad) for j in range(2)]
+    for bad, words in ((1, UNWANTED), (0, WANTED)):
+        for k, word in enumerate(words):
+            for j in range(COPIES):
+                near = BESIDE[(k * 5 + j * 7) % len(BESIDE)]
+                names = [x for x in ((word, near) if (k + j) % 3 else (near, word)) if x]
+                name = ("-" if (k + j) % 2 else "").join(names)
+                rows.append((f"https://{_BEGINNINGS[(k + j) % 4]}{name}.{_DOMAINS[(k + j) % 3]}{_PATHS[(k * 3 + j) % 7]}", bad))
     return rows
 
 
@@ -91,37 +99,41 @@ def buckets(host: Column, path: Column) -> Column:
 
 
 def fit(spark: SparkSession, rows: list[tuple[str, int]] | None = None) -> tuple[list[float], float]:
-    """Weights of the buckets and the intercept, from a small table of (url, label 0 or 1). An empty table gives zero weights."""
+    """Weights of the buckets and the intercept, from a small table of (url, label 0 or 1). An empty table gives zeros: every address then has a chance of one half."""
     rows = labelled() if rows is None else rows
     if len(rows) > MOST_LABELLED:
         raise ValueError(f"at most {MOST_LABELLED} labelled addresses")
     if not rows:
-        return [0.0] * BUCKETS, PRIOR
+        return [0.0] * BUCKETS, 0.0
     listed = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(u).alias("url"), F.lit(float(y)).alias("y")) for k, (u, y) in enumerate(rows)])
     table = spark.range(0, 1, 1, 1).select(F.inline(listed))
     host, path = parts(F.col("url"))
-    # Unit length: each gram weighs 1 / sqrt(number of grams).
+    # A gram weighs its inverse document frequency over the root of the number of grams: what all addresses have says nothing.
     grams = table.select("k", "y", buckets(host, path).alias("b")).select("k", "y", F.explode("b").alias("b"), (1 / F.sqrt(F.size("b"))).alias("x"))
+    rare = grams.groupBy("b").agg(F.log(F.lit(float(len(rows))) / F.count("*")).alias("idf"))
+    grams = grams.join(rare, "b").withColumn("x", F.col("x") * F.col("idf"))
     other = grams.select(F.col("k").alias("k2"), "b", F.col("x").alias("x2"))
     overlap = grams.join(other, "b").groupBy("k", "k2").agg(F.sum(F.col("x") * F.col("x2")).alias("o"))
     by_row = overlap.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("k2", "o"))).alias("o")).join(table.select("k", "y"), "k")
     whole = by_row.agg(F.sort_array(F.collect_list(F.struct("k", "y", "o"))).alias("rows"))
 
     def step(a: Column, _: Column) -> Column:
-        margin = lambda r: F.aggregate(r["o"], F.lit(PRIOR), lambda s, o: s + o["o"] * F.get(a, o["k2"]))
+        shared = F.aggregate(a, F.lit(0.0), lambda s, x: s + x) * (BIAS * BIAS)  # the feature that all have
+        margin = lambda r: F.aggregate(r["o"], shared, lambda s, o: s + o["o"] * F.get(a, o["k2"]))
         return F.transform(F.col("rows"), lambda r: F.get(a, r["k"]) * (1 - RATE * PENALTY) + RATE * (r["y"] - 1 / (1 + F.exp(-margin(r)))))
 
     duals = whole.select(F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.transform("rows", lambda r: F.lit(0.0)), step).alias("a"))
-    dual = duals.select(F.posexplode("a").alias("k", "a"))
-    weights = [0.0] * BUCKETS
-    for r in dual.join(grams, "k").groupBy("b").agg(F.sum(F.col("a") * F.col("x")).alias("w")).collect():
+    dual = cut(duals.select(F.posexplode("a").alias("k", "a")))
+    weights, intercept = [0.0] * BUCKETS, dual.agg(F.sum("a")).first()[0] * BIAS * BIAS
+    for r in dual.join(grams, "k").groupBy("b").agg(F.sum(F.col("a") * F.col("x") * F.col("idf")).alias("w")).collect():
         weights[r["b"]] = r["w"]
-    return weights, PRIOR
+    return weights, intercept
 
 
 def probability(found: Column, weights: list[float], bias: float) -> Column:
     """Probability that an address is unwanted, from its buckets."""
-    table = F.lit([float(w) for w in weights])
+    # One text literal, which becomes one constant array when the plan is made.
+    table = F.split(F.lit(",".join(f"{w:.9g}" for w in weights)), ",").cast("array<double>")
     margin = F.aggregate(found, F.lit(0.0), lambda s, b: s + F.get(table, b)) / F.sqrt(F.greatest(F.size(found), F.lit(1)))
     return 1 / (1 + F.exp(-(margin + F.lit(float(bias)))))
 
@@ -130,7 +142,8 @@ def judge(pages: DataFrame, *, url_col: str = "url", rules: tuple[tuple[str, str
     """`pages` with host, path, rule, verdict and unwanted (the model's probability) in a struct column `url_judgement`.
 
     The verdict is the rule's if one fits; else `block` from a probability of one half on, `allow` under it. Null and odd addresses
-    have empty host and path, which only a rule with empty host could fit, and get the model's verdict like others.
+    have empty host and path, which only a rule with empty host could fit, and get the model's verdict like others. An own column
+    `url_judgement` is replaced.
     """
     weights, bias = model or fit(pages.sparkSession)
     host, path = parts(F.col(url_col))

@@ -18,8 +18,8 @@ from waymark.llm.common import cut, document_batches, slices
 
 BITS, ORDERS = 15, (1, 2, 3)
 BUCKETS = 1 << BITS
-#: Expected sample rows a language, and languages with the most training rows that the model knows.
-PER_LANGUAGE, MOST_LANGUAGES = 1000, 200
+#: Expected sample rows a language, and of all languages together: with more than 200 of them each has fewer.
+PER_LANGUAGE, SAMPLE_ROWS = 1000, 200_000
 UNDETERMINED = "und"
 #: Characters counted at a time; grams that span two blocks are kept.
 BLOCK = 1 << 20
@@ -141,12 +141,14 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     """A model from all rows of `docs` with a language. Texts without letters teach nothing.
 
     Document frequencies count every such row. The sample takes a row if the hash of its id and text falls below per_language over
-    the language's rows, so its size follows the number of languages, not of rows. One in five sample rows calibrates.
+    the language's rows, so its size follows the number of languages, not of rows, and stays about SAMPLE_ROWS. Every language is
+    learned, however rare. One in five sample rows calibrates.
     """
     document_batches(docs.sparkSession)
     labelled = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("t"))
-    rates = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    rates = labelled.groupBy("lang").count().collect()  # one row a language
     languages = sorted(r["lang"] for r in rates)
+    per_language = min(per_language, max(1, SAMPLE_ROWS // max(1, len(languages))))
     rate = {r["lang"]: min(1.0, per_language / r["count"]) for r in rates}
     code = {lang: k for k, lang in enumerate(languages)}
 
@@ -196,12 +198,13 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score", keep_text: bool = False) -> DataFrame:
     """All columns of `docs` (but the text, unless keep_text), and the language and its calibrated probability.
 
-    Null, empty and letterless texts have language `und` and score 0, and so has every text if the model knows no language.
+    Null, empty and letterless texts have language `und` and score 0, and so has every text if the model knows no language. Own
+    columns with the names of the two results are replaced.
     """
     document_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if keep_text or c != text_col]
-    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if keep_text or f.name != text_col)
+    kept = [c for c in docs.columns if (keep_text or c != text_col) and c not in (lang_name, score_name)]
+    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value

@@ -153,10 +153,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text", chars_col: str | None = "n_chars", score_name: str = "score") -> DataFrame:
-    """All columns of `docs` but the text, and the probability of label 1. Null texts count as empty; a null n_chars as unknown metadata."""
+    """All columns of `docs` but the text, and the probability of label 1. Null texts count as empty; a null n_chars as unknown metadata; an own column score_name is replaced."""
     document_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c != text_col]
+    kept = [c for c in docs.columns if c not in (text_col, score_name)]
     known = chars_col if chars_col in kept else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,5 +166,5 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", chars_col:
             scores = [own.score(t, n) for t, n in zip(column_bytes(batch.column(text_col)), chars)]
             yield pa.record_batch([batch.column(c) for c in kept] + [pa.array(scores, pa.float64())], names=[*kept, score_name])
 
-    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col)
+    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
     return docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, f"{typed}, `{score_name}` double".removeprefix(", "))

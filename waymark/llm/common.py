@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 from functools import reduce
@@ -13,12 +14,16 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a folder of its own only where that is unset."""
+    """The shared folder named in spark.checkpoint.dir. Where that is unset, a folder of its own in local mode; on a cluster, whose machines would not share it, RuntimeError."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="waymark-checkpoint-")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="waymark-checkpoint-")
     sc.setCheckpointDir(named)
     return named
 
@@ -29,6 +34,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of files that are no longer read, by Hadoop's file systems."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Deletes the files of a `cut` that nothing reads any more."""
+    plan = df._jdf.queryExecution().logical()
+    file = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
+    if file is not None and file.isDefined():
+        remove_folder(df.sparkSession, file.get())
+
+
 #: Rows and bytes of one Arrow batch of documents between the JVM and Python.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
@@ -90,7 +110,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         joined = down.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        edges = cut(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        last, edges = edges, cut(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        drop_cut(last)
         now = _edge_state(edges)
         if now == state:
             stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import langid, line_dedup, mixing, sentencepiece_bpe, simhash
-from waymark.llm.common import ensure_checkpoint_dir
+from waymark.llm.common import ensure_checkpoint_dir, remove_folder
 
 #: Where the best language's probability must lie at least between 1/k, the least that it can be among k languages, and 1.
 LEAST_OVER_GUESS = 1 / 3
 #: Documents are linked if their fingerprints differ in so many of 64 bits at most, or their shingle sets have this Jaccard similarity.
-RADIUS, SIMILARITY = 6, 0.8
+RADIUS, SIMILARITY = 4, 0.8
 
 
 def least_score(languages: int) -> float:
@@ -72,10 +72,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES applied to documents. What a stage keeps is written to the shared checkpoint folder and read again."""
+    """STAGES applied to documents.
+
+    What a stage keeps is written to the shared checkpoint folder and read again; it goes when the next stage has been written.
+    The folder of the last one stays, as the result reads it when it is asked for.
+    """
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        here = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(here)
+        if last:
+            remove_folder(spark, last)
+        docs, last = spark.read.parquet(here), here
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from tests.compare import DATA, both
 from waymark.llm import audio, langid, line_dedup, mixing, pii, pq_dedup, quality_fm, sentencepiece_bpe, simhash, url_filter
 from waymark.llm.common import connected_components
-from waymark.llm.queries import ORACLE, QUERIES
+from waymark.llm import queries as registered
 
+QUERIES, ORACLE = registered.QUERIES, registered.ORACLE
 here = pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are not here")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "word " * 60_000 + "end"
@@ -43,7 +44,8 @@ def test_spark_and_duckdb_agree(spark, name):
 def test_every_query_runs_on_odd_and_empty_tables(spark, tmp_path):
     for folder, rows in (("odd", ODD), ("none", [])):
         d = tmp_path / folder
-        docs(spark, rows).withColumn("fp", F.lit("x")).withColumn("score", F.lit(1)).write.parquet(str(d / "documents.parquet"))
+        clash = {c: F.lit(1) for c in ("score", "lang_pred", "held_out", "n_tokens", "payload_bytes", "feature", "component_id", "size")}
+        docs(spark, rows).withColumn("fp", F.lit("x")).withColumns(clash).write.parquet(str(d / "documents.parquet"))
         spark.createDataFrame([(1, 1, 0), (3, 0, None), (None, None, None), (99, 1, 1)][: 4 if rows else 0], "doc_id long, quality int, toxic int").write.parquet(str(d / "labels.parquet"))
         spark.createDataFrame([(1, None, ""), (2, "", ""), (None, "no scheme", ""), (4, "HTTP://A.Example.ORG/ES/x?q", "")][: 4 if rows else 0], "page_id long, url string, html string").write.parquet(str(d / "pages.parquet"))
         spark.createDataFrame([(1, [1.0, 0.0], 1), (None, None, 1), (2, [0.0, 0.0], 1), (3, [float("nan"), 1.0], 1), (4, [1.0, None], 1), (5, [2.0, 0.0], 1), (6, [1.0, 0.0, 0.0], 1), (7, [1.0, 0.0], None), (8, [], 1), (1, [1.0, 0.0], 1)][: 10 if rows else 0], "vec_id long, embedding array<float>, label int").write.parquet(str(d / "embeddings.parquet"))
@@ -78,6 +80,21 @@ def test_encoding_equals_the_library(codec):
         assert ours.decode(ids) == library.decode(ids)
 
 
+def test_long_words_equal_the_library_in_time(codec):
+    import time
+
+    ours, library, _ = codec
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices(pool, k=n)) for pool in ("abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ+/", "thequickbrownfoxjumps", "etaoin", "ab", "漢字東京日本語", "=-_", "aé漢x") for n in (70, 700, 5000)]
+    words += ["".join(rnd.choices(["the", "and", "ing", "tion", "river", "house", "stone", "light"], k=3000)), "ab" * 4000 + "ba" * 4000, "x" * 9001, "a" * 500 + "b" * 500, "th" * 300 + "▁" * 40 + "x" * 100]
+    for word in words:
+        assert ours.ids(word) == library.encode(word), word[:40]
+    for word in ("".join(rnd.choices(words[0] + "XYZ", k=1_000_000)), "".join(rnd.choices(["the", "and", "ing", "tion", "river"], k=100_000))):
+        begun = time.perf_counter()
+        assert ours.ids(word) == library.encode(word)
+        assert time.perf_counter() - begun < 60
+
+
 def test_decoding_of_any_ids_equals_the_library(codec):
     ours, library, _ = codec
     rnd = random.Random(4)
@@ -107,14 +124,26 @@ def test_url_parts_and_rules(spark):
 
 def test_url_model_separates_what_it_has_not_seen(spark):
     model = url_filter.fit(spark)
-    rows = [("http://mega-casino.example.net/x", 1), ("http://cheap-pills-now.example.com/", 1), ("http://www.city-museum.example.com/en/4", 0), ("https://blog.river.example.org/en/9", 0), (None, 0)]
-    got = url_filter.judge(spark.createDataFrame(rows, "url string, bad int"), rules=(), model=model).select("bad", "url_judgement.verdict").collect()
+    rows = [("http://mega-casino.example.net/x", 1), ("http://pills4you.example.com/", 1), ("https://cdn.adserver7.example.org/b", 1), ("http://www.city-museum.example.com/en/4", 0), ("https://blog.river.example.org/en/9", 0), ("http://qwrtz.example.net/", 0), (None, 0)]
+    got = url_filter.judge(spark.createDataFrame(rows, "url string, bad int").withColumn("url_judgement", F.lit(1)), rules=(), model=model).select("bad", "url_judgement.verdict").collect()
     assert all((r["verdict"] == "block") == bool(r["bad"]) for r in got)
-    assert url_filter.fit(spark, []) == ([0.0] * url_filter.BUCKETS, url_filter.PRIOR)
+    assert url_filter.fit(spark, []) == ([0.0] * url_filter.BUCKETS, 0.0)
     with pytest.raises(ValueError):
         url_filter.fit(spark, [("x", 1)] * (url_filter.MOST_LABELLED + 1))
 
 
+@here
+def test_labelled_addresses_are_not_those_judged_and_held_out_ones_are_told_apart(spark):
+    hosts = lambda urls: {re.sub(r"^(www|m|blog)[.]", "", u.split("://", 1)[1].split("/")[0]).split(".example")[0] for u in urls if u and "://" in u}
+    pages = hosts(r["url"] for r in spark.read.parquet(f"{DATA}/pages.parquet").select("url").collect())
+    table = url_filter.labelled()
+    assert not hosts(u for u, _ in table) & pages
+    model = url_filter.fit(spark, [r for i, r in enumerate(table) if i % 3])
+    held = spark.createDataFrame([r for i, r in enumerate(table) if i % 3 == 0], "url string, bad int")
+    right = {r["bad"]: r["right"] for r in url_filter.judge(held, rules=(), model=model).groupBy("bad").agg(F.avg(((F.col("url_judgement.verdict") == "block") == (F.col("bad") == 1)).cast("int")).alias("right")).collect()}
+    assert right[1] >= 0.75 and right[0] >= 0.98
+
+
 # 3
 
 
@@ -257,6 +286,8 @@ def test_language(spark):
     assert (found[900]["lang_pred"], found[901]["lang_pred"], found[902]["lang_pred"]) == ("und", "und", "en")
     again = langid.fit(docs(spark, train[::-1]))
     assert np.array_equal(again.weights, model.weights) and again.temperature == model.temperature
+    own = langid.predict(docs(spark, test).withColumn("score", F.lit("x")).withColumn("lang_pred", F.lit(1)), model)
+    assert own.columns.count("score") == 1 and own.where("doc_id = 902").select("lang_pred", "score").first()["lang_pred"] == "en"
     none = langid.predict(docs(spark, test), langid.fit(docs(spark, []))).first()
     assert (none["lang_pred"], none["score"]) == ("und", 0.0)
 
@@ -321,9 +352,10 @@ def slow_fingerprint(text, shingle):
     return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
 
 
-@pytest.mark.parametrize(("radius", "segments"), [(4, 6), (4, 7), (6, 9), (2, None)])
-def test_links_equal_brute_force(spark, radius, segments, monkeypatch):
+@pytest.mark.parametrize(("radius", "segments", "run"), [(4, 6, 24), (4, 7, 2), (4, None, 24), (6, 9, 24), (2, None, 2)])
+def test_links_equal_brute_force(spark, radius, segments, run, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", 64)
+    monkeypatch.setattr(simhash, "SMALL_RUN", run)
     rng = random.Random(radius)
     fps = [rng.getrandbits(64) for _ in range(150)]
     for f in fps[:12]:
@@ -377,10 +409,51 @@ def test_texts_that_share_four_fifths_of_their_shingles_are_one(spark):
         far += i < 60 and (simhash.fingerprint(" ".join(a).encode(), 5) ^ simhash.fingerprint(" ".join(b).encode(), 5)).bit_count() > 6
         rows += [(i, " ".join(a), "en", "s", 0), (i + 1, " ".join(b), "en", "s", 0)]
     assert far >= 10
-    kept = {r["doc_id"] for r in simhash.keep_one(docs(spark, rows), shingle=5, radius=6).collect()}
+    kept = {r["doc_id"] for r in simhash.keep_one(docs(spark, rows), shingle=5, radius=4).collect()}
     assert kept == {i for i in range(80) if i % 2 == 0 or i > 60}
 
 
+def test_a_large_group_of_like_texts_is_compared_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE_SHINGLES", 3000)
+    rnd = random.Random(9)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(300)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for at in rnd.sample(range(0, 300, 30), 4 if i < 90 else 9):
+            words[at] = f"x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(words), "en", "s", 0))
+    seen = []
+    real = simhash.similar_links
+    monkeypatch.setattr(simhash, "similar_links", lambda df, s: real(seen.append(df) or df, s))
+    marked = simhash.signatures(docs(spark, rows).withColumn("__simhash_id", F.col("doc_id")).withColumn("__simhash_th", F.xxhash64("text")), ["__simhash_id", "__simhash_th"], "text", 5)
+    alone = marked.select("fp", F.col("fp").alias("root")).distinct()
+    texts = docs(spark, rows).select(F.col("doc_id").alias("__simhash_id"), F.xxhash64("text").alias("__simhash_th"), F.col("text").alias("__simhash_text"))
+    monkeypatch.setattr(simhash, "drop_cut", lambda df: None)
+    got = {r["__simhash_id"]: r["root"] for r in marked.select("__simhash_id", "fp").join(simhash.similar_roots(marked, alone, texts, 5, 0.8), "fp").collect()}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(296)} for i, t, *_ in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    root = list(range(120))
+    for a in range(120):
+        for b in range(a):
+            if alike(a, b) and root[a] != root[b]:
+                root = [root[b] if r == root[a] else r for r in root]
+    assert len({(got[i], root[i]) for i in got}) == len(set(root)) == len(set(got.values())) > 1
+    spread = [r["n"] for r in seen[0].groupBy("tile").agg(F.count("*").alias("n")).collect()]
+    assert len(spread) > 20 and max(spread) <= 60
+
+
+def test_the_ring_prunes_candidates_before_all_bits_are_counted():
+    assert [len(simhash.zero_patterns(m, 4)) for m in (5, 6, 7)] == [5, 15, 35] and simhash.segments_for(4, simhash.key_bits(250_000)) == 5
+    x = np.random.default_rng(1).integers(0, 1 << 64, 20000, np.uint64)
+    x[:4000] &= x[4000:8000] & x[8000:12000] & x[12000:16000] & np.uint64(0x0F0F0F0F0F0F0F0F)
+    want = np.bitwise_count(x) <= 4
+    assert np.array_equal(simhash.ring_passes(x, 5, 4), want) and want.any()
+    equal = x & ~np.uint64((1 << 13) - 1)  # the first of five segments is equal
+    second = np.bitwise_count((equal >> np.uint64(13)) & np.uint64((1 << 13) - 1)) <= 1
+    assert second.mean() < 0.2 and not (simhash.ring_passes(equal, 5, 4, (0,)) & ~second).any()
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(900, 901), (901, 900), (7, 7)], "u long, v long")
     found = {r["node"]: r["root"] for r in connected_components(chain).collect()}
@@ -457,6 +530,7 @@ def test_quality(spark):
     found = {r["doc_id"]: r["score"] for r in quality_fm.predict(docs(spark, test), model).collect()}
     assert all((found[i] >= 0.5) == bool(i % 2) for i in range(200, 300)) and all(0 <= s <= 1 for s in found.values()) and len(found) == 103
     assert quality_fm.fit(docs(spark, rows), labels.limit(0)).score(b"x", None) == 0.5
+    assert 0 <= quality_fm.predict(docs(spark, test).withColumn("score", F.lit("x")), model).first()["score"] <= 1
 
 
 # Pipeline
@@ -474,12 +548,15 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, codec):
     cut = slow_line_dedup([(r["doc_id"], r["text"]) for r in first], line_dedup.MIN_WORDS)
     second = {r["doc_id"]: (cut[r["doc_id"], r["text"]], r["source"]) for r in first if cut[r["doc_id"], r["text"]].split()}
     prints = {i: slow_fingerprint(t, 5) for i, (t, _) in second.items()}
+    words = {i: t.lower().split() for i, (t, _) in second.items()}
+    grams = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
+    alike = lambda a, b: len(grams[a] & grams[b]) >= C.SIMILARITY * len(grams[a] | grams[b])
     root = {i: i for i in prints}
     find = lambda i: i if root[i] == i else find(root[i])
     ids = sorted(prints)
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
-            if (prints[a] ^ prints[b]).bit_count() <= C.RADIUS:
+            if (prints[a] ^ prints[b]).bit_count() <= C.RADIUS or alike(a, b):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     third = {i: second[i] for i in ids if find(i) == i}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 from collections.abc import Iterator
@@ -41,6 +42,12 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are over: it does so when the driver collects garbage, which loops of small jobs hardly cause."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_cut(df: DataFrame) -> None:
     """Deletes the files of a `cut` that nothing reads any more."""
     plan = df._jdf.queryExecution().logical()
@@ -86,6 +93,10 @@ def slices(batches: Iterator[pa.RecordBatch], weight: str, most: int = 4 << 20)
             yield batch.slice(start)
 
 
+#: Edges in one part of a round's written edges.
+EDGES_A_PART = 250_000
+
+
 def _edge_state(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     return int(row["n"]), int(row["h"] or 0)
@@ -106,12 +117,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        # Repeated edges stay until the end of the round: one shuffle less.
+        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         joined = down.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        last, edges = edges, cut(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        made = small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        last, edges = edges, cut(made.coalesce(1 + state[0] // EDGES_A_PART))
         drop_cut(last)
+        del last, both, least, large, down, joined, small, made
+        free_shuffles(edges.sparkSession)
         now = _edge_state(edges)
         if now == state:
             stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

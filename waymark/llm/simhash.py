@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import column_bytes, connected_components, cut, document_batches, drop_cut, slices
+from waymark.llm.common import column_bytes, connected_components, cut, document_batches, drop_cut, free_shuffles, slices
 
 #: Shingles hashed at a time, and fingerprints that one task compares with each other at most.
 SHINGLE_BLOCK, TILE = 1 << 15, 8192
@@ -379,15 +379,19 @@ def similar_links(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.select("tile", "chunk", "root", "hashes").mapInArrow(run, "u long, v long")
 
 
-def similar_roots(marked: DataFrame, roots: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(fp, root) as `roots`, joined further where documents have shingle sets of at least `similarity`.
+def similar_roots(marked: DataFrame, links: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(fp, root) for each fingerprint: joined are those that `links` (u, v) connect and those of documents with shingle sets of at least `similarity`.
 
-    `marked` has signatures by (__simhash_id, __simhash_th), `roots` (fp, root), `texts` the documents. Documents that share a MinHash
-    band and have different roots are compared by their exact sets. No pair is listed: each document lives in a chunk, chunks that
+    `marked` has signatures by (__simhash_id, __simhash_th), `texts` the documents. For a start the root of a fingerprint is the least
+    one that it is linked with, so most of what links connect has one already. Documents that share a MinHash band and have
+    different roots are compared by their exact sets. No pair is listed: each document lives in a chunk, chunks that
     some band has in common meet in a tile, and tasks compare within tiles, so a group of any size is spread over many. A chunk has
     documents of one home, the largest band of those that their own bands hold, and about TILE_SHINGLES shingles, so that like
     documents live in few chunks and are copied to few tiles.
     """
+    fps = marked.select("fp").distinct()
+    least = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.min("v").alias("least"))
+    roots = fps.join(least.withColumnRenamed("u", "fp"), "fp", "left").select("fp", F.least("fp", "least").alias("root"))
     placed = marked.where("n > 0").select("whole", "fp").distinct().join(roots, "fp").select("whole", "root").distinct()
     own = cut(placed.groupBy("whole").agg(F.min("root").alias("root"), F.max("root").alias("other")))
     # Documents with equal sets but different fingerprints (other numbers of repeats) are one.
@@ -403,15 +407,17 @@ def similar_roots(marked: DataFrame, roots: DataFrame, texts: DataFrame, shingle
     lives = homes.select("whole", F.col("home.key").alias("home")).join(sets.drop("bands"), "whole")
     wide = lives.groupBy("home").agg(F.ceil(F.sum("n") / TILE_SHINGLES).cast("int").alias("chunks"))
     lives = cut(lives.join(wide, "home").withColumn("chunk", F.xxhash64("home", F.pmod(F.xxhash64("whole"), F.col("chunks")))).drop("home", "chunks", "n"))
+    free_shuffles(marked.sparkSession)
     in_bands = met.select("key", "whole").join(lives.select("whole", "chunk"), "whole").select("key", "chunk").distinct()
     tiles = in_bands.toDF("key", "a").join(in_bands.toDF("key", "b"), "key").where("a <= b").select("a", "b").distinct().withColumn("tile", F.xxhash64("a", "b"))
     where = tiles.select("tile", F.explode(F.array_distinct(F.array("a", "b"))).alias("chunk"))
     read = texts.join(lives.select("whole", F.col("__simhash_id").alias("set_id"), F.col("__simhash_th").alias("set_th")).hint("shuffle_hash"), F.col("__simhash_id").eqNullSafe(F.col("set_id")) & (F.col("__simhash_th") == F.col("set_th")))
     hashes = shingle_sets(read.select("whole", "__simhash_text"), shingle).groupBy("whole").agg(F.first("hashes").alias("hashes"))
     rows = lives.select("whole", "root", "chunk").join(hashes, "whole").join(where, "chunk").select("tile", "chunk", "root", "hashes")
-    linked = similar_links(rows.repartition(F.col("tile")).sortWithinPartitions("tile"), similarity)
-    joined = connected_components(linked.unionByName(equal)).select(F.col("node").alias("root"), F.col("root").alias("joined"))
-    out = cut(roots.join(joined, "root", "left").select("fp", F.coalesce("joined", "root").alias("root")))
+    linked = cut(similar_links(rows.repartition(F.col("tile")).sortWithinPartitions("tile"), similarity))
+    free_shuffles(marked.sparkSession)
+    joined = connected_components(linked.unionByName(equal).unionByName(links)).withColumnRenamed("node", "fp")
+    out = cut(fps.join(joined, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     for read_no_more in (own, sets, met, lives):
         drop_cut(read_no_more)
     return out
@@ -427,7 +433,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     hashed = docs.withColumn("__simhash_id", F.col(id_col)).withColumn("__simhash_th", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.col(text_col).isNull()))
     marked = cut(signatures(hashed, ["__simhash_id", "__simhash_th"], text_col, shingle))
     texts = hashed.select("__simhash_id", "__simhash_th", F.col(text_col).cast("string").alias("__simhash_text"))
-    roots = similar_roots(marked, cut(components(marked, radius)), texts, shingle, similarity)
+    links = cut(fingerprint_links(cut(marked.select("fp").distinct()), radius))
+    roots = similar_roots(marked, links, texts, shingle, similarity)
+    drop_cut(links)
     first = F.min(F.struct(F.col("__simhash_id").isNull().alias("none"), F.col("__simhash_id").alias("id"), F.col("__simhash_th").alias("th")))
     classes = marked.groupBy("fp").agg(first.alias("first")).join(roots, "fp")
     kept = classes.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("kept_id"), F.col("first.th").alias("kept_th"))

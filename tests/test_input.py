@@ -49,6 +49,27 @@ def test_rows_are_numbered_over_many_blocks(spark, tmp_path):
     assert {r["entity_id"]: r["source_row"] for r in rows} == {f"e{i}": i + 2 for i in range(5000)}
 
 
+@pytest.mark.parametrize("block", ["1000000", "64"])
+def test_quoted_line_breaks(spark, tmp_path, block):
+    """A field over three lines with an empty one, a quote that closes badly, a line that closes one field and opens another, an empty first field beside quotes."""
+    body = 'id,ts,lat,lon,ha,note\n' + "a,1788256800,1,2,3,x\n" * 5 + 'b,1788256801,1,2,3,"one\n\n, ""two""\n"\n'
+    body += 'c,1788256802,1,2,"3"x,"y"\n"d\nd"x,1788256803,1,2,3\n"e\ne",1788256804,1,2,3,"p\nq"\n\n,"1788256805",1,2,3\n' + "f,1788256806,1,2,,x\n" * 5
+    path = write(tmp_path, body)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        found = read_observations(spark, path, Config(source="t"))
+        accepted = [(r["source_row"], r["entity_id"], r["ts_s"] - 1788256800) for r in found.accepted.orderBy("source_row").collect()]
+        rejects = [(r["source_row"], r["reason_code"]) for r in found.rejects.orderBy("source_row").collect()]
+        unclosed = read_observations(spark, write(tmp_path, body + 'g,1788256807,1,2,3,"z\n' + "h,1788256808,1,2,3,w\n" * 5), Config(source="t")).rows.orderBy("source_row").select("source_row", "reject_code").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert accepted == [*[(i, "a", 0) for i in range(2, 7)], (7, "b", 1), (10, "e\ne", 4), *[(i, "f", 6) for i in range(12, 17)]]
+    assert rejects == [(8, "csv_parse_error"), (9, "csv_parse_error"), (11, "empty_id")]
+    assert [tuple(r) for r in unclosed[-1:]] == [(17, "csv_parse_error")] and len(unclosed) == 16
+
+
 def test_header():
     assert header_columns(" Ha,LON,lat,ts,id,id") == {"id": 5, "ts": 3, "lat": 2, "lon": 1, "ha": 0}
     with pytest.raises(ValueError, match="ha"):

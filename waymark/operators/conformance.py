@@ -38,6 +38,7 @@ def checks() -> list[tuple[str, Column]]:
         expected = F.when(kind == name, fits) if expected is None else expected.when(kind == name, fits)
     go_on = ~no_provenance
     unit_is = lambda u: F.coalesce(e("unit"), F.lit("")) == u
+    # The messages, word for word.
     return [
         ("xq_version must be 0.1", F.coalesce(e("xq_version"), F.lit("")) != WIRE_VERSION),
         ("missing required Core field", empty(e("id")) | empty(e("source")) | empty(e("event_time")) | empty(e("modality")) | empty(e("class")) | empty(e("feature")) | empty(e("action"))),

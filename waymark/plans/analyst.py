@@ -30,6 +30,7 @@ LATER_COLUMNS = {
     "tracks": {"start_h3_cell": "string", "end_h3_cell": "string", "unique_h3_cells": "long"},
     "entities": {"start_h3_cell": "string", "end_h3_cell": "string", "unique_h3_cells": "long"},
 }
+# The notes that answers carry, word for word.
 EVIDENCE_NOTE = "Observations are source evidence; events, presence, segments, and transitions are algorithmically derived interpretations."
 DISCONTINUITY_NOTE = "A discontinuity means the adjacent observations violated the configured continuity model; it does not prove physical travel between the two positions."
 
@@ -294,18 +295,31 @@ class Dataset:
         }
 
 
+def _up_to(events: DataFrame, observations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Observations (entity_id, observation_id, o_ms), and events (entity_id, event_id, e_ms) with the number of their entity's observations at or before them."""
+    rows = observations.select("entity_id", "observation_id", F.unix_millis("ts").alias("o_ms"))
+    asked = events.select("entity_id", "event_id", F.unix_millis("event_time").alias("e_ms"))
+    none = F.lit(None).cast("string")
+    both = rows.select("entity_id", F.col("o_ms").alias("ms"), F.lit(1).alias("seen"), none.alias("event_id")).unionByName(asked.select("entity_id", F.col("e_ms").alias("ms"), F.lit(0).alias("seen"), "event_id"))
+    upto = F.sum("seen").over(Window.partitionBy("entity_id").orderBy("ms").rangeBetween(Window.unboundedPreceding, 0))
+    return rows, both.withColumn("upto", upto).where("event_id is not null").select("entity_id", "event_id", F.col("ms").alias("e_ms"), "upto")
+
+
+def batch_last(events: DataFrame, observations: DataFrame, limit: int = 2) -> DataFrame:
+    """For every event the last `limit` observations at or before its time, latest first: the batch form of `last_observations`."""
+    rows, counted = _up_to(events, observations)
+    numbered = rows.withColumn("number", F.row_number().over(Window.partitionBy("entity_id").orderBy("o_ms", "observation_id")).cast("long"))
+    wanted = counted.where("upto > 0").select("entity_id", "event_id", "upto", F.explode(F.sequence(F.greatest(F.lit(1).cast("long"), F.col("upto") - limit + 1), F.col("upto"))).alias("number"))
+    return wanted.join(numbered, ["entity_id", "number"]).select("event_id", (F.col("upto") - F.col("number") + 1).alias("nth"), "observation_id")
+
+
 def batch_nearest(events: DataFrame, observations: DataFrame, limit: int = 6) -> DataFrame:
     """For every event its nearest observations in time, by distance, then time, then identifier.
 
     Both sides are sorted together once to count the observations up to each event. The nearest are among the last `limit` up to it
     and the first `limit` after it, which come by equi-joins on their numbers: the work grows with the events, not with all pairs.
     """
-    rows = observations.select("entity_id", "observation_id", F.unix_millis("ts").alias("o_ms"))
-    asked = events.select("entity_id", "event_id", F.unix_millis("event_time").alias("e_ms"))
-    none = F.lit(None).cast("string")
-    both = rows.select("entity_id", F.col("o_ms").alias("ms"), F.lit(1).alias("seen"), none.alias("event_id")).unionByName(asked.select("entity_id", F.col("e_ms").alias("ms"), F.lit(0).alias("seen"), "event_id"))
-    upto = F.sum("seen").over(Window.partitionBy("entity_id").orderBy("ms").rangeBetween(Window.unboundedPreceding, 0))
-    counted = both.withColumn("upto", upto).where("event_id is not null").select("entity_id", "event_id", F.col("ms").alias("e_ms"), "upto")
+    rows, counted = _up_to(events, observations)
     # Equal times are numbered so that the smaller identifiers are nearer on both sides.
     before = rows.withColumn("number", F.row_number().over(Window.partitionBy("entity_id").orderBy("o_ms", F.desc("observation_id"))).cast("long"))
     after = rows.withColumn("number", F.row_number().over(Window.partitionBy("entity_id").orderBy("o_ms", "observation_id")).cast("long"))

@@ -94,8 +94,9 @@ def eventize(spark: SparkSession, path: str, out: str, cfg: Config) -> dict[str,
         "counters": decided.first().asDict(), "edges": D.edge_totals(steps).first().asDict(), "edges_by_accuracy": table(D.edge_totals(steps, "step_accuracy_state")), "departures_by_accuracy": table(decisions(layers.folded, "step_accuracy_state").select("step_accuracy_state", "departure_candidate_sequences", "departures_confirmed")),
         "transitions_by_support": table(layers.moves.groupBy("accuracy_support").count()), "presence_by_support": table(layers.presence.groupBy("accuracy_support").count()), "entities_by_support": table(layers.entities.groupBy("ha_class").count()), "segments_by_support": table(layers.segments.groupBy("accuracy_support").count()),
         "closure": D.closure(steps, decided, rows, entity_count),
-        "step_distributions": table(D.distributions(steps)), "edge_dt_bands": table(D.edge_bands(steps)), "discontinuity_cube": table(D.discontinuity_cube(steps)), "speed_only": table(D.speed_only_matrix(steps)),
+        "step_distributions": table(D.distributions(steps)), "edge_dt_bands": table(D.edge_bands(steps)), "discontinuity_cube": table(D.discontinuity_cube(steps)), "speed_only": table(D.speed_only_matrix(steps)), "speed_only_distances": table(D.speed_only_distances(steps)),
         "target_population": {c: {str(r[0]): r[1] for r in D.target_population(steps).groupBy(c).count().collect()} for c in ("bearing_16", "distance_1m", "vector_10m", "previous_precision", "precision", "precision_transition")}, "reversals": D.reversals(steps).first().asDict(),
+        "target_distributions": table(D.target_distributions(D.target_population(steps))), "target_cross_tabs": table(D.target_cross_tabs(D.target_population(steps))), "precision_triplets": table(D.precision_triplets(steps)),
     }
     phase("diagnose", at)
     elapsed = time.time() - begun

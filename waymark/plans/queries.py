@@ -15,7 +15,7 @@ from waymark.operators import events as E
 from waymark.operators import presence as P
 from waymark.operators.layers import Layers, decisions
 from waymark.plans import oracle as O
-from waymark.plans.analyst import Dataset, batch_nearest, batch_previous
+from waymark.plans.analyst import Dataset, batch_last, batch_nearest, batch_previous
 from waymark.sources.mapped import mapped_observations
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,20 +40,24 @@ def exact(df: DataFrame) -> DataFrame:
 _last: list[Layers] = []
 
 
-def layers(spark: SparkSession, sf_dir: str) -> Layers:
-    """Layers for one query. Rows that the query before it kept are given up."""
+def layers(spark: SparkSession, sf_dir: str, entity: str | None = None) -> Layers:
+    """Layers for one query. Rows that the query before it kept are given up.
+
+    A question about one entity reads its observations alone: Catalyst cannot push the filter through the fold, so it stands before it.
+    """
     while _last:
         try:
             _last.pop().release()
         except Exception:  # its session has ended
             continue
-    _last.append(Layers(mapped_observations(spark, sf_dir), CFG, keep=True))
+    rows = mapped_observations(spark, sf_dir)
+    _last.append(Layers(rows if entity is None else rows.where(F.col("entity_id") == entity), CFG, keep=True))
     return _last[0]
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Callable[[Layers], DataFrame]], Callable[[Layers], DataFrame]]:
+def query(name: str, sql: str | None = None, entity: str | None = None) -> Callable[[Callable[[Layers], DataFrame]], Callable[[Layers], DataFrame]]:
     def register(f: Callable[[Layers], DataFrame]) -> Callable[[Layers], DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: exact(f(layers(spark, sf_dir)))
+        QUERIES[name] = lambda spark, sf_dir: exact(f(layers(spark, sf_dir, entity)))
         if sql:
             ORACLE[name] = sql
         return f
@@ -274,7 +278,7 @@ _TIMELINE = f"""SELECT {ms('t_us', 'ts')}, 'event' AS kind, event_id AS id, even
   UNION ALL SELECT depart_us // 1000 * 1000, 'transition', transition_id, 'transition', arrive_us // 1000 * 1000, round((arrive_us - depart_us) / 1000000.0::DOUBLE, 6), segment_id, destination_id FROM t WHERE id = 'u7'"""
 
 
-@query("timeline", O.events(_TIMELINE))
+@query("timeline", O.events(_TIMELINE), entity="u7")
 def timeline(L: Layers) -> DataFrame:
     return dataset(L).timeline("u7").select("ts", "kind", "id", "label", F.coalesce(F.unix_micros("end_ts"), F.lit(0)).alias("end_ts"), "duration_s", "segment_id", "presence_interval_id")
 
@@ -284,7 +288,7 @@ def search_entities(L: Layers) -> DataFrame:
     return dataset(L).search_entities(min_observations=60, min_transitions=5, ha_class="mixed", sort_by="transition_count").limit(100).select("entity_id", "observation_count", "transition_count", "total_dwell_s")
 
 
-@query("get_entity", O.presence(f"SELECT entity_id, observation_count, presence_count, transition_count, unique_geohash_cells FROM ({_TRACK}) WHERE entity_id = 'u7'"))
+@query("get_entity", O.presence(f"SELECT entity_id, observation_count, presence_count, transition_count, unique_geohash_cells FROM ({_TRACK}) WHERE entity_id = 'u7'"), entity="u7")
 def get_entity(L: Layers) -> DataFrame:
     return dataset(L).entity("u7").select("entity_id", "observation_count", "presence_count", "transition_count", "unique_geohash_cells")
 
@@ -299,7 +303,7 @@ def get_transitions(L: Layers) -> DataFrame:
     return dataset(L).transitions(accuracy_support="all_known").select("transition_id", "depart_ts", "duration_s")
 
 
-@query("get_segments", O.steps(f"SELECT {O.sid('seg', 'any_value(track_id)', 'CAST(seg AS VARCHAR)')} AS segment_id, seg AS segment_index, count(*) AS observation_count FROM s WHERE id = 'u7' GROUP BY seg"))
+@query("get_segments", O.steps(f"SELECT {O.sid('seg', 'any_value(track_id)', 'CAST(seg AS VARCHAR)')} AS segment_id, seg AS segment_index, count(*) AS observation_count FROM s WHERE id = 'u7' GROUP BY seg"), entity="u7")
 def get_segments(L: Layers) -> DataFrame:
     return dataset(L).segments(entity_id="u7").select("segment_id", "segment_index", "observation_count")
 
@@ -309,7 +313,7 @@ def get_events(L: Layers) -> DataFrame:
     return dataset(L).events(event_type="DISCONTINUITY", start="2024-01-01T12:00:00Z").select("event_id", "event_time", "magnitude")
 
 
-@query("get_observations", O.presence(f"SELECT {ms('t_us', 'ts')}, {r('lat', 'lat')}, {O.geohash('lat', 'lon')} AS geohash, presence_id AS presence_interval_id, movement_state FROM ({_ASSIGNED}) WHERE id = 'u7'"))
+@query("get_observations", O.presence(f"SELECT {ms('t_us', 'ts')}, {r('lat', 'lat')}, {O.geohash('lat', 'lon')} AS geohash, presence_id AS presence_interval_id, movement_state FROM ({_ASSIGNED}) WHERE id = 'u7'"), entity="u7")
 def get_observations(L: Layers) -> DataFrame:
     return dataset(L).observations(entity_id="u7").select("ts", "lat", "geohash", "presence_interval_id", "movement_state")
 
@@ -374,7 +378,19 @@ def asof_previous(L: Layers) -> DataFrame:
     return batch_previous(L.events.where("event_type = 'DISCONTINUITY'"), L.observations)
 
 
-@query("paging", O.presence("SELECT presence_id AS presence_interval_id FROM p ORDER BY a_us // 1000, presence_id LIMIT 101 OFFSET 50"))
+@query("asof_last_two", O.events(f"""SELECT event_id, nth, observation_id FROM (SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY o.o_ms DESC, observation_id DESC) AS nth, observation_id
+  FROM (SELECT id, event_id, t_us // 1000 AS e_ms FROM ev WHERE event_type = 'DISCONTINUITY') e JOIN (SELECT id, {_OBS} AS observation_id, t_us // 1000 AS o_ms FROM s) o ON e.id = o.id AND o.o_ms <= e.e_ms) WHERE nth <= 2"""))
+def asof_last_two(L: Layers) -> DataFrame:
+    return batch_last(L.events.where("event_type = 'DISCONTINUITY'"), L.observations)
+
+
+@query("speed_only_distances", O.steps(f"""SELECT state, count(*) AS n, {r('min(eff)', 'least')}, {r('max(eff)', 'greatest')}, {r('quantile_cont(eff, 0.5)', 'p50')}, {r('quantile_cont(eff, 0.9)', 'p90')}, {r('quantile_cont(eff, 0.99)', 'p99')}
+  FROM s WHERE is_disc AND reason = 'speed_only' GROUP BY ALL"""))
+def speed_only_distances(L: Layers) -> DataFrame:
+    return D.speed_only_distances(D.steps(L.normalized, CFG))
+
+
+@query("paging",O.presence("SELECT presence_id AS presence_interval_id FROM p ORDER BY a_us // 1000, presence_id LIMIT 101 OFFSET 50"))
 def paging(L: Layers) -> DataFrame:
     return dataset(L).presence().offset(50).limit(101).select("presence_interval_id")
 

@@ -127,6 +127,32 @@ ORACLE["reversals"] = _FAST + f"""SELECT count(*) AS consecutive_target_edge_pai
   count_if({O.dist('a_lat', 'a_lon', 'lat', 'lon')} < 5 AND (lat > p_lat) <> (p_lat > a_lat) AND abs(a_raw - raw) <= 5) AS aba_like_pairs, count_if(a_prec = prec AND a_prec <> p_prec) AS precision_aba_returns FROM u WHERE target AND was"""
 
 
+_METRICS = {"raw_distance_m": "raw", "effective_distance_m": "raw", "step_dt_s": "2.0", "abs_delta_lat_deg": "abs(lat - p_lat)", "abs_delta_lon_deg": "abs(lon - p_lon)"}
+_LISTED = " UNION ALL ".join(f"SELECT '{name}' AS metric, CAST({v} AS DOUBLE) AS v FROM u WHERE target" for name, v in _METRICS.items())
+
+
+def target_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.target_distributions(D.target_population(_fast(spark, sf_dir)))
+
+
+ORACLE["target_distributions"] = _FAST + f"SELECT metric, count(*) AS n, {r('min(v)', 'least')}, {r('max(v)', 'greatest')}, {r('quantile_cont(v, 0.5)', 'p50')}, {r('quantile_cont(v, 0.9)', 'p90')}, {r('quantile_cont(v, 0.99)', 'p99')} FROM ({_LISTED}) GROUP BY metric"
+
+
+def target_cross_tabs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.target_cross_tabs(D.target_population(_fast(spark, sf_dir)))
+
+
+_KEYS = {"bearing_16": "CASE WHEN lat > p_lat THEN 'N' ELSE 'S' END", "distance_1m": "CAST(CAST(round(raw) AS BIGINT) AS VARCHAR)", "vector_10m": "'east_+0m_north_' || CASE WHEN lat > p_lat THEN '+' ELSE '-' END || CAST(round(raw / 10) AS BIGINT) * 10 || 'm'"}
+ORACLE["target_cross_tabs"] = _FAST + " UNION ALL ".join(f"SELECT p_prec || '->' || prec AS precision_transition, '{kind}' AS kind, {key} AS key, count(*) AS n FROM u WHERE target GROUP BY ALL" for kind, key in _KEYS.items())
+
+
+def precision_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.precision_triplets(_fast(spark, sf_dir))
+
+
+ORACLE["precision_triplets"] = _FAST + "SELECT a_prec || '->' || p_prec || '->' || prec AS precision_triplet, count(*) AS n FROM u WHERE target AND was GROUP BY ALL"
+
+
 def wkb_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Geometry of all segments as hexadecimal WKB."""
     from waymark.operators.layers import segments
@@ -140,5 +166,5 @@ def canonical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.canonical(E.stream(L.rows, L.folded, L.presence, CFG), CFG)
 
 
-for _name, _query in (("timestamp_parse", timestamp_parse), ("reject_counts", reject_counts), ("coordinate_precision", coordinate_precision), ("validate_events", validate_events), ("target_population", target_population), ("reversals", reversals), ("wkb_geometry", wkb_geometry), ("canonical_events", canonical_events)):
+for _name, _query in (("timestamp_parse", timestamp_parse), ("reject_counts", reject_counts), ("coordinate_precision", coordinate_precision), ("validate_events", validate_events), ("target_population", target_population), ("reversals", reversals), ("target_distributions", target_distributions), ("target_cross_tabs", target_cross_tabs), ("precision_triplets", precision_triplets), ("wkb_geometry", wkb_geometry), ("canonical_events", canonical_events)):
     QUERIES[_name] = lambda spark, sf_dir, f=_query: exact(f(spark, sf_dir))

@@ -257,6 +257,22 @@ def test_vector_links_equal_brute_force(spark):
     assert all(found[i]["kept"] == (root[i] == i) for i in range(len(x)))
 
 
+def test_equal_vectors_count_as_rows(spark, monkeypatch):
+    """Copies among near vectors, over several tiles; equal rows that cannot link (zeros, not finite, no label, empty) stay apart."""
+    monkeypatch.setattr(pq_dedup, "TILE", 8)
+    kinds = [([1.0, k * 1e-3, 0.0], 1 + k % 2) for k in range(40)]
+    rows = [(i, *kinds[i % 40]) for i in range(100)] + [(200 + i, [0.0, 1.0, 5.0], 1) for i in range(5)]
+    nan = float("nan")
+    rows += [(300 + i, v, label) for i, (v, label) in enumerate([([0.0, 0.0, 0.0], 1), ([nan, 1.0, 0.0], 1), ([None, 1.0, 0.0], 1), ([], 1), (None, 1), ([1.0, 0.0, 0.0], None)] * 2)]
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pq_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), threshold=0.99999).collect()}
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v, _ in rows if i < 300}
+    labels = {i: label for i, _, label in rows}
+    links = {i: [j for j in unit if j != i and labels[j] == labels[i] and unit[i] @ unit[j] >= 0.99999] for i in unit}
+    assert {i: found[i][0] for i in unit} == {i: len(x) for i, x in links.items()} and len({len(x) for x in links.values()}) > 3
+    assert all(found[i] == (0, i) for i in range(300, 312)) and {found[i][1] for i in range(200, 205)} == {200}
+    assert all(found[i][1] == i % 2 for i in range(100))
+
+
 def test_vectors_are_tiled_without_loss(spark, monkeypatch):
     monkeypatch.setattr(pq_dedup, "TILE", 16)
     rows = [(i, [1.0, i * 1e-4, 0.0, 0.0], 1) for i in range(150)] + [(500, [0.0, 0.0, 1.0, 0.0], 1), (501, [1.0, 0.0, 0.0, 0.0], 2)]

@@ -66,7 +66,8 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(rounds):
-        nearest = np.argmin((centres**2).sum(1)[None, :] - 2 * x @ centres.T, axis=1)
+        lengths = (centres**2).sum(1)[None, :]
+        nearest = np.concatenate([np.argmin(lengths - 2 * x[at : at + 1024] @ centres.T, axis=1) for at in range(0, len(x), 1024)])
         counts = np.bincount(nearest, minlength=k)
         sums = np.zeros_like(centres)
         np.add.at(sums, nearest, x)
@@ -81,7 +82,7 @@ def fit(sample: np.ndarray, rows: int) -> Index:
     x = np.pad(sample, ((0, 0), (0, width - dims)))
     centroids = kmeans(x, int(np.clip(rows // LIST_ROWS, 1, min(MOST_LISTS, len(x)))))
     index = Index(centroids, np.zeros((SUBSPACES, 1, width // SUBSPACES)), dims)
-    residual = x - centroids[np.argmin(index.coarse(x), axis=1)]
+    residual = np.concatenate([x[at : at + 1024] - centroids[np.argmin(index.coarse(x[at : at + 1024]), axis=1)] for at in range(0, len(x), 1024)])
     sub = width // SUBSPACES
     index.books = np.stack([kmeans(residual[:, m * sub : (m + 1) * sub], min(CODES, len(x)), 8) for m in range(SUBSPACES)])
     return index
@@ -117,8 +118,9 @@ def probes(index: Index, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.n
     """Own list of each vector, and pairs (row, list) of the lists whose border with its own is within radius."""
     d = index.coarse(x)
     own = np.argmin(d, axis=1)
-    apart = np.sqrt(np.maximum(0, (index.centroids**2).sum(1)[:, None] - 2 * index.centroids @ index.centroids.T + (index.centroids**2).sum(1)[None, :]))
-    may = d - d[np.arange(len(x)), own][:, None] <= 2 * apart[own] * radius + SLACK
+    homes, at = np.unique(own, return_inverse=True)
+    apart = np.sqrt(index.coarse(index.centroids[homes]))
+    may = d - d[np.arange(len(x)), own][:, None] <= 2 * apart[at] * radius + SLACK
     may[np.arange(len(x)), own] = True
     row, lists = np.nonzero(may)
     return own, row, lists
@@ -164,14 +166,21 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
 
     Rows are compared if their labels are equal and not null and their vectors have the same length. Null and zero vectors and
     such with null or non-finite components link with nothing. Each row is a vector of its own, even if ids or vectors repeat.
+    Equal vectors of a label always link; the search takes one of them with their number, so that copies cost no more than a join.
     n_links counts all rows at the threshold or over; links are counted inside tiles and never listed pair by pair, and only the
     edges that keep a tile's components together leave it. Raises ValueError for a threshold not in (0, 1].
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
     spark = vectors.sparkSession
-    base = cut(vectors.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("uid", F.monotonically_increasing_id()))
-    usable = base.where("label is not null and size(v) > 0")
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("uid", F.monotonically_increasing_id())
+    # 128 bits stand for a label and vector; null where nothing can link.
+    can = F.col("label").isNotNull() & (F.size("v") > 0)
+    rows = cut(rows.withColumns({"k1": F.when(can, F.xxhash64("label", "v")), "k2": F.when(can, F.xxhash64(F.reverse("v"), "label"))}))
+    equal = rows.where("k1 is not null").groupBy("k1", "k2").agg(F.min("uid").alias("first_uid"), F.count("*").alias("copies"))
+    base = rows.join(equal, ["k1", "k2"], "left").select("id", "uid", "first_uid", "copies", F.when(F.col("uid") == F.col("first_uid"), F.col("label")).alias("label"), F.when(F.col("uid") == F.col("first_uid"), F.col("v")).alias("v"))
+    base = cut(base)
+    usable = base.where("uid = first_uid")
     n, dims, largest = usable.groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims")).agg(F.sum("n"), F.max("dims"), F.max("n")).first()
     if not n:
         return base.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
@@ -205,27 +214,30 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
                     pa.array(lists_all.astype(np.int32)),
                     pa.array(member),
                     part.column("uid").take(pa.array(row_all)),
+                    part.column("copies").take(pa.array(row_all)),
                     others,
                     pa.array([x.tobytes() for x in unit[row_all]], pa.binary()),
-                ], names=["label", "length", "list", "member", "uid", "others", "x"])
+                ], names=["label", "length", "list", "member", "uid", "copies", "others", "x"])
 
-    routed = usable.select("label", "v", "uid").mapInArrow(route, "label string, length int, list int, member boolean, uid long, others array<int>, x binary")
+    routed = usable.select("label", "v", "uid", "copies").mapInArrow(route, "label string, length int, list int, member boolean, uid long, copies long, others array<int>, x binary")
     group = ["label", "length", "list"]
     counts = cut(routed.groupBy(*group).agg(F.ceil(F.count_if("member") / TILE).cast("int").alias("m_chunks"), F.ceil(F.count_if(~F.col("member")) / TILE).cast("int").alias("q_chunks")).where("m_chunks > 0"))
     spread = routed.join(counts, group)
     mine = F.pmod(F.xxhash64("uid"), F.when(F.col("member"), F.col("m_chunks")).otherwise(F.col("q_chunks"))).cast("int")
     others = F.sequence(F.lit(0), F.greatest(F.lit(1), F.when(F.col("member"), F.col("q_chunks")).otherwise(F.col("m_chunks"))) - 1)
     spread = spread.withColumn("mine", mine).withColumn("other", F.explode(others))
-    tiles = spread.select(*group, "member", "uid", "others", "x", F.when(F.col("member"), F.col("mine")).otherwise(F.col("other")).alias("mc"), F.when(F.col("member"), F.col("other")).otherwise(F.col("mine")).alias("qc"))
+    tiles = spread.select(*group, "member", "uid", "copies", "others", "x", F.when(F.col("member"), F.col("mine")).otherwise(F.col("other")).alias("mc"), F.when(F.col("member"), F.col("other")).otherwise(F.col("mine")).alias("qc"))
 
     def compare(table: pa.Table) -> pa.Table:
         index = shared.value
         member = table["member"].to_numpy()
         x = index.pad(np.frombuffer(b"".join(table["x"].to_pylist()), np.float64).reshape(-1, dims))
-        uid = table["uid"].to_numpy()
+        uid, copies = table["uid"].to_numpy(), table["copies"].to_numpy()
         q, m = uid[~member], uid[member]
         link = tile_links(index, index.centroids[table["list"][0].as_py()], x[~member], x[member], threshold)
-        link &= q[:, None] != m[None, :]
+        # A vector finds itself once, as a query in its own list; that stands for its copies.
+        itself = q[:, None] == m[None, :]
+        link = np.where(itself, copies[member][None, :] > 1, link)
         q_root, m_root = stars(link)
         keep_q, keep_m = np.flatnonzero(q_root >= 0), np.flatnonzero(m_root >= 0)
         others = table["others"].to_pylist()
@@ -236,13 +248,16 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
             probed[k, others[at]] = True
         # Where the member probes the query's list too, it counts the link there; else here.
         found = link[np.ix_(keep_q, keep_m)]
-        n_m = (found & ~probed[:, own].T).sum(0)
-        return pa.table({"uid": np.r_[q[keep_q], m[keep_m]], "root": np.r_[q[q_root[keep_q]], q[m_root[keep_m]]], "n": np.r_[found.sum(1), n_m].astype(np.int64)})
+        n_q = found @ copies[member][keep_m] - (found & itself[np.ix_(keep_q, keep_m)]).sum(1)
+        n_m = copies[~member][keep_q] @ (found & ~probed[:, own].T)
+        return pa.table({"uid": np.r_[q[keep_q], m[keep_m]], "root": np.r_[q[q_root[keep_q]], q[m_root[keep_m]]], "n": np.r_[n_q, n_m].astype(np.int64)})
 
     found = cut(tiles.groupBy(*group, "mc", "qc").applyInArrow(compare, "uid long, root long, n long"))
     links = found.groupBy("uid").agg(F.sum("n").alias("n_links"))
     roots = connected_components(found.select(F.col("uid").alias("u"), F.col("root").alias("v")))
-    joined = cut(base.select("id", "uid").join(links, "uid", "left").join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid")))
+    # Links and roots by vector; equal rows that cannot link, such as zeros, have none and stay apart.
+    known = links.join(roots.withColumnRenamed("node", "uid"), "uid", "left").select(F.col("uid").alias("first_uid"), "n_links", F.coalesce("root", "uid").alias("root"))
+    joined = cut(base.select("id", "uid", "first_uid").join(known, "first_uid", "left").withColumn("root", F.coalesce("root", "uid")))
     least = joined.groupBy("root").agg(F.min("id").alias("component_id"))
     out = joined.join(least, "root")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -1,26 +1,28 @@
 """SentencePiece BPE encoding and decoding by vectorised merge rounds.
 
-A text becomes words: each a run of U+2581 marks and what follows it up to the next mark. No piece of a supported model has a
-mark after another character, so merges never cross words. All new words of a slice are merged together: one flat array of
+A text is cut into words where no piece of the model can cross: between two characters whose neighbouring bytes stand side by side
+in no piece. No piece of a supported model has a mark (U+2581) after another character, so this cuts before marks as well. The
+different words of a slice are found by Arrow's dictionary encoding, and all new ones are merged together: one flat array of
 symbols, the minimum pair rank of each word by a segmented reduction, that pair merged at its leftmost places in all words
-at once, then compaction, until no word has a pair. Words seen before come from a bounded cache.
+at once, then compaction, until no word has a pair. Words seen before come from a bounded cache. Ids and surfaces are gathered
+as arrays, no word of the text is handled by itself.
 
-Long words without spaces would need a round for each rank that they hold. They are split first where no piece holds the two
-neighbouring characters, which no merge can cross. In what stays long a round may also merge every pair that comes before all
-others within the length of the longest piece on both sides: whatever could take one of its two symbols away has to be made of
-symbols in that reach, so by a pair there that comes first, and there is none.
+Long words would need a round for each rank that they hold. They are split further where no piece holds the two neighbouring
+characters. In what stays long a round may also merge every pair that comes before all others within the length of the longest
+piece on both sides: whatever could take one of its two symbols away has to be made of symbols in that reach, so by a pair there
+that comes first, and there is none.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
-import re
-from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 from waymark.llm.common import document_batches, slices
 
 MARK = "▁"
-#: Words kept with their ids in each of two generations in a Python worker, and the longest word kept.
-CACHE_WORDS, CACHE_LENGTH = 150_000, 256
+#: Words kept with their ids in a Python worker, and the most bytes of a word that is kept. When it is full, only a slice's words stay.
+CACHE_WORDS, CACHE_LENGTH = 300_000, 256
 #: Characters merged together at a time (a longer word alone), and bytes of text split into words at a time.
 MERGE_CHARS, SLICE_BYTES = 1 << 17, 2 << 20
 NONE = np.int64(1) << 40
@@ -122,6 +124,13 @@ class Vocabulary:
         self.longest = max(map(len, self.normal), default=1)
         #: Pairs of neighbouring characters in pieces; no merge crosses another pair.
         self.neighbours = np.unique(np.array([ord(a) << 21 | ord(b) for p in self.normal for a, b in zip(p[:-1], p[1:])], np.int64))
+        #: By two neighbouring bytes, 256 times the first and the second: whether no piece holds them where a character ends.
+        self.border = np.ones((256, 256), bool)
+        self.border[:, 0x80:0xC0] = False
+        for p in self.normal:
+            spelt = np.frombuffer(p.replace(MARK, " ").encode(), np.uint8)
+            self.border[spelt[:-1], spelt[1:]] = False
+        self.border = self.border.ravel()
         single = [(ord(p), i) for p, i in self.normal.items() if len(p) == 1]
         self.char = np.full(0x110000, -1, np.int64)
         self.char[[c for c, _ in single]] = [i for _, i in single]
@@ -172,16 +181,18 @@ def _merge_marks(vocabulary: Vocabulary, symbols: list[int]) -> list[int]:
     return [length[size[i]] for i in range(n) if alive[i]]
 
 
-def encode_words(vocabulary: Vocabulary, words: list[str]) -> Iterator[list[int]]:
-    """Ids of each word; words are merged together in rounds, MERGE_CHARS at a time, so that the arrays stay small."""
-    start = size = 0
+def encode_words(vocabulary: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words in a row and their number for each word; words are merged together in rounds, MERGE_CHARS at a time, so that the arrays stay small."""
+    made, start, size = [], 0, 0
     for i, word in enumerate(words):
         if size and size + len(word) > MERGE_CHARS:
-            yield from _merge_words(vocabulary, words[start:i])
+            made.append(_merge_words(vocabulary, words[start:i]))
             start, size = i, 0
         size += len(word)
     if words:
-        yield from _merge_words(vocabulary, words[start:])
+        made.append(_merge_words(vocabulary, words[start:]))
+    flat, counts = zip(*made, strict=True) if made else ((), ())
+    return np.concatenate((np.empty(0, np.int32), *flat)), np.concatenate((np.empty(0, np.int64), *counts))
 
 
 def _split_long(vocabulary: Vocabulary, points: np.ndarray, word: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -227,9 +238,12 @@ def _by_reach(vocabulary: Vocabulary, rank: np.ndarray, word: np.ndarray, starts
     return np.sort(np.r_[at[~better[part[at]]], first[better[part[first]]]])
 
 
-def _merge_words(vocabulary: Vocabulary, words: list[str]) -> list[list[int]]:
-    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
+def _merge_words(vocabulary: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    data = b"".join(words)
+    points = np.frombuffer(data.decode().replace(" ", MARK).encode("utf-32-le"), "<u4").astype(np.int64)
+    ends = np.cumsum([len(w) for w in words])
+    heads = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+    lengths = np.diff(heads[ends - 1], prepend=0)
     origin = np.repeat(np.arange(len(words)), lengths)
     word = _split_long(vocabulary, points, origin, lengths)
     parts = int(word[-1]) + 1 if len(word) else 0
@@ -238,14 +252,17 @@ def _merge_words(vocabulary: Vocabulary, words: list[str]) -> list[list[int]]:
     symbol = np.where(symbol < 0, -2 - points, symbol)
     done_at, done_symbol = [], []
     place = np.arange(len(symbol))
+    merged, rank = np.full(len(symbol), -1, np.int64), np.full(len(symbol), NONE)
+    touched = np.arange(len(symbol))
     while len(symbol):
-        same = word[1:] == word[:-1]
-        merged = np.full(len(symbol), -1, np.int64)
-        merged[:-1][same] = vocabulary.pair(symbol[:-1][same], symbol[1:][same])
-        rank = np.where(merged >= 0, vocabulary.rank[merged], NONE)
+        # Only pairs with a symbol that the last round made are looked up.
+        touched = touched[(touched >= 0) & (touched < len(symbol) - 1)]
+        touched = touched[word[touched] == word[touched + 1]]
+        found = vocabulary.pair(symbol[touched], symbol[touched + 1])
         # Marks with equal scores are left for the end of the word.
-        rank[(merged >= 0) & vocabulary.tied[merged]] = NONE
-        starts = np.flatnonzero(np.r_[True, ~same])
+        found[(found >= 0) & vocabulary.tied[found]] = -1
+        merged[touched], rank[touched] = found, np.where(found >= 0, vocabulary.rank[found], NONE)
+        starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
         sizes = np.diff(np.r_[starts, len(symbol)])
         least = np.minimum.reduceat(rank, starts)
         over = np.repeat(least == NONE, sizes)
@@ -256,9 +273,8 @@ def _merge_words(vocabulary: Vocabulary, words: list[str]) -> list[list[int]]:
             symbol, word, place, rank, merged = symbol[keep], word[keep], place[keep], rank[keep], merged[keep]
             if not len(symbol):
                 break
-            starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            sizes = np.diff(np.r_[starts, len(symbol)])
-            least = least[least != NONE]
+            sizes, least = sizes[least != NONE], least[least != NONE]
+            starts = np.cumsum(sizes) - sizes
         at = np.flatnonzero(rank == np.repeat(least, sizes))
         # In a chain of overlapping places every other one merges, from the left.
         chain = np.r_[True, at[1:] != at[:-1] + 1]
@@ -282,63 +298,101 @@ def _merge_words(vocabulary: Vocabulary, words: list[str]) -> list[list[int]]:
             if len(early):
                 at = at[first | ~np.isin(word[at], early)]
         at = _by_reach(vocabulary, rank, word, starts, sizes, at)
-        symbol = symbol.copy()
         symbol[at] = merged[at]
+        merged[at], rank[at] = -1, NONE
         keep = np.ones(len(symbol), bool)
         keep[at + 1] = False
-        symbol, word, place = symbol[keep], word[keep], place[keep]
+        before = at - 1 - np.arange(len(at))
+        symbol, word, place, merged, rank = symbol[keep], word[keep], place[keep], merged[keep], rank[keep]
+        merged[before[before >= 0]], rank[before[before >= 0]] = -1, NONE
+        touched = np.r_[before, before + 1]
     place, symbol = np.concatenate(done_at), np.concatenate(done_symbol)
     order = np.argsort(place)
     word, symbol = origin[place[order]], symbol[order]
-    bounds = np.searchsorted(word, np.arange(len(words) + 1))
-    flat, ends = symbol.tolist(), bounds.tolist()
-    out = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+    counts = np.bincount(word, minlength=len(words))
     special = np.unique(np.r_[word[symbol < 0], word[:-1][(symbol[1:] == vocabulary.mark) & (symbol[:-1] == vocabulary.mark) & (word[1:] == word[:-1])]])
+    if not len(special):
+        return symbol.astype(np.int32), counts
+    bounds, spelt = np.cumsum(counts) - counts, []
+    usual = np.ones(len(words), bool)
+    usual[special] = False
+    plain = symbol[np.repeat(usual, counts)]
     for i in special.tolist():
-        ids = out[i]
+        ids = symbol[bounds[i] : bounds[i] + counts[i]].tolist()
         marks = next((k for k, s in enumerate(ids) if s != vocabulary.mark), len(ids))
-        spelt = _merge_marks(vocabulary, ids[:marks])
+        own = _merge_marks(vocabulary, ids[:marks])
         for s in ids[marks:]:
-            spelt += [s] if s >= 0 else vocabulary.bytes[list(chr(-2 - s).encode("utf-8", "surrogatepass"))].tolist()
-        out[i] = spelt
-    return out
+            own += [s] if s >= 0 else vocabulary.bytes[list(chr(-2 - s).encode())].tolist()
+        spelt += own
+        counts[i] = len(own)
+    flat, slots = np.empty(int(counts.sum()), np.int32), np.repeat(usual, counts)
+    flat[slots], flat[~slots] = plain, spelt
+    return flat, counts
 
 
-_SPLIT = re.compile(f"{MARK}+[^{MARK}]*")
+def _gather(flat: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """flat[first : first + count] of each, in a row."""
+    skipped = first - (np.cumsum(counts) - counts)
+    return flat[np.repeat(skipped, counts) + np.arange(int(counts.sum()))]
 
 
 class Codec:
     """Encodes and decodes texts with one vocabulary; keeps words that it has met."""
 
     def __init__(self, model: bytes):
-        self.vocabulary, self.cache, self.older = Vocabulary(model), {}, {}
-        self.names = [b"%d," % i for i in range(self.vocabulary.size)]
-
-    def words(self, text: str) -> list[str]:
-        return _SPLIT.findall(MARK + text.replace(" ", MARK)) if text else []
-
-    def encode(self, texts: list[str]) -> list[list[tuple[int, bytes, bytes, bytes]]]:
-        """For each word of each text: number of ids, the ids in decimal digits with a comma after each, the ids' surfaces in UTF-8, the ids as 32-bit integers."""
-        split = [self.words(t) for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache, self.older = {}, self.cache
-        cache, older = self.cache, self.older
-        unmet = set().union(*split).difference(cache)
-        again = unmet.intersection(older)
-        cache.update({w: older[w] for w in again})
-        new = list(unmet.difference(again))
-        names, surface, long_words = self.names, self.vocabulary.surface, []
-        for word, ids in zip(new, encode_words(self.vocabulary, new)):
-            cache[word] = (len(ids), b"".join([names[i] for i in ids]), b"".join([surface[i] for i in ids]), array("i", ids).tobytes())
-            if len(word) > CACHE_LENGTH:
-                long_words.append(word)
-        found = [[cache[w] for w in words] for words in split]
-        for word in long_words:
-            del cache[word]
-        return found
+        self.vocabulary = Vocabulary(model)
+        #: Number of each kept word; first place and number of its ids in `flat`.
+        self.known: dict[bytes, int] = {}
+        self.flat, self.first, self.counts = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.names = pa.array([b"%d," % i for i in range(self.vocabulary.size)], pa.large_binary())
+        self.surfaces = pa.array(self.vocabulary.surface, pa.large_binary())
+
+    def words(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The words of all texts in a row, and for each text the place of its first one; in words, marks are spaces. Null is the empty text."""
+        texts = pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), MARK, " ")
+        nothing, mark = (pa.scalar(x, pa.large_string()) for x in ("", " "))
+        texts = pc.if_else(pc.equal(texts, nothing), nothing, pc.binary_join_element_wise(mark, texts, nothing))
+        bounds = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+        bounds = bounds - bounds[0]
+        border = np.ones(len(data) + 1, bool)
+        border[1:-1] = self.vocabulary.border[data[:-1].astype(np.uint16) << 8 | data[1:]]
+        border[bounds] = True
+        starts = np.flatnonzero(border)
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(data)])
+        return words.dictionary_encode(), np.searchsorted(starts, bounds)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin, with the end of the last."""
+        words, bounds = self.words(texts)
+        different = words.dictionary.to_pylist()
+        number = np.fromiter(map(self.known.get, different, repeat(-1)), np.int64, len(different))
+        new = np.flatnonzero(number < 0)
+        size = np.fromiter((len(different[i]) for i in new.tolist()), np.int64, len(new))
+        # Words too long to be kept come last.
+        new = new[np.argsort(size > CACHE_LENGTH, kind="stable")]
+        kept = int((size <= CACHE_LENGTH).sum())
+        if len(self.known) + kept > CACHE_WORDS:
+            stay = np.flatnonzero(number >= 0)
+            self.flat = _gather(self.flat, self.first[number[stay]], self.counts[number[stay]])
+            self.counts = self.counts[number[stay]]
+            self.first = np.cumsum(self.counts) - self.counts
+            number[stay] = np.arange(len(stay))
+            self.known = dict(zip([different[i] for i in stay.tolist()], range(len(stay)), strict=True))
+        flat, counts = encode_words(self.vocabulary, [different[i] for i in new.tolist()])
+        old = len(self.known)
+        first, counts = np.r_[self.first, len(self.flat) + np.cumsum(counts) - counts], np.r_[self.counts, counts]
+        flat = np.concatenate((self.flat, flat))
+        number[new] = old + np.arange(len(new))
+        self.known.update(zip([different[i] for i in new[:kept].tolist()], range(old, old + kept), strict=True))
+        self.first, self.counts = first[: old + kept], counts[: old + kept]
+        self.flat = flat if kept == len(new) else flat[: int(first[old + kept])].copy()
+        number = number[words.indices.to_numpy(zero_copy_only=False)]
+        counts = counts[number]
+        return _gather(flat, first[number], counts), np.r_[0, np.cumsum(counts)][bounds]
 
     def ids(self, text: str) -> list[int]:
-        return [int(i) for word in self.encode([text])[0] for i in word[1][:-1].split(b",")]
+        return self.encode(pa.array([text]))[0].tolist()
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
         """What the library's decode(ids) gives: byte pieces joined, bytes that are not UTF-8 each as U+FFFD, one leading space off."""
@@ -388,9 +442,16 @@ def _codec(model: bytes) -> Codec:
     return _CODECS[key]
 
 
-def _lists(packed: list[bytes]) -> pa.ListArray:
-    ends = np.r_[0, np.cumsum([len(x) // 4 for x in packed])].astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+def _spelt(table: pa.Array, ids: np.ndarray, bounds: np.ndarray, left_out: int) -> pa.Array:
+    """For each text the table's bytes of its ids as one string, without the first byte (left_out 0) or the last (-1)."""
+    taken = table.take(pa.array(ids))
+    place = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1, taken.offset * 8)[bounds]
+    data = np.frombuffer(taken.buffers()[2] or b"", np.uint8)[: int(place[-1])]
+    some = place[1:] > place[:-1]
+    stays = np.ones(len(data), bool)
+    stays[(place[:-1] if left_out == 0 else place[1:] - 1)[some]] = False
+    ends = (place - np.r_[0, np.cumsum(some)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends), pa.py_buffer(data[stays])]).cast(pa.string())
 
 
 def tokenize(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_text: bool = True) -> DataFrame:
@@ -408,19 +469,11 @@ def tokenize(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model.value)
         for batch in slices(batches, "t", SLICE_BYTES):
-            texts = [t or "" for t in batch.column("t").to_pylist()]
-            n, ids_text, decoded, ids = [], [], [], []
-            for words in codec.encode(texts):
-                n.append(sum([w[0] for w in words]))
-                if with_text:
-                    ids_text.append(b"".join([w[1] for w in words])[:-1].decode())
-                # Bytes of one character never stand in two words, so words are decoded one by one.
-                decoded.append(b"".join([w[2] for w in words])[1:].decode())
-                if with_ids:
-                    ids.append(b"".join([w[3] for w in words]))
-            columns = {"i": batch.column("i"), "n_tokens": pa.array(n, pa.int64()), "decoded": pa.array(decoded, pa.string())}
-            columns |= {"ids_text": pa.array(ids_text, pa.string())} if with_text else {}
-            columns |= {"ids": _lists(ids)} if with_ids else {}
+            ids, bounds = codec.encode(batch.column("t"))
+            # Every text begins with a mark, whose space goes. Bytes of one character never stand in two words, so the surfaces in a row are the text.
+            columns = {"i": batch.column("i"), "n_tokens": pa.array(np.diff(bounds)), "decoded": _spelt(codec.surfaces, ids, bounds, 0)}
+            columns |= {"ids_text": _spelt(codec.names, ids, bounds, -1)} if with_text else {}
+            columns |= {"ids": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))} if with_ids else {}
             yield pa.record_batch(list(columns.values()), names=list(columns))
 
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))

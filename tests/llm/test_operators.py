@@ -1,5 +1,6 @@
 """The training-data operators against brute force, round trips and held-out accuracy; nulls, empty and long texts, ties, copies, clashing columns."""
 
+import calendar
 import datetime as dt
 import hashlib
 import os
@@ -10,6 +11,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -488,7 +490,7 @@ def test_pseudonyms_keep_format_and_links(spark):
     rows = [(1, "card 4111 1111 1111 1111 and 4111111111111111."), (2, "again 4111-1111-1111-1111"), (3, "not 4111111111111112, 12.5.1, 999.1.1.1, 000-12-3456, 1981-02-29"), (4, "born 1980-02-29 or 31/12/1999"), (5, "call +1 (017) 555-7713"), (6, "ip 10.0.0.1 ssn 123-45-6789"),
             (7, "mail Some.One@mail7.example.com!"), (8, 'token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"###'), (9, "GB82 WEST 1234 5698 7654 32"), (10, None), (11, ""), (12, "1 " * 50000)]
     table = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, kinds int")
-    got = {r["doc_id"]: r for r in pii.pseudonymise(table).collect()}
+    got = {r["doc_id"]: r for r in pii.pseudonymise(table, key="one").collect()}
     text = lambda i: got[i]["text"]
     a, b = re.fullmatch(r"card (\d{4} \d{4} \d{4} \d{4}) and (\d{16})\.", text(1)).groups()
     assert a.replace(" ", "") == b == text(2)[6:].replace("-", "") != "4111111111111111" and luhn(b)
@@ -508,7 +510,7 @@ def test_pseudonyms_keep_format_and_links(spark):
 
 def test_cards_beside_other_numbers_are_replaced(spark):
     texts = ["4111111111111111", "4111 1111 1111 1111 123", "4111111111111111 12/27", "Order 12 4111-1111-1111-1111", "2 4111111111111111", "2024 1234 4111 1111 1111 1111", "4111 1111 1111 1111 5500 0000 0000 0004", "4111111111111111 123-45-6789 4111111111111111 212 555 0123", "4111111111111112 12"]
-    got = [(r["text"], r["__pii_kinds"]) for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).orderBy("i").collect()]
+    got = [(r["text"], r["__pii_kinds"]) for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), key="one").orderBy("i").collect()]
     card = got[0][0]
     four = [card[k : k + 4] for k in range(0, 16, 4)]
     assert [t for t, _ in got[1:6]] == [" ".join(four) + " 123", card + " 12/27", "Order 12 " + "-".join(four), "2 " + card, "2024 1234 " + " ".join(four)]
@@ -517,6 +519,129 @@ def test_cards_beside_other_numbers_are_replaced(spark):
     assert got[8] == (texts[8], [])
 
 
+def pseudonym_by_hand(key, m):
+    """(kind, pseudonym) of a candidate in plain Python; the kind is None if it stays."""
+    key = hashlib.sha256(f"pseudonyms|{key}".encode()).hexdigest()
+
+    def mix(tweak, a, b, most_a, most_b):
+        for turn in range(10):
+            noise = int(hashlib.sha256(f"{key}|{tweak}|{turn}|{a if turn % 2 else b}".encode()).hexdigest()[:12], 16)
+            a, b = (a, (b + noise) % most_b) if turn % 2 else ((a + noise) % most_a, b)
+        return a, b
+
+    def digits_of(kind, d):
+        h, rest = len(d) // 2, len(d) - len(d) // 2
+        a, b = mix(f"{kind}{len(d)}", int(d[:h]), int(d[h:]), 10**h, 10**rest)
+        return f"{a:0{h}}{b:0{rest}}"
+
+    def put(template, digits):
+        left = iter(digits)
+        return "".join(next(left) if c.isdigit() else c for c in template)
+
+    def card(text):
+        body = digits_of("card", re.sub("[^0-9]", "", text)[:-1])
+        return put(text, body + next(c for c in "0123456789" if luhn(body + c)))
+
+    is_card = lambda t: 13 <= len(re.sub("[^0-9]", "", t)) <= 19 and luhn(re.sub("[^0-9]", "", t))
+    d = re.sub("[^0-9]", "", m)
+    if "@" in m:
+        return "email", "user-" + hashlib.sha256(f"{key}|email|{m.lower()}".encode()).hexdigest()[:12] + "@mail.invalid"
+    if re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", m):
+        o = m.split(".")
+        if any(int(x) > 255 or x != str(int(x)) for x in o):
+            return None, m
+        a, b = mix("ip", int(o[0]) * 256 + int(o[1]), int(o[2]) * 256 + int(o[3]), 65536, 65536)
+        return "ip", f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    if re.fullmatch(r"\d{4}-\d\d-\d\d|\d\d([/.])\d\d[/.]\d{4}", m):
+        for style, form in (("ymd", "%Y-%m-%d"), ("d.m.y", "%d.%m.%Y"), ("d/m/y", "%d/%m/%Y"), ("m/d/y", "%m/%d/%Y")):
+            try:
+                day = dt.datetime.strptime(m, form).date()
+            except ValueError:
+                continue
+            if not 1800 <= day.year <= 2199:
+                return None, m
+            if style != "m/d/y":
+                n = (day - dt.date(1800, 1, 1)).days
+                a, b = mix(f"date{style}", n // 773, n % 773, 189, 773)
+                return "date", (dt.date(1800, 1, 1) + dt.timedelta(a * 773 + b)).strftime(form)
+            days = [(dt.date(2000, 1, 1) + dt.timedelta(k)).strftime("%m/%d") for k in range(366)]
+            days = [x for x in days if x[3:] > "12"]
+            a, b = mix("datem/d/y", day.year - 1800, days.index(m[:5]), 400, len(days))
+            while days[b] == "02/29" and not calendar.isleap(1800 + a):
+                a, b = mix("datem/d/y", a, b, 400, len(days))
+            return "date", f"{days[b]}/{1800 + a}"
+        return None, m
+    if re.fullmatch(r"\d{3}-\d\d-\d{4}", m):
+        area, group, serial = map(int, m.split("-"))
+        areas = [x for x in range(1, 900) if x != 666]
+        if area not in areas or not group or not serial:
+            return None, m
+        a, b = mix("ssn", areas.index(area), (group - 1) * 9999 + serial - 1, 898, 99 * 9999)
+        return "ssn", f"{areas[a]:03}-{b // 9999 + 1:02}-{b % 9999 + 1:04}"
+    if regex.fullmatch(pii.PHONE, m):
+        own, parts = d[-10:], []
+        for at, n in ((0, 3), (3, 7)):
+            low, most = (2, 8) if own[at] >= "2" else (0, 2)
+            parts.append((int(own[at : at + n]) - low * 10 ** (n - 1), most, low, n))
+        mixed = mix(f"phone-{parts[0][1]}-{parts[1][1]}", parts[0][0], parts[1][0], parts[0][1] * 100, parts[1][1] * 1000000)
+        return "phone", put(m, d[:-10] + "".join(f"{x + low * 10 ** (n - 1):0{n}}" for x, (_, _, low, n) in zip(mixed, parts, strict=True)))
+    if re.fullmatch("[0-9 -]+", m):
+        if is_card(m):
+            return "card", card(m)
+        pieces, out, n, i = re.findall("[ -]?[0-9]+", m), "", 0, 0
+        while i < len(pieces):
+            size = next((k for k in range(min(19, len(pieces) - i), 0, -1) if is_card("".join(pieces[i : i + k]))), 0)
+            out += card("".join(pieces[i : i + size])) if size else pieces[i]
+            n, i = n + bool(size), i + max(size, 1)
+        return ",".join(["card"] * n) or None, out
+    bare = m.replace(" ", "")
+    if re.fullmatch("[A-Z]{2}[0-9]{2}[A-Z0-9 ]*", m) and 15 <= len(bare) <= 34:
+        of = lambda t: int("".join(str(int(c, 36)) for c in t)) % 97
+        if of(bare[4:] + bare[:4]) != 1:
+            return None, m
+        old = re.sub("[^0-9]", "", bare[4:])
+        tail = put(bare[4:], digits_of("iban", old)) if len(old) > 1 else bare[4:]
+        left = iter(f"{98 - of(tail + bare[:2] + '00'):02}{tail}")
+        return "iban", m[:2] + "".join(c if c == " " else next(left) for c in m[2:])
+    if re.fullmatch("[0-9a-f]{32,128}|[0-9A-F]{32,128}", m):
+        made = hashlib.sha512(f"{key}|secret|{m}".encode()).hexdigest()[: len(m)]
+        return "secret", made if m == m.lower() else made.upper()
+    return None, m
+
+
+@here
+def test_pseudonyms_equal_those_by_hand(spark):
+    rnd = random.Random(9)
+    number = lambda n: "".join(rnd.choices("0123456789", k=n))
+    shapes = [
+        lambda: next(x for x in iter(lambda: number(rnd.randint(13, 19)), None) if luhn(x)), lambda: " ".join(number(4) for _ in range(rnd.randint(2, 9))), lambda: f"({number(3)}) {number(3)}-{number(4)}", lambda: f"+{number(2)} {number(3)}.{number(3)}.{number(4)}",
+        lambda: f"{number(3)}-{number(2)}-{number(4)}", lambda: ".".join(str(rnd.randint(0, 280)) for _ in range(4)), lambda: f"{rnd.randint(1, 31):02}/{rnd.randint(1, 31):02}/{rnd.randint(1790, 2210)}", lambda: f"{rnd.randint(1, 31):02}.{rnd.randint(1, 13):02}.{rnd.randint(1790, 2210)}",
+        lambda: f"{rnd.randint(1790, 2210)}-{rnd.randint(1, 13):02}-{rnd.randint(1, 31):02}", lambda: f"A{number(2)}.b@Mail{number(1)}.example.com", lambda: rnd.choice(["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "GB83WEST12345698765432"]),
+        lambda: "".join(rnd.choices("0123456789abcdef", k=rnd.choice([31, 32, 64, 128]))), lambda: "".join(rnd.choices("0123456789ABCDEF", k=40)), lambda: rnd.choice(["word", "", "3,14", "line\nbreak", "4111 1111 1111 1111 12/27"]),
+    ]
+    texts = [rnd.choice([" ", ", ", "; ", "\n"]).join(rnd.choice(shapes)() for _ in range(rnd.randint(0, 12))) for _ in range(400)]
+    texts += [r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    got = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), key="one").orderBy("i").collect()
+    seen = set()
+    for text, row in zip(texts, got, strict=True):
+        kinds, out, at = [], [], 0
+        for found in regex.finditer(pii.ANY, text):
+            kind, made = pseudonym_by_hand("one", found[0])
+            kinds += kind.split(",") if kind else []
+            out += [text[at : found.start()], made]
+            at = found.end()
+        assert (row["text"], row["__pii_kinds"]) == ("".join(out) + text[at:], kinds), text
+        seen |= set(kinds)
+    assert seen == set(pii.KINDS)
+
+
+def test_dates_with_slashes_stay_apart(spark):
+    days = spark.range(146097).select(F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    text = days.select(F.date_format("d", "dd/MM/yyyy").alias("t")).unionByName(days.select(F.date_format("d", "MM/dd/yyyy").alias("t"))).distinct()
+    made = pii.pseudonymise(text, text_col="t", key="one").cache()
+    assert made.count() == 234594 and made.join(text, "t", "left_semi").distinct().count() == 234594
+
+
 def test_feistel_is_a_permutation(spark):
     rows = spark.range(1000).select(pii.permute_digits("k", "t", F.lpad(F.col("id").cast("string"), 3, "0")).alias("p")).collect()
     assert len({r["p"] for r in rows}) == 1000

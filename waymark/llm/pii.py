@@ -3,8 +3,10 @@
 Candidates are found by one pattern; each is validated (Luhn, octets, calendar, number ranges) and, if valid, replaced by a keyed
 permutation of the valid values of its own format: a Feistel network of ROUNDS rounds over two numbers a and b, in turn
 a := (a + F(round, b)) mod A and b := (b + F(round, a)) mod B, with F from SHA-256 under the key. Equal values get equal
-pseudonyms in all documents, and different ones of a kind and format different pseudonyms (dates with slashes: as far as the
-same one of day and month comes first). What does not validate stays as it is.
+pseudonyms in all documents, and different ones of a kind and format different pseudonyms. What does not validate stays as it is.
+
+The key is the caller's. Only a digest of it stands in the plan, but whoever has that digest can undo the pseudonyms, so plans and
+event logs are as secret as the key.
 
 | kind | found | permuted over |
 |-|-|-|
@@ -12,7 +14,7 @@ same one of day and month comes first). What does not validate stays as it is.
 | phone | optional +country, area in brackets or with separators, 10 digits in all | the 10 digits, first digit of the area and of the rest aside |
 | ssn | ddd-dd-dddd with a valid area, group and serial | all valid numbers |
 | ip | four octets up to 255 | all addresses |
-| date | yyyy-mm-dd, dd/mm/yyyy or mm/dd/yyyy (the first that is a date), dd.mm.yyyy; from 1800 to 2199 | all days of these 400 years |
+| date | yyyy-mm-dd, dd/mm/yyyy or mm/dd/yyyy (the first that is a date), dd.mm.yyyy; from 1800 to 2199 | all days of these 400 years; mm/dd/yyyy all with a day over 12, which are no dd/mm/yyyy |
 | iban | two letters, two check digits, 11 to 30 letters or digits, valid modulo 97 | its digits from the fifth place on; check digits computed again |
 | email | local part, @, domain | 48 bits of a keyed digest of the lower-cased address, in the domain mail.invalid |
 | secret | 32 or more lower- or upper-case hexadecimal digits | a keyed digest of the same length and case |
@@ -22,6 +24,8 @@ E-mail addresses and secrets have no fixed number format; their pseudonyms are d
 
 from __future__ import annotations
 
+import hashlib
+from calendar import monthrange
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -164,6 +168,11 @@ def _ip(key: str, m: Column) -> Column:
     return _let(F.split(m, r"\."), run)
 
 
+#: Month and day where the month comes first and the day is over 12, in a leap year.
+_MONTH_FIRST = [f"{m:02}/{d:02}" for m in range(1, 13) for d in range(13, monthrange(2000, m)[1] + 1)]
+#: Permutations in a row until a date comes: one in 293 is 02/29 of a year without it, so that fewer than one in 10^29 dates needs more.
+WALK = 12
+
 #: 400 years have 146097 days, which is 189 * 773.
 _FIRST_DAY = "1800-01-01"
 
@@ -181,13 +190,22 @@ def _parsed_date(m: Column) -> Column:
 
 def _date(key: str, parsed: Column) -> Column:
     n = F.datediff(parsed["day"], F.lit(_FIRST_DAY).cast("date")).cast("long")
+    tweak = F.concat(F.lit("date"), parsed["style"])
 
     def spell(s: Column) -> Column:
         day = F.date_add(F.lit(_FIRST_DAY).cast("date"), (s["a"] * 773 + s["b"]).cast("int"))
-        return F.when(parsed["style"] == "ymd", F.date_format(day, "yyyy-MM-dd")).when(parsed["style"] == "d.m.y", F.date_format(day, "dd.MM.yyyy")).when(parsed["style"] == "d/m/y", F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "MM/dd/yyyy"))
+        return F.when(parsed["style"] == "ymd", F.date_format(day, "yyyy-MM-dd")).when(parsed["style"] == "d.m.y", F.date_format(day, "dd.MM.yyyy")).otherwise(F.date_format(day, "dd/MM/yyyy"))
+
+    def month_first() -> Column:
+        """Months and days permuted with the years; what comes out as 02/29 of a common year is permuted again, which keeps it a permutation."""
+        pairs, february = F.array(*[F.lit(p) for p in _MONTH_FIRST]), _MONTH_FIRST.index("02/29")
+        again = lambda s: feistel(key, tweak, s["a"], s["b"], F.lit(400), F.lit(len(_MONTH_FIRST)))
+        leap = lambda a: (a % 4 == 0) & ((a % 100 != 0) | (a == 200))
+        begun = F.struct((F.year(parsed["day"]) - 1800).cast("long").alias("a"), (F.array_position(pairs, F.date_format(parsed["day"], "MM/dd")) - 1).alias("b"))
+        made = F.aggregate(F.sequence(F.lit(1), F.lit(WALK - 1)), again(begun), lambda s, _: F.when((s["b"] != february) | leap(s["a"]), s).otherwise(again(s)))
+        return _let(made, lambda s: F.concat(F.element_at(pairs, (s["b"] + 1).cast("int")), F.lit("/"), (s["a"] + 1800).cast("string")))
 
-    # Day first and month first share a format: within the days that only one of them spells so, the permutation keeps the style.
-    return _let(feistel(key, F.concat(F.lit("date"), parsed["style"]), F.floor(n / 773), n % 773, F.lit(189), F.lit(773)), spell)
+    return F.when(parsed["style"] == "m/d/y", month_first()).otherwise(_let(feistel(key, tweak, F.floor(n / 773), n % 773, F.lit(189), F.lit(773)), spell))
 
 
 def _iban(key: str, m: Column, bare: Column) -> Column:
@@ -234,13 +252,13 @@ def replacement(key: str, m: Column) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, *, text_col: str = "text", key: str = "waymark") -> DataFrame:
+def pseudonymise(docs: DataFrame, *, key: str, text_col: str = "text") -> DataFrame:
     """`docs` with pseudonyms in text_col, and `__pii_kinds`, the kinds replaced in order of place (empty where none).
 
     Null texts stay null with no kinds; texts without valid data are returned byte for byte. The rows are worked on one by one,
     without a shuffle. Names that begin with `__pii_` are reserved.
     """
-    text = F.col(text_col)
+    text, key = F.col(text_col), hashlib.sha256(f"pseudonyms|{key}".encode()).hexdigest()
     # The text between candidates and the candidates, by the same pattern: together they are the text.
     found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     marked = docs.withColumn("__pii_found", F.coalesce(found, F.array().cast("array<string>")))

@@ -142,7 +142,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    masked = pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    masked = pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), key="op9")
     return masked.select("doc_id", F.size("__pii_kinds").alias("n_replaced"), F.array_join("__pii_kinds", ",").alias("kinds"), "text")
 
 

@@ -1,8 +1,9 @@
 """Media columns: 8-bit audio and its features.
 
 A payload is stored as the samples of a WAV file (unsigned 8-bit PCM, mono). Features of what is read back: polyphase
-resampling, log-mel filterbanks over overlapping frames, and segments by energy with hysteresis. They are stored as tensors
-of one fixed shape (clips of CLIP_FRAMES x N_MELS) with their time spans.
+resampling, log-mel filterbanks over overlapping frames, and segments by energy with hysteresis. They are stored as an Arrow
+stream for each medium: a row for each clip, with its time span, the active spans that begin in it, and its log-mel frames as a
+tensor of the fixed shape CLIP_FRAMES x N_MELS. The features' digest is made of what is read back from that stream.
 """
 
 from __future__ import annotations
@@ -172,10 +173,43 @@ def tensor_array(values: np.ndarray) -> pa.FixedShapeTensorArray:
     return pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(values))
 
 
-def spell(mel: np.ndarray, active: list[tuple[int, int]]) -> str:
-    """The features as a short text: frames, clips, active segments and frames, and a digest of all clips and spans."""
-    digest = hashlib.sha256(clips(mel).astype("<f4").tobytes() + np.array(active, "<i8").tobytes()).hexdigest()
-    return f"frames={len(mel)};clips={-(-len(mel) // CLIP_FRAMES)};segments={len(active)};active={sum(b - a for a, b in active)};logmel={digest}"
+def pack(mel: np.ndarray, active: list[tuple[int, int]]) -> bytes:
+    """An Arrow stream of one batch, a row for each clip: clip, start_s, end_s, frames, active (spans in seconds that begin in the clip), logmel (fixed-shape tensor)."""
+    cut, step = clips(mel), HOP / TARGET_RATE
+    first = np.arange(len(cut)) * CLIP_FRAMES
+    frames = np.minimum(CLIP_FRAMES, len(mel) - first)
+    spans = np.array(active, np.int64).reshape(-1, 2)
+    bounds = np.r_[np.searchsorted(spans[:, 0], first), len(spans)].astype(np.int32)
+    seconds = pa.StructArray.from_arrays([pa.array(spans[:, 0] * step), pa.array(spans[:, 1] * step)], ["start_s", "end_s"])
+    batch = pa.record_batch({
+        "clip": pa.array(np.arange(len(cut))),
+        "start_s": pa.array(first * step),
+        "end_s": pa.array(((first + frames - 1) * HOP + FRAME) / TARGET_RATE),
+        "frames": pa.array(frames),
+        "active": pa.ListArray.from_arrays(pa.array(bounds), seconds),
+        "logmel": tensor_array(cut),
+    })
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack(data: bytes) -> pa.RecordBatch:
+    """The batch of a stream by `pack`."""
+    with pa.ipc.open_stream(data) as reader:
+        return reader.read_next_batch()
+
+
+def spell(clip_rows: pa.RecordBatch) -> str:
+    """The features as a short text: frames, clips, active segments and frames, and a digest of all tensors and time spans."""
+    active = clip_rows.column("active").flatten()
+    begin, end = (active.field(k).to_numpy() for k in (0, 1))
+    digest = hashlib.sha256()
+    for values in (clip_rows.column("logmel").to_numpy_ndarray().astype("<f4"), *(clip_rows.column(c).to_numpy().astype("<f8") for c in ("start_s", "end_s")), begin.astype("<f8"), end.astype("<f8")):
+        digest.update(np.ascontiguousarray(values).tobytes())
+    frames = int(np.round((end - begin).sum() * TARGET_RATE / HOP))
+    return f"frames={sum(clip_rows.column('frames').to_pylist())};clips={clip_rows.num_rows};segments={len(begin)};active={frames};features={digest.hexdigest()}"
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,23 +227,24 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def describe(media: DataFrame, media_col: str = "media") -> DataFrame:
-    """All columns but the medium, with what its stored bytes hold: payload_bytes, payload_sha256, tail_crc32 (last 16 bytes), media_bytes, media_sha256, feature. Null media give nulls."""
+    """All columns but the medium, with what its stored bytes hold: payload_bytes, payload_sha256, tail_crc32 (last 16 bytes), media_bytes, media_sha256, tensors (the stream of `pack`), feature (spelt from the stream). Null media give nulls."""
     kept = [c for c in media.columns if c != media_col]
     typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema if f.name != media_col)
-    made = pa.schema([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+    made = pa.schema([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("tensors", pa.binary()), ("feature", pa.string())])
 
     def one(data: bytes | None) -> dict:
         if data is None:
             return {}
         payload, _, mel, active = analyse(data)
-        return {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]), "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest(), "feature": spell(mel, active)}
+        packed = pack(mel, active)
+        return {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]), "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest(), "tensors": packed, "feature": spell(unpack(packed))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, media_col):
             rows = pa.RecordBatch.from_pylist([one(m) for m in batch.column(media_col).to_pylist()], schema=made)
             yield pa.record_batch([batch.column(c) for c in kept] + rows.columns, names=[*kept, *made.names])
 
-    return media.mapInArrow(run, f"{typed}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string".removeprefix(", "))
+    return media.mapInArrow(run, f"{typed}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tensors binary, feature string".removeprefix(", "))
 
 
 def tensors(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:

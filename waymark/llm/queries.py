@@ -98,7 +98,7 @@ FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 
 def op4_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = audio.describe(audio.store(_table(spark, sf_dir, "documents")))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.sha2("tensors", 256).alias("tensors_sha256"), "feature")
 
 
 def op5_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:

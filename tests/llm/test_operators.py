@@ -3,6 +3,7 @@
 import calendar
 import datetime as dt
 import hashlib
+import math
 import os
 import random
 import re
@@ -223,6 +224,39 @@ def test_blocks_do_not_change_features(monkeypatch):
     assert np.array_equal(whole, audio.analyse(media)[2])
 
 
+def test_features_equal_those_by_hand(spark):
+    """Frames, filters and energy written out as sums; the stored stream holds them as tensors with spans."""
+    payload = audio.padded(bytes(random.Random(4).choices(range(32, 250), k=3000)) + b"a" * 2000 + "漢字 ".encode() * 300)
+    row = audio.describe(spark.createDataFrame([(1, bytearray(audio.write_wav(payload)))], "doc_id long, media binary")).first()
+    x = slow_resample((np.frombuffer(payload, np.uint8).astype(float) - 128) / 128, 1, 2, len(payload) // 2 + 512)
+    count = 1 + math.ceil(max(0, math.ceil(len(payload) / 2) - 256) / 128)
+    mel, energy = [], []
+    to_mel = lambda f: 2595 * math.log10(1 + f / 700)
+    edges = [700 * (10 ** (k * to_mel(4000) / 25 / 2595) - 1) for k in range(26)]
+    wave = np.exp(-2j * np.pi * np.outer(np.arange(129), np.arange(256)) / 256)
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(256) / 255)
+    for k in range(count):
+        frame = x[k * 128 : k * 128 + 256]
+        power = np.abs(wave @ (frame * hann)) ** 2
+        band = lambda m: sum(p * max(0, min((f - edges[m]) / (edges[m + 1] - edges[m]), (edges[m + 2] - f) / (edges[m + 2] - edges[m + 1]))) for f, p in zip(np.arange(129) * 31.25, power))
+        mel.append([10 * math.log10(band(m) + 1e-6) for m in range(24)])
+        energy.append(10 * math.log10(((frame - frame.mean()) ** 2).mean() + 1e-9))
+    spans, begun, middle = [], None, np.median(energy)
+    for k, e in enumerate([*energy, -1e9]):
+        if begun is None and e >= middle + 1.5:
+            begun = k
+        elif begun is not None and e < middle + 0.5:
+            spans, begun = [*spans, (begun, k)], None
+    stored = audio.unpack(bytes(row["tensors"]))
+    tensors = stored.column("logmel").to_numpy_ndarray()
+    assert isinstance(stored.schema.field("logmel").type, pa.FixedShapeTensorType) and tensors.shape == (-(-count // 64), 64, 24)
+    flat = tensors.reshape(-1, 24)
+    assert np.abs(flat[:count] - np.array(mel)).max() <= 0.05 and (flat[count:] == -60).all() and spans
+    assert [(round(s["start_s"] * 62.5), round(s["end_s"] * 62.5)) for s in stored.column("active").flatten().to_pylist()] == spans
+    assert stored.column("frames").to_pylist() == [min(64, count - 64 * k) for k in range(len(tensors))] and row["feature"] == audio.spell(stored)
+    assert row["feature"].startswith(f"frames={count};clips={len(tensors)};segments={len(spans)};active={sum(b - a for a, b in spans)};")
+
+
 def test_segments_and_tensors(spark):
     assert audio.segments(np.array([0, 0, 0, 2, 1, 1, 0.2, 0, 1.2, 0, 0.0, 0])) == [(3, 6)]
     with pytest.raises(ValueError):
@@ -310,6 +344,87 @@ def test_language(spark):
     assert (none["lang_pred"], none["score"]) == ("und", 0.0)
 
 
+def gram_counts_by_hand(text):
+    kept, last = [32], 32
+    for c in (text or "").lower():
+        p = ord(c) if c.isalpha() else 32
+        if p != 32 or last != 32:
+            kept.append(p)
+        last = p
+    counts = {}
+    if any(p != 32 for p in kept):
+        for n in (1, 2, 3):
+            for i in range(len(kept) - n + 1):
+                h = n * 0x9E3779B1 % 2**32
+                for p in kept[i : i + n]:
+                    h = (h ^ p) * 0x01000193 % 2**32
+                    h ^= h >> 15
+                b = h * 0x85EBCA6B % 2**32 >> 17
+                counts[b] = counts.get(b, 0) + 1
+    return counts
+
+
+def test_training_and_predictions_equal_those_by_hand(spark):
+    """Inverse document frequencies, follow-the-regularised-leader, temperature and scores in plain loops, from the sample that fit draws (here all rows)."""
+    rows = [(i, t, lang, "s", 0) for i, (lang, t) in enumerate(sentences(3, 25))] + [(800, "12 34", "en", "s", 0), (801, None, "fr", "s", 0)]
+    table = docs(spark, rows)
+    model = langid.fit(table)
+    draw = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))), F.lit(1 << 30))
+    order = [r["doc_id"] for r in table.withColumn("draw", draw).orderBy("draw", "lang").collect()]
+    counts = {i: gram_counts_by_hand(t) for i, t, *_ in rows}
+    lang_of = {r[0]: r[2] for r in rows}
+    order = [i for i in order if counts[i]]
+    total = len(order)
+    frequency = {}
+    for i in order:
+        for b in counts[i]:
+            frequency[b] = frequency.get(b, 0) + 1
+    names = ["de", "en", "fr"]
+
+    def vector(c):
+        x = {b: (1 + math.log(n)) * (math.log((1 + total) / (1 + frequency.get(b, 0))) + 1) for b, n in c.items()}
+        length = math.sqrt(sum(v * v for v in x.values()))
+        return {**{b: v / length for b, v in x.items()}, "bias": 1.0}
+
+    z, n = {}, {}
+
+    def weight(b, k):
+        at, penalty = z.get((b, k), 0.0), 0.0 if b == "bias" else 0.002
+        return 0.0 if abs(at) <= penalty else -(at - math.copysign(penalty, at)) / ((1 + math.sqrt(n.get((b, k), 0.0))) / 0.5 + 0.01)
+
+    def chances(x, temperature=1.0):
+        s = [sum(v * weight(b, k) for b, v in x.items()) / temperature for k in range(3)]
+        e = [math.exp(v - max(s)) for v in s]
+        return [v / sum(e) for v in e]
+
+    xs = {i: vector(counts[i]) for i in order}
+    for _ in range(3):
+        for k_row, i in enumerate(order):
+            if k_row % 5 == 4:
+                continue
+            p, step = chances(xs[i]), {}
+            for b, v in xs[i].items():
+                for k in range(3):
+                    g = v * (p[k] - (names[k] == lang_of[i]))
+                    before = n.get((b, k), 0.0)
+                    step[b, k] = (z.get((b, k), 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / 0.5 * weight(b, k), before + g * g)
+            for key, (a, b) in step.items():
+                z[key], n[key] = a, b
+    held = [i for k, i in enumerate(order) if k % 5 == 4]
+
+    def loss(t):
+        right = (len(held) + 1) / (len(held) + 2)
+        return -sum(math.log(p) * (right if names[k] == lang_of[i] else (1 - right) / 2) for i in held for k, p in enumerate(chances(xs[i], t)))
+
+    assert loss(model.temperature) <= min(loss(model.temperature * f) for f in (0.9, 0.99, 1.01, 1.1)) + 1e-9
+    test = [(900 + i, t, None, None, 0) for i, (_, t) in enumerate(sentences(4, 5))] + [(990, "Qué ß 漢 12", None, None, 0), (991, "!? 12", None, None, 0)]
+    for r in langid.predict(docs(spark, test), model).collect():
+        c = gram_counts_by_hand(test[[x[0] for x in test].index(r["doc_id"])][1])
+        p = chances(vector(c), model.temperature) if c else None
+        want = (names[p.index(max(p))], pytest.approx(max(p), abs=1e-6)) if p else ("und", 0.0)
+        assert (r["lang_pred"], r["score"]) == want
+
+
 def test_grams_of_blocks_are_those_of_the_whole(monkeypatch):
     text = "".join(random.Random(5).choices("abcé 1", k=5000))
     whole = langid.gram_counts(text)
@@ -660,6 +775,66 @@ def test_sum_of_squares_is_the_sum_over_pairs():
     assert model.margin(index, x) == pytest.approx(0.3 + model.w[index] @ x + pairs)
 
 
+def quality_features_by_hand(text, n_chars):
+    """{feature: value} of a text: words by their bucket, statistics by their name."""
+    raw = (text or "").encode()
+    words, counts = raw.split(), {}
+    for w in raw.lower().split():
+        counts[zlib.crc32(w) % 32768] = counts.get(zlib.crc32(w) % 32768, 0) + 1
+    out = {b: 1 + math.log(c) for b, c in counts.items()}
+    length = math.sqrt(sum(v * v for v in out.values())) or 1
+    out = {b: v / length for b, v in out.items()}
+    solid, n, lines = [c for c in raw if c not in b"\t\n\x0b\x0c\r "], max(1, len(words)), raw.split(b"\n") if raw else []
+    size = max(1, len(solid))
+    of = lambda chars: sum(c in chars for c in solid) / size
+    out |= {
+        "no_words": float(not words), "log_words": math.log(1 + len(words)) / 10, "word_length": min(1, size / n / 20), "upper": of(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "digit": of(b"0123456789"),
+        "symbol": of(b"#$%&*+<=>@\\^_`{}~[]/|\"'()-:;"), "sentence_marks": of(b".,!?"), "non_ascii": sum(c > 127 for c in solid) / size, "log_lines": math.log(1 + len(lines)) / 8, "repeated_lines": 1 - len(set(lines)) / max(1, len(lines)),
+        "distinct_words": len(counts) / n, "shouted_words": sum(w.isupper() for w in words) / n, "marked_words": sum(w[-1:] in (b"*", b"#", b"$", b"%", b"&", b"!", b"|") for w in words) / n, "bars": sum(w == b"|" for w in words) / n,
+        "metadata_known": float(n_chars is not None), "log_n_chars": math.log(1 + max(0, n_chars or 0)) / 12,
+    }
+    return {k: v for k, v in out.items() if v}
+
+
+def test_quality_features_training_and_scores_equal_those_by_hand(spark):
+    rnd = random.Random(8)
+    words = ["river", "HOUSE", "light***", "|", "é漢", "12", "a-b", "(x)", "Stone!", "the", "of.", "\n", "\n\n"]
+    texts = [" ".join(rnd.choices(words, k=rnd.randint(1, 25))) for _ in range(60)] + ["", None, " \t", "x" * 300]
+    chars = [rnd.choice([None, 0, 5, 900, -3]) for _ in texts]
+    place = lambda k: k if isinstance(k, int) else quality_fm.WORD_BUCKETS + quality_fm.STATISTICS.index(k)
+    by_hand = [{place(k): v for k, v in quality_features_by_hand(t, n).items()} for t, n in zip(texts, chars, strict=True)]
+    for t, n, want in zip(texts, chars, by_hand, strict=True):
+        index, x = quality_fm.features(None if t is None else t.encode(), n)
+        assert dict(zip(index.tolist(), x.tolist(), strict=True)) == pytest.approx(want), t
+    start = np.random.default_rng(1).normal(0, 0.03, (quality_fm.DIMS, quality_fm.RANK))
+    bias, w, v, gw, gv, gb = 0.0, {}, {}, {}, {}, 1e-6
+
+    def margin(x):
+        pairs = sum(sum(v.get((i, f), start[i, f]) * v.get((j, f), start[j, f]) for f in range(8)) * x[i] * x[j] for i in x for j in x if i < j)
+        return bias + sum(w.get(i, 0.0) * a for i, a in x.items()) + pairs
+
+    rows = [(x, k % 2) for k, x in enumerate(by_hand[:40])]
+    for _ in range(2):
+        for x, y in rows:
+            error = 1 / (1 + math.exp(-margin(x))) - y
+            own = {(i, f): v.get((i, f), start[i, f]) for i in x for f in range(8)}
+            around = [sum(own[i, f] * a for i, a in x.items()) for f in range(8)]
+            for i, a in x.items():
+                g = error * a + 1e-4 * w.get(i, 0.0)
+                gw[i] = gw.get(i, 1e-6) + g * g
+                w[i] = w.get(i, 0.0) - 0.08 * g / math.sqrt(gw[i])
+                for f in range(8):
+                    g = error * a * (around[f] - own[i, f] * a) + 1e-4 * own[i, f]
+                    gv[i, f] = gv.get((i, f), 1e-6) + g * g
+                    v[i, f] = own[i, f] - 0.08 * g / math.sqrt(gv[i, f])
+            gb += error * error
+            bias -= 0.08 * error / math.sqrt(gb)
+    model = quality_fm.train([(np.array(list(x), np.int32), np.array(list(x.values())), y) for x, y in rows], epochs=2)
+    table = docs(spark, [(k, t, None, None, n) for k, (t, n) in enumerate(zip(texts, chars, strict=True))])
+    got = {r["doc_id"]: r["score"] for r in quality_fm.predict(table, model).collect()}
+    assert all(got[k] == pytest.approx(1 / (1 + math.exp(-margin(x))), abs=1e-6) for k, x in enumerate(by_hand))
+
+
 def test_quality(spark):
     rnd = random.Random(2)
     good = lambda: "\n".join(" ".join(rnd.choices("river house light water stone morning".split(), k=12)) + "." for _ in range(3))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 EARTH_RADIUS_M = 6371008.8
 GEOHASH_ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
@@ -82,6 +84,22 @@ def geohash(lat: Column, lon: Column, precision: int) -> Column:
     return F.concat(*[letter(k) for k in range(precision)])
 
 
+@F.arrow_udf(StringType())
+def spelled(lat: pa.Array, lon: pa.Array, ha: pa.Array) -> pa.Array:
+    """Coordinates and radius as identifiers spell them, a zero byte between: nine, nine and three places, `missing` without a radius."""
+    return pa.array([f"{a:.9f}\0{b:.9f}\0{'missing' if c is None else f'{c:.3f}'}" for a, b, c in zip(lat.to_pylist(), lon.to_pylist(), ha.to_pylist())], pa.string())
+
+
+def fix_id(prev: str = "") -> Column:
+    """Identifier of the position of a row, or of the row before it (`prev_`)."""
+    at = lambda c: F.col(prev + c)
+    return stable_id("fix", F.col("entity_id"), rfc3339(at("ts_s"), at("ts_ns")), spelled(at("lat"), at("lon"), at("ha")))
+
+
+def observation_id() -> Column:
+    return stable_id("obs", F.col("track_id"), F.col("ts_text"), spelled(F.col("lat"), F.col("lon"), F.col("ha")))
+
+
 def stable_id(prefix: str, *parts: Column) -> Column:
     """prefix:first 24 hexadecimal digits of SHA-256 over the parts, a zero byte before each."""
     zero = F.lit("\0")

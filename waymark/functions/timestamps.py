@@ -74,7 +74,10 @@ def _from_whole(v: Column) -> Column:
 
 def parse(text: Column, decimals: bool = True) -> Column:
     """struct(s, ns): epoch seconds and nanoseconds of trimmed text; s is null if it is no instant. Without `decimals`, fractions of epochs are not read and no Python runs."""
-    groups = F.array(*[F.regexp_extract(text, _RFC, k) for k in range(1, 9)])
+    # Seven parts stand at fixed places; the zone is the last character or the last six.
+    zone = F.when(text.endswith("Z"), F.lit("Z")).otherwise(F.substr(text, F.lit(-6), F.lit(6)))
+    fraction = F.substr(text, F.lit(20), F.length(text) - 19 - F.length(zone))
+    groups = F.array(*[F.substr(text, F.lit(at), F.lit(n)) for at, n in ((1, 4), (6, 2), (9, 2), (12, 2), (15, 2), (18, 2))], fraction, zone)
     whole = F.when(text.rlike(_WHOLE), text.try_cast("long"))
     is_rfc = text.rlike(_RFC)
     native = F.when(is_rfc, let(groups, _from_rfc)).when(whole.isNotNull(), let(whole, _from_whole))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +9,7 @@ from pyspark.sql.types import StringType
 
 from waymark.config import EVENTIZER_VERSION, MODALITY, PRODUCER, PROFILE_ID, VERSION, WIRE_VERSION, Config, plain_number
 from waymark.functions import expressions as X
-from waymark.functions.jsontext import spell, text
+from waymark.functions.jsontext import number, quoted, respell, spell, text
 from waymark.functions.wkb import wkb_point
 
 # Fixed values of the event format: feature, action, state, polarity by type, and the order of events at one instant.
@@ -78,16 +76,14 @@ def start_end(normalized: DataFrame, cfg: Config) -> DataFrame:
     return _at_fix("START", normalized.where("idx = 1"), identity("START")).unionByName(_at_fix("END", normalized.where(last), identity("END")))
 
 
-def _previous_fix(folded: DataFrame) -> DataFrame:
+def _previous_fix(rows: DataFrame, cfg: Config) -> DataFrame:
     """Rows at continuity breaks, with the row before them as identifiers and contexts need it."""
-    by_entity = Window.partitionBy("entity_id").orderBy("idx")
-    fix = X.stable_id("fix", F.col("entity_id"), F.col("ts_text"), F.col("lat9"), F.col("lon9"), F.col("ha3"))
-    return folded.withColumn("fix", fix).withColumns({"prev_fix": F.lag("fix").over(by_entity), "prev_geohash": F.lag("geohash").over(by_entity)}).where("is_gap or is_discontinuity")
+    return rows.where("is_gap or is_discontinuity").withColumns({"fix": X.fix_id(), "prev_fix": X.fix_id("prev_"), "prev_geohash": X.geohash(F.col("prev_lat"), F.col("prev_lon"), cfg.geohash_precision)})
 
 
 def breaks(folded: DataFrame, cfg: Config) -> DataFrame:
     """GAP and DISCONTINUITY events: at the row after the break, with its step as evidence."""
-    rows = _previous_fix(folded)
+    rows = _previous_fix(folded, cfg)
     state = F.col("step_accuracy_state")
     known = F.when(state == "both_known", 2).when(state == "both_missing", 0).otherwise(1).cast("long")
     bearing = X.bearing_deg(F.col("prev_lat"), F.col("prev_lon"), F.col("lat"), F.col("lon"))
@@ -159,30 +155,23 @@ def events(normalized: DataFrame, folded: DataFrame, presence: DataFrame, cfg: C
 
 
 def canonical(rows: DataFrame, cfg: Config) -> DataFrame:
-    """(entity_id, seq, value): each event of `stream` as one JSON line."""
-    kind = F.col("event_type")
-    raw = F.to_json(F.struct(
-        F.col("event_id").alias("id"), F.col("ts_text").alias("event_time"), F.col("end_text").alias("end_time"), F.col("subject"), _of_kind(kind, 0).alias("feature"), _of_kind(kind, 1).alias("action"), _of_kind(kind, 2).alias("state"), _of_kind(kind, 3).alias("polarity"),
-        F.col("magnitude"), F.nullif(F.col("unit"), F.lit("")).alias("unit"), F.struct("lat", "lon", "accuracy_m").alias("location"), F.col("source_records"), F.col("context"),
-    ))
-    fixed = json.dumps({"xq_version": WIRE_VERSION, "source": cfg.source, "modality": MODALITY, "profile": PROFILE_ID, "producer": PRODUCER, "producer_version": VERSION, "parameters": {k: plain_number(v) for k, v in cfg.parameters().items()}})
+    """(entity_id, seq, value): each event of `stream` as one JSON line. What all events of a kind share is spelt once."""
+    member = lambda **given: ",".join(f"{text(k)}:{text(v)}" for k, v in given.items())
+    head = "{" + member(xq_version=WIRE_VERSION)
+    sender = {"source": cfg.source, "modality": MODALITY, "class": "transition", "profile": PROFILE_ID}
+    kinds = {k: member(feature=v[0], action=v[1], state=v[2], polarity=v[3]) for k, v in KINDS.items()}
+    fixed, provenance, parameters = member(**sender), member(producer=PRODUCER, producer_version=VERSION, method="algorithmic"), parameters_json(cfg)
 
     @F.arrow_udf(StringType())
-    def line(column: pa.Array) -> pa.Array:
-        given = json.loads(fixed)
-
-        def one(value: str) -> str:
-            e = json.loads(value)
-            context = {k: v for k, v in json.loads(e["context"]).items() if v is not None}
-            out = {
-                "xq_version": given["xq_version"], "id": e["id"], "event_time": e["event_time"], "end_time": e.get("end_time"), "source": given["source"], "modality": given["modality"], "class": "transition", "profile": given["profile"], "subject": e["subject"],
-                "feature": e["feature"], "action": e["action"], "state": e["state"], "polarity": e["polarity"], "magnitude": e.get("magnitude"), "unit": e.get("unit"), "location": {k: v for k, v in e["location"].items() if v is not None},
-            }
-            head = [f"{text(k)}:{text(v, False)}" for k, v in out.items() if v is not None]
-            provenance = {"producer": given["producer"], "producer_version": given["producer_version"], "method": "algorithmic", "source_records": e["source_records"]}
-            tail = ",".join(f"{text(k)}:{text(v)}" for k, v in provenance.items())
-            return "{" + ",".join(head) + ',"provenance":{' + tail + ',"parameters":' + text(given["parameters"]) + '},"context":' + text(context) + "}"
-
-        return pa.array([one(v) for v in column.to_pylist()], pa.string())
-
-    return rows.select("entity_id", "seq", line(raw).alias("value"))
+    def line(ids: pa.Array, at: pa.Array, until: pa.Array, subjects: pa.Array, of: pa.Array, magnitudes: pa.Array, units: pa.Array, lats: pa.Array, lons: pa.Array, radii: pa.Array, records: pa.Array, contexts: pa.Array) -> pa.Array:
+        def one(i: str, t: str, end: str | None, subject: str, kind: str, magnitude: float | None, unit: str, lat: float | None, lon: float | None, ha: float | None, record: str, context: str) -> str:
+            span = "" if end is None else f',"end_time":"{end}"'
+            size = "" if magnitude is None else f',"magnitude":{number(magnitude)}'
+            measure = f',"unit":"{unit}"' if unit else ""
+            place = ",".join([f'"{k}":{number(v)}' for k, v in (("lat", lat), ("lon", lon), ("accuracy_m", ha)) if v is not None])
+            return f'{head},"id":"{i}","event_time":"{t}"{span},{fixed},"subject":{quoted(subject)},{kinds[kind]}{size}{measure},"location":{{{place}}},"provenance":{{{provenance},"source_records":{record},"parameters":{parameters}}},"context":{respell(context)}}}'
+
+        return pa.array([one(*row) for row in zip(*[c.to_pylist() for c in (ids, at, until, subjects, of, magnitudes, units, lats, lons, radii, records, contexts)])], pa.string())
+
+    records = F.concat(F.lit('["'), F.array_join("source_records", '","'), F.lit('"]'))
+    return rows.select("entity_id", "seq", line("event_id", "ts_text", "end_text", "subject", "event_type", "magnitude", "unit", "lat", "lon", "accuracy_m", records, "context").alias("value"))

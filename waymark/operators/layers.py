@@ -60,7 +60,7 @@ class Layers:
 
     @cached_property
     def folded(self) -> DataFrame:
-        return self._kept(P.fold(self.normalized, self.cfg))
+        return P.fold(self.normalized, self.cfg, self._kept)
 
     @property
     def rows(self) -> DataFrame:
@@ -69,7 +69,7 @@ class Layers:
 
     @cached_property
     def presence(self) -> DataFrame:
-        return self._kept(P.intervals(self.folded, self.cfg))
+        return P.intervals(self.folded, self.cfg, self._kept)
 
     @cached_property
     def moves(self) -> DataFrame:
@@ -79,7 +79,7 @@ class Layers:
     def observations(self) -> DataFrame:
         rows = P.assign(self.folded, self.presence, self.cfg)
         out = rows.select(
-            X.stable_id("obs", F.col("track_id"), F.col("ts_text"), F.col("lat9"), F.col("lon9"), F.col("ha3")).alias("observation_id"),
+            X.observation_id().alias("observation_id"),
             "entity_id", "subject", X.millis(F.col("ts_s"), F.col("ts_ns")).alias("ts"), "lat", "lon", F.col("ha").alias("ha_m"), "ha_state", "step_accuracy_state", "geohash", no_cell("h3_cell"),
             "track_id", "segment_id", "presence_interval_id", *_long("sample_count"), "same_ts_scatter_m", "has_step", "step_dt_s", "step_distance_m", "effective_distance_m", "implied_speed_mps",
             "is_gap", "is_discontinuity", "movement_state", "speed_class", *_long("source_row"), F.lit(EVENTIZER_VERSION).alias("eventizer_version"),
@@ -122,7 +122,7 @@ class Layers:
 
     @cached_property
     def events(self) -> DataFrame:
-        return E.events(self.rows, self.folded, self.presence, self.cfg, self.geometry)
+        return E.events(self.rows, self.rows, self.presence, self.cfg, self.geometry)
 
 
 def segments(normalized: DataFrame, geometry: bool = False) -> DataFrame:

@@ -13,6 +13,11 @@ from waymark.config import Config
 from waymark.functions import expressions as X
 
 
+#: Columns of `label` and of `identify`, which follow from the other columns of their row.
+LABELS = ("has_step", "step_accuracy_state", "ha_state", "movement_state", "speed_class")
+IDENTIFIERS = ("track_id", "subject", "ts_text", "geohash", "segment_id")
+
+
 def collapse(observations: DataFrame) -> DataFrame:
     """The best row of each entity and instant: known radius first, then the least, then by latitude, longitude and source row.
 
@@ -43,11 +48,8 @@ def step_metrics(collapsed: DataFrame, cfg: Config) -> DataFrame:
     rows = collapsed.withColumns({"idx": F.row_number().over(w), **before})
     first = F.col("idx") == 1
     rows = rows.withColumns({
-        "has_step": ~first,
         "step_dt_s": F.when(first, F.lit(0.0)).otherwise(X.seconds_between(F.col("prev_ts_s"), F.col("prev_ts_ns"), F.col("ts_s"), F.col("ts_ns"))),
         "step_distance_m": F.when(first, F.lit(0.0)).otherwise(X.distance_m(F.col("prev_lat"), F.col("prev_lon"), F.col("lat"), F.col("lon"))),
-        "step_accuracy_state": F.when(first, "initial").otherwise(X.edge_state(F.col("prev_ha"), F.col("ha"))),
-        "ha_state": X.ha_state(F.col("ha")),
     })
     rows = rows.withColumn("effective_distance_m", F.when(first, F.lit(0.0)).otherwise(X.effective_distance_m(F.col("step_distance_m"), F.col("prev_ha"), F.col("ha"))))
     rows = rows.withColumn("implied_speed_mps", F.when(F.col("step_dt_s") > 0, F.col("effective_distance_m") / F.col("step_dt_s")).otherwise(F.lit(0.0)))
@@ -58,8 +60,6 @@ def step_metrics(collapsed: DataFrame, cfg: Config) -> DataFrame:
     is_break = F.col("is_gap") | F.col("is_discontinuity")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({
-        "movement_state": F.when(first, "initial").when(is_break, "continuity_break").when(F.col("effective_distance_m") <= cfg.move_radius_m, "within_deadband").otherwise("movement"),
-        "speed_class": F.when(first | F.col("is_gap") | (F.col("step_dt_s") <= 0), "unknown").when((F.col("effective_distance_m") <= cfg.walk_max_jump_m) & (F.col("implied_speed_mps") <= cfg.walk_max_speed_mps), "walk-compatible").otherwise("non-walk-compatible"),
         "run": F.sum(is_break.cast("int")).over(so_far),
         "segment_index": F.sum(F.col("is_discontinuity").cast("int")).over(so_far) + 1,
         "next_gap": F.lead("is_gap").over(w),
@@ -68,15 +68,31 @@ def step_metrics(collapsed: DataFrame, cfg: Config) -> DataFrame:
         "cum_path_m": F.sum(F.when(is_break, F.lit(0.0)).otherwise(F.col("step_distance_m"))).over(so_far),
         "cum_known": F.sum(F.col("ha").isNotNull().cast("int")).over(so_far),
     })
-    return rows.withColumn("run_ends", F.coalesce(F.col("next_gap") | F.col("next_discontinuity"), F.lit(True)))
+    return label(rows.withColumn("run_ends", F.coalesce(F.col("next_gap") | F.col("next_discontinuity"), F.lit(True))), cfg)
 
 
-def identify(rows: DataFrame, cfg: Config) -> DataFrame:
-    """Track, segment and subject identifiers and the geohash cell."""
-    track = X.stable_id("trk", F.lit(cfg.source), F.col("entity_id"))
-    named = rows.withColumns({"track_id": track, "subject": F.concat(F.lit(cfg.subject_prefix), F.col("entity_id")), "ts_text": X.rfc3339(F.col("ts_s"), F.col("ts_ns")), "geohash": X.geohash(F.col("lat"), F.col("lon"), cfg.geohash_precision)})
+def label(rows: DataFrame, cfg: Config) -> DataFrame:
+    """Classes of the step and of the radius."""
+    first = F.col("idx") == 1
+    return rows.withColumns({
+        "has_step": ~first,
+        "step_accuracy_state": F.when(first, "initial").otherwise(X.edge_state(F.col("prev_ha"), F.col("ha"))),
+        "ha_state": X.ha_state(F.col("ha")),
+        "movement_state": F.when(first, "initial").when(F.col("is_gap") | F.col("is_discontinuity"), "continuity_break").when(F.col("effective_distance_m") <= cfg.move_radius_m, "within_deadband").otherwise("movement"),
+        "speed_class": F.when(first | F.col("is_gap") | (F.col("step_dt_s") <= 0), "unknown").when((F.col("effective_distance_m") <= cfg.walk_max_jump_m) & (F.col("implied_speed_mps") <= cfg.walk_max_speed_mps), "walk-compatible").otherwise("non-walk-compatible"),
+    })
+
+
+def identify_entity(rows: DataFrame, cfg: Config) -> DataFrame:
+    """Track, segment and subject identifiers."""
+    named = rows.withColumns({"track_id": X.stable_id("trk", F.lit(cfg.source), F.col("entity_id")), "subject": F.concat(F.lit(cfg.subject_prefix), F.col("entity_id"))})
     return named.withColumn("segment_id", X.stable_id("seg", F.col("track_id"), F.col("segment_index").cast("string")))
 
 
+def identify(rows: DataFrame, cfg: Config) -> DataFrame:
+    """Track, segment and subject identifiers, the time as text and the geohash cell."""
+    return identify_entity(rows, cfg).withColumns({"ts_text": X.rfc3339(F.col("ts_s"), F.col("ts_ns")), "geohash": X.geohash(F.col("lat"), F.col("lon"), cfg.geohash_precision)})
+
+
 def normalize(observations: DataFrame, cfg: Config) -> DataFrame:
     return step_metrics(collapse(observations), cfg)

@@ -8,24 +8,26 @@ stretches. Rows stream through in order with a state of fixed size, so no stretc
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import asin, cos, radians, sin, sqrt
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.config import Config
 from waymark.functions import expressions as X
+from waymark.operators import normalize as N
 
 _NEEDED = ("entity_id", "run", "idx", "ts_s", "ts_ns", "lat", "lon", "ha", "run_ends", "cum_path_m", "cum_known")
+#: Columns that follow from the others of their row; they do not go through Python but are made anew where a plan asks for them.
+_FOLLOWS = frozenset((*N.LABELS, *N.IDENTIFIERS))
 _MADE = pa.schema([
     ("decision", pa.string()), ("phase_after", pa.string()), ("candidates_after", pa.int32()), ("pending_after", pa.bool_()),
-    ("member_no", pa.int32()), ("opens_no", pa.int32()), ("start_reason", pa.string()),
-    ("from_no", pa.int32()), ("depart_idx", pa.int64()), ("depart_cum_path_m", pa.float64()), ("depart_cum_known", pa.int64()),
+    ("member_no", pa.int32()), ("seen_no", pa.int32()), ("opens_no", pa.int32()), ("start_reason", pa.string()),
+    ("from_no", pa.int32()), ("depart_idx", pa.int64()), ("depart_cum_path_m", pa.float64()), ("depart_cum_known", pa.int64()), ("dest_cum_path_m", pa.float64()), ("dest_cum_known", pa.int64()),
     ("closes_no", pa.int32()), ("end_reason", pa.string()),
     ("candidate_started", pa.bool_()), ("candidate_returned", pa.bool_()), ("candidate_expired", pa.bool_()), ("candidate_outside", pa.bool_()), ("candidate_open_at_end", pa.bool_()),
-    ("lat9", pa.string()), ("lon9", pa.string()), ("ha3", pa.string()),
 ])
 _MADE_DDL = ", ".join(f"{f.name} {dict(string='string', int32='int', int64='long', double='double', bool='boolean')[str(f.type)]}" for f in _MADE)
 
@@ -93,6 +95,7 @@ class Machine:
         if self.reason == "movement_arrival" and self.pending:
             origin, depart = self.pending
             out |= {"decision": "presence_confirmed_arrival_transition", "from_no": origin, "depart_idx": depart[0], "depart_cum_path_m": depart[6], "depart_cum_known": depart[7]}
+            out |= {"dest_cum_path_m": self.anchor[6], "dest_cum_known": self.anchor[7]}
             self.pending = None
         elif self.reason in ("movement_arrival", "candidate_presence"):
             out["decision"] = "presence_confirmed_enter_suppressed"
@@ -104,72 +107,92 @@ class Machine:
             out |= {"closes_no": self.no, "end_reason": "run_end", "candidate_open_at_end": self.candidate is not None}
 
 
-def fold(rows: DataFrame, cfg: Config) -> DataFrame:
-    """`rows` with the decision of each row. Columns lat9, lon9 and ha3 are the coordinates as identifiers spell them."""
-    kept = rows.columns
-    ordered = rows.repartition(F.col("entity_id"), F.col("run")).sortWithinPartitions("entity_id", "run", "idx")
-    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+def _values(column: pa.Array) -> list:
+    return column.to_pylist() if column.null_count or not pa.types.is_primitive(column.type) or pa.types.is_boolean(column.type) else column.to_numpy(zero_copy_only=False).tolist()
+
+
+def fold(rows: DataFrame, cfg: Config, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """`rows`, as normalized and identified, with the decision of each row. `keep` may persist what Python returns.
+
+    seen_no is the last presence that has a member at or before the row. The anchor of a presence is the row before the one that
+    confirms it, so a batch is given out when the first row of the next one is known.
+    """
+    kept = [c for c in rows.columns if c not in _FOLLOWS]
+    narrow = rows.select(*kept)
+    ordered = narrow.repartition(F.col("entity_id"), F.col("run")).sortWithinPartitions("entity_id", "run", "idx")
+    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema)
 
     def run_machine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, key = Machine(cfg), None
-        names = _MADE.names
+        held: tuple[pa.RecordBatch, dict[str, list]] | None = None
+
+        def given(batch: pa.RecordBatch, made: dict[str, list]) -> pa.RecordBatch:
+            return pa.record_batch(batch.columns + [pa.array(made[f.name], f.type) for f in _MADE], names=[*kept, *_MADE.names])
+
         for batch in batches:
-            columns = [batch.column(kept.index(c)).to_pylist() for c in _NEEDED]
-            made: dict[str, list] = {n: [] for n in names}
-            for entity, run, idx, s, ns, lat, lon, ha, ends, path, known in zip(*columns):
+            if not batch.num_rows:
+                continue
+            made: dict[str, list] = {n: [None] * batch.num_rows for n in _MADE.names}
+            members, seen, phases, candidates, pendings = (made[n] for n in ("member_no", "seen_no", "phase_after", "candidates_after", "pending_after"))
+            columns = [_values(batch.column(kept.index(c))) for c in _NEEDED]
+            for i, (entity, run, idx, s, ns, lat, lon, ha, ends, path, known) in enumerate(zip(*columns)):
                 row = (idx, s, ns, lat, lon, ha, path, known)
                 if (entity, run) != key:
                     key = (entity, run)
                     out = machine.start(row, run)
                 else:
                     out = machine.step(row)
-                candidates, pending, phase = int(machine.candidate is not None), machine.pending is not None, machine.phase
+                    if "opens_no" in out:  # the anchor is a member, too
+                        at, before = (i - 1, made) if i else (-1, held[1])
+                        before["member_no"][at] = before["seen_no"][at] = machine.no
+                phases[i], candidates[i], pendings[i] = machine.phase, int(machine.candidate is not None), machine.pending is not None
+                seen[i] = machine.no or None
                 if ends:
                     machine.end(out)
-                out |= {"phase_after": phase, "candidates_after": candidates, "pending_after": pending, "lat9": f"{lat:.9f}", "lon9": f"{lon:.9f}", "ha3": "missing" if ha is None else f"{ha:.3f}"}
-                for n in names:
-                    made[n].append(out.get(n))
-            if batch.num_rows:
-                yield pa.record_batch(batch.columns + [pa.array(made[f.name], f.type) for f in _MADE], names=[*kept, *names])
-
-    folded = ordered.mapInArrow(run_machine, f"{typed}, {_MADE_DDL}")
+                for n, v in out.items():
+                    made[n][i] = v
+            if held:
+                yield given(*held)
+            held = (batch, made)
+        if held:
+            yield given(*held)
+
+    folded = keep(ordered.mapInArrow(run_machine, f"{typed}, {_MADE_DDL}"))
     why = F.when(F.col("end_reason") != "run_end", F.col("end_reason")).when(F.col("end_reason").isNull(), F.lit(None)).when(F.col("next_discontinuity"), "discontinuity").when(F.col("next_gap"), "gap").otherwise("dataset_end")
-    # The anchor of a presence is the row before the one that confirms it.
-    in_run = Window.partitionBy("entity_id", "run").orderBy("idx")
-    anchored = folded.withColumns({"end_reason": why, "member_no": F.coalesce("member_no", F.lead("opens_no").over(in_run))})
-    seen, ahead = F.last("member_no", True).over(in_run), F.first("member_no", True).over(in_run.rowsBetween(0, Window.unboundedFollowing))
-    return anchored.withColumns({"_seen": seen, "_ahead": ahead}).withColumn("inside_no", F.when(F.col("_seen") == F.col("_ahead"), F.col("_seen"))).drop("_seen", "_ahead")
-
+    return N.identify(N.label(folded.withColumn("end_reason", why), cfg), cfg)
 
-def fingerprint() -> Column:
-    return X.stable_id("fix", F.col("entity_id"), F.col("ts_text"), F.col("lat9"), F.col("lon9"), F.col("ha3"))
 
+def intervals(folded: DataFrame, cfg: Config, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """One row for each presence, keyed by (entity_id, run, no): members from the anchor to the last inside, centroid, scatter, radii, reasons.
 
-def intervals(folded: DataFrame, cfg: Config) -> DataFrame:
-    """One row for each presence, keyed by (entity_id, run, no): members from the anchor to the last inside, centroid, scatter, radii, reasons."""
+    Texts and identifiers are made of the first and last members alone. `keep` may persist the rows; further identifiers follow from them.
+    """
     key = ["entity_id", "run", "no"]
     of_presence = Window.partitionBy(*key)
     x, y, z = X.ecef(F.col("lat"), F.col("lon"))
-    members = folded.where("member_no is not null").withColumn("no", F.col("member_no"))
+    edge = ("idx", "ts_s", "ts_ns", "lat", "lon", "ha", "source_row")
+    members = folded.where("member_no is not null").select("entity_id", "run", F.col("member_no").alias("no"), *edge, "segment_index", "start_reason", "from_no")
     placed = members.withColumns({"_x": F.avg(x).over(of_presence), "_y": F.avg(y).over(of_presence), "_z": F.avg(z).over(of_presence)})
     lat, lon = X.centroid(F.col("_x"), F.col("_y"), F.col("_z"))
     placed = placed.withColumns({"centroid_lat": lat, "centroid_lon": lon}).withColumn("_away", X.distance_m(F.col("centroid_lat"), F.col("centroid_lon"), F.col("lat"), F.col("lon")))
-    edge = F.struct("idx", "ts_s", "ts_ns", "ts_text", "lat", "lon", "ha", "ha_state", "geohash", "source_row", "fix")
-    made = placed.withColumn("fix", fingerprint()).groupBy(*key).agg(
-        F.first("track_id").alias("track_id"), F.first("segment_id").alias("segment_id"), F.first("subject").alias("subject"),
-        F.min(edge).alias("a"), F.max(edge).alias("z"),
+    made = placed.groupBy(*key).agg(
+        F.max("segment_index").alias("segment_index"), F.min(F.struct(*edge)).alias("a"), F.max(F.struct(*edge)).alias("z"),
         F.first("centroid_lat").alias("centroid_lat"), F.first("centroid_lon").alias("centroid_lon"),
         F.count("*").alias("observation_count"), F.max("_away").alias("scatter_m"),
         F.median("ha").alias("median_ha_m"), F.min("ha").alias("min_ha_m"), F.max("ha").alias("max_ha_m"),
         F.count("ha").alias("observations_with_ha"), F.first("start_reason", True).alias("start_reason"), F.max(F.col("from_no").isNotNull()).alias("entered"),
     )
     closed = folded.where("closes_no is not null").select("entity_id", "run", F.col("closes_no").alias("no"), "end_reason")
-    made = made.join(closed, key).withColumns({
-        "presence_interval_id": X.stable_id("prs", F.col("track_id"), F.col("a.fix")),
+    first = X.stable_id("fix", F.col("entity_id"), X.rfc3339(F.col("a.ts_s"), F.col("a.ts_ns")), X.spelled(F.col("a.lat"), F.col("a.lon"), F.col("a.ha")))
+    made = N.identify_entity(made.join(closed, key), cfg).withColumn("first_fix", first).withColumns({
+        "presence_interval_id": X.stable_id("prs", F.col("track_id"), F.col("first_fix")),
         "duration_s": X.seconds_between(F.col("a.ts_s"), F.col("a.ts_ns"), F.col("z.ts_s"), F.col("z.ts_ns")),
         "observations_without_ha": F.col("observation_count") - F.col("observations_with_ha"),
         "entered": F.coalesce("entered", F.lit(False)),
     })
+    made = keep(made)
+    side = lambda e: F.struct(*[F.col(f"{e}.{c}").alias(c) for c in edge], X.rfc3339(F.col(f"{e}.ts_s"), F.col(f"{e}.ts_ns")).alias("ts_text"), X.ha_state(F.col(f"{e}.ha")).alias("ha_state"), X.geohash(F.col(f"{e}.lat"), F.col(f"{e}.lon"), cfg.geohash_precision).alias("geohash"))
+    made = made.withColumns({"a": side("a"), "z": side("z")})
     kind = F.when(F.col("duration_s") >= cfg.dwell_threshold_s, "dwell").otherwise("stay")
     made = made.withColumns({
         "classification": kind,
@@ -180,19 +203,17 @@ def intervals(folded: DataFrame, cfg: Config) -> DataFrame:
     source, subject = F.lit(cfg.source), F.col("subject")
     return made.withColumns({
         "interval_event_id": X.stable_id("evt", source, subject, F.upper("classification"), F.col("a.ts_text"), F.col("z.ts_text"), F.col("presence_interval_id")),
-        "enter_event_id": F.when(F.col("entered"), X.stable_id("evt", source, subject, F.lit("ENTER"), F.col("a.ts_text"), F.col("segment_id"), F.col("a.fix"))).otherwise(F.lit("")),
+        "enter_event_id": F.when(F.col("entered"), X.stable_id("evt", source, subject, F.lit("ENTER"), F.col("a.ts_text"), F.col("segment_id"), F.col("first_fix"))).otherwise(F.lit("")),
         "leave_event_id": F.when(F.col("left"), X.stable_id("evt", source, subject, F.lit("LEAVE"), F.col("z.ts_text"), F.col("presence_interval_id"))).otherwise(F.lit("")),
     })
 
 
 def transitions(folded: DataFrame, presence: DataFrame) -> DataFrame:
     """One row for each arrival confirmed after a confirmed departure in the same stretch, from the last row inside the origin to the anchor of the destination."""
-    in_run = Window.partitionBy("entity_id", "run").orderBy("idx")
-    last = {f"dest_{c}": F.lag(c).over(in_run) for c in ("idx", "ha", "cum_path_m", "cum_known")}
     # The destination's anchor is the row before the confirming one.
-    arrivals = folded.withColumns(last).where("from_no is not null").select(
+    arrivals = folded.where("from_no is not null").select(
         "entity_id", "run", "from_no", F.col("opens_no").alias("no"),
-        (F.col("dest_idx") - F.col("depart_idx") + 1).alias("observation_count"),
+        (F.col("idx") - F.col("depart_idx")).alias("observation_count"),
         (F.col("dest_cum_path_m") - F.col("depart_cum_path_m")).alias("observed_path_distance_m"),
         (F.col("dest_cum_known") - F.col("depart_cum_known")).alias("_known_after"),
     )
@@ -216,7 +237,8 @@ def transitions(folded: DataFrame, presence: DataFrame) -> DataFrame:
 
 def assign(folded: DataFrame, presence: DataFrame, cfg: Config) -> DataFrame:
     """`folded` with presence_interval_id: rows between a presence's first and last member, near enough to its centroid; else empty."""
-    known = presence.select("entity_id", "run", F.col("no").alias("inside_no"), F.col("presence_interval_id").alias("_id"), F.col("centroid_lat").alias("_lat"), F.col("centroid_lon").alias("_lon"))
+    known = presence.select("entity_id", "run", F.col("no").alias("seen_no"), F.col("z.idx").alias("_last"), F.col("presence_interval_id").alias("_id"), F.col("centroid_lat").alias("_lat"), F.col("centroid_lon").alias("_lon"))
     near = X.distance_m(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")) <= F.lit(cfg.move_radius_m) + F.coalesce("ha", F.lit(0.0))
-    joined = folded.join(known, ["entity_id", "run", "inside_no"], "left")
-    return joined.withColumn("presence_interval_id", F.when(F.col("_id").isNotNull() & near, F.col("_id")).otherwise(F.lit(""))).drop("_id", "_lat", "_lon")
+    joined = folded.join(known, ["entity_id", "run", "seen_no"], "left")
+    inside = F.col("_id").isNotNull() & (F.col("idx") <= F.col("_last")) & near
+    return joined.withColumn("presence_interval_id", F.when(inside, F.col("_id")).otherwise(F.lit(""))).drop("_id", "_last", "_lat", "_lon")

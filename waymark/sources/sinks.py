@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.config import ANALYSIS_CONTRACT, EVENTIZER_VERSION, Config
+from waymark.functions import expressions as X
 
 GEOMETRY_TYPES = {"observations": ["Point"], "events": ["Point"], "tracks": ["Point", "LineString", "MultiLineString"], "segments": ["Point", "LineString", "MultiLineString"], "presence_intervals": ["Point"], "transitions": ["LineString"]}
 SORT = {"observations": ("entity_id", "ts"), "events": ("entity_id", "event_time"), "presence_intervals": ("entity_id", "start_ts"), "transitions": ("entity_id", "depart_ts"), "segments": ("entity_id", "segment_index"), "tracks": ("entity_id",), "entities": ("entity_id",)}
@@ -125,8 +126,10 @@ def traces(rows: DataFrame) -> DataFrame:
         ";", F.when(first, "START"), F.when(F.lag("end_reason").over(w).isin("gap", "discontinuity"), F.lag("closed_kind").over(w)), F.when(F.col("is_gap"), "GAP"), F.when(F.col("is_discontinuity"), "DISCONTINUITY"),
         F.when(at["ENTER"], "ENTER"), F.when(at["STAY_DWELL"], F.concat(F.col("closed_kind"), F.lit(";LEAVE"))), F.when(F.col("end_reason") == "dataset_end", F.col("closed_kind")), F.when(last, "END"))
     fixed = lambda c, n: F.format_string(f"%.{n}f", F.col(c))
+    rows = rows.withColumn("_spelled", F.split(X.spelled(F.col("lat"), F.col("lon"), F.col("ha")), "\0"))
+    spelled = lambda k: F.get("_spelled", F.lit(k))
     return rows.select(
-        "entity_id", F.col("idx").alias("observation_index"), "source_row", F.col("ts_text").alias("ts"), F.col("lat9").alias("lat"), F.col("lon9").alias("lon"), F.when(F.col("ha").isNotNull(), F.col("ha3")).otherwise("").alias("ha_m"), "ha_state", "step_accuracy_state", "sample_count",
+        "entity_id", F.col("idx").alias("observation_index"), "source_row", F.col("ts_text").alias("ts"), spelled(0).alias("lat"), spelled(1).alias("lon"), F.when(F.col("ha").isNotNull(), spelled(2)).otherwise("").alias("ha_m"), "ha_state", "step_accuracy_state", "sample_count",
         "segment_id", "presence_interval_id", fixed("step_dt_s", 3).alias("step_dt_s"), fixed("step_distance_m", 3).alias("step_distance_m"), fixed("effective_distance_m", 3).alias("effective_distance_m"), fixed("implied_speed_mps", 6).alias("implied_speed_mps"), "is_gap", "is_discontinuity",
         F.when(first, "none").otherwise(phase_name(F.lag("phase_after").over(w))).alias("phase_before"), phase_name(F.col("phase_after")).alias("phase_after"), was("candidates_after", 0).alias("move_candidates_before"), F.col("candidates_after").alias("move_candidates_after"),
         was("pending_after", False).alias("pending_transition_before"), F.col("pending_after").alias("pending_transition_after"), F.when(last, F.concat(named, F.lit(";dataset_end"))).otherwise(named).alias("decision"), emitted.alias("events_emitted"),

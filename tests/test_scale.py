@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from tests.compare import DATA
 from tests.test_trajectories import MOVE, layers
 from waymark.functions.jsontext import respell, text
 
@@ -37,3 +38,10 @@ def test_json_of_spark_is_respelt_as_member_by_member():
 def test_breaks_need_no_fold(spark):
     plan = layers(spark, MOVE).events.where(F.col("event_type") == "DISCONTINUITY")._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan
+
+
+def test_questions_on_breaks_run_no_state_machine(spark):
+    from waymark.plans.queries import QUERIES
+
+    for name in ("disc_events", "get_events", "nearest_observations", "asof_previous", "top_entities_in_cell"):
+        assert "MapInArrow" not in QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString(), name

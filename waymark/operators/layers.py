@@ -75,6 +75,20 @@ class Layers:
     def moves(self) -> DataFrame:
         return P.transitions(self.folded, self.presence)
 
+    @cached_property
+    def placed(self) -> DataFrame:
+        """Normalized rows for plans that read them several times and need no fold; kept, if rows are kept."""
+        narrow = self._kept(self.normalized.drop(*N.LABELS, *N.IDENTIFIERS))
+        return N.identify(N.label(narrow, self.cfg), self.cfg)
+
+    def observed(self, rows: DataFrame) -> DataFrame:
+        """Of the observations layer what `rows` tell without the presence that holds them."""
+        return rows.select(X.observation_id().alias("observation_id"), "entity_id", X.millis(F.col("ts_s"), F.col("ts_ns")).alias("ts"), "lat", "lon")
+
+    def break_events(self, rows: DataFrame) -> DataFrame:
+        """GAP and DISCONTINUITY of the events layer, by `rows` that need not be folded."""
+        return E.events(rows, rows, None, self.cfg, self.geometry).where(F.col("event_type").isin("GAP", "DISCONTINUITY"))
+
     @cached_property
     def observations(self) -> DataFrame:
         rows = P.assign(self.folded, self.presence, self.cfg)

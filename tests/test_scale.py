@@ -45,3 +45,34 @@ def test_questions_on_breaks_run_no_state_machine(spark):
 
     for name in ("disc_events", "get_events", "nearest_observations", "asof_previous", "top_entities_in_cell"):
         assert "MapInArrow" not in QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString(), name
+
+
+def _plan(spark, name):
+    from waymark.plans.queries import QUERIES
+
+    return QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _through_python(plan):
+    """The columns that the first fold of a plan gives back."""
+    return plan.split("MapInArrow", 1)[1].split("\n")[0]
+
+
+def test_presences_read_the_fold_once_and_keep_nothing(spark):
+    plan = _plan(spark, "presence_intervals")
+    assert plan.count("MapInArrow") == 1 and "InMemoryRelation" not in plan and "Join" not in plan
+    assert "step_distance_m" not in _through_python(plan) and "decision" not in _through_python(plan)
+
+
+def test_median_radius_of_even_odd_and_no_counts(spark):
+    for radii, median in (((5.0, 1.0, 4.0), 4.0), ((8.0, 1.0, 4.0, 2.0), 3.0), ((None, 7.0, None), 7.0), ((None, None), None)):
+        found = layers(spark, [(i, 50.0, ha) for i, ha in enumerate(radii)]).presence.first()
+        assert found["median_ha_m"] == median and found["observation_count"] == len(radii) and found["observations_with_ha"] == sum(r is not None for r in radii)
+
+
+def test_rows_in_no_presence_are_left_out_for_presences_alone(spark):
+    L = layers(spark, MOVE)
+    whole, L.reads = [tuple(r) for r in L.presence.orderBy("no").collect()], ()
+    for made in ("folded", "presence", "moves"):
+        L.__dict__.pop(made, None)
+    assert [tuple(r) for r in L.presence.orderBy("no").collect()] == whole and L.folded.count() < L.normalized.count()

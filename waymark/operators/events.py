@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -128,11 +130,11 @@ def enters_leaves(presence: DataFrame) -> DataFrame:
     return enter.unionByName(_at_fix("LEAVE", at("z").where("left"), F.col("leave_event_id"), F.col("presence_interval_id")))
 
 
-def stream(normalized: DataFrame, folded: DataFrame, presence: DataFrame | None, cfg: Config) -> DataFrame:
-    """All events with `seq`, their order within the entity: by time, then kind, then identifier. Without `presence` those that do not come from it."""
-    every = start_end(normalized, cfg).unionByName(breaks(folded, cfg))
-    if presence is not None:
-        every = every.unionByName(enters_leaves(presence)).unionByName(stays(presence, cfg))
+def stream(normalized: DataFrame | None, folded: DataFrame | None, presence: DataFrame | None, cfg: Config) -> DataFrame:
+    """All events with `seq`, their order within the entity: by time, then kind, then identifier. Without `presence`, or rows, those that do not come from it."""
+    parts = [] if normalized is None else [start_end(normalized, cfg), breaks(folded, cfg)]
+    parts += [] if presence is None else [enters_leaves(presence), stays(presence, cfg)]
+    every = reduce(DataFrame.unionByName, parts)
     order = Window.partitionBy("entity_id").orderBy("ts_s", "ts_ns", rank(F.col("event_type")), "event_id")
     return every.withColumn("seq", F.row_number().over(order))
 
@@ -141,7 +143,7 @@ def parameters_json(cfg: Config) -> str:
     return text({k: plain_number(v) for k, v in cfg.parameters().items()})
 
 
-def events(normalized: DataFrame, folded: DataFrame, presence: DataFrame | None, cfg: Config, geometry: bool = False) -> DataFrame:
+def events(normalized: DataFrame | None, folded: DataFrame | None, presence: DataFrame | None, cfg: Config, geometry: bool = False) -> DataFrame:
     """The events layer in its file schema. Times and magnitudes that an event lacks are the epoch and 0, with has_ flags to tell."""
     rows = stream(normalized, folded, presence, cfg)
     kind = F.col("event_type")

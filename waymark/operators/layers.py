@@ -37,13 +37,15 @@ class Layers:
     """All layers of one set of observations, each a DataFrame planned from the same normalized rows.
 
     `geometry` adds the WKB columns. `keep` keeps the folded rows and the presence intervals in memory or on disk once they are
-    made: most layers read them several times, and the fold runs in Python. `release` gives them up.
+    made: most layers read them several times, and the fold runs in Python. `release` gives them up. `reads` narrows the folded rows to
+    what a plan reads (see `fold`); with no name in it layers of presences alone are there, for which the folded rows are read once.
     """
 
     source: DataFrame
     cfg: Config
     geometry: bool = False
     keep: bool = False
+    reads: tuple[str, ...] | None = None
 
     def _kept(self, df: DataFrame) -> DataFrame:
         if self.keep:
@@ -60,7 +62,7 @@ class Layers:
 
     @cached_property
     def folded(self) -> DataFrame:
-        return P.fold(self.normalized, self.cfg, self._kept)
+        return P.fold(self.normalized, self.cfg, self._kept if self.reads != () else lambda df: df, self.reads)
 
     @property
     def rows(self) -> DataFrame:
@@ -73,7 +75,7 @@ class Layers:
 
     @cached_property
     def moves(self) -> DataFrame:
-        return P.transitions(self.folded, self.presence)
+        return P.transitions(self.presence)
 
     @cached_property
     def placed(self) -> DataFrame:
@@ -128,16 +130,21 @@ class Layers:
 
     @cached_property
     def tracks(self) -> DataFrame:
-        return tracks(self.rows, self.presence, self.moves, self.geometry)
+        return tracks(self.rows, self.presence, self.geometry)
 
     @cached_property
     def entities(self) -> DataFrame:
-        return entities(self.rows, self.folded, self.presence, self.moves)
+        return entities(self.folded, self.presence)
 
     @cached_property
     def events(self) -> DataFrame:
         return E.events(self.rows, self.rows, self.presence, self.cfg, self.geometry)
 
+    @property
+    def presence_events(self) -> DataFrame:
+        """STAY, DWELL, ENTER and LEAVE of the events layer, by presences alone."""
+        return E.events(None, None, self.presence, self.cfg, self.geometry)
+
 
 def segments(normalized: DataFrame, geometry: bool = False) -> DataFrame:
     """One row for each stretch between discontinuities. Its first row's own step belongs to no segment; gaps inside count, but not their distance."""
@@ -191,7 +198,7 @@ def _presence_totals(presence: DataFrame) -> DataFrame:
     place = F.format_string("%.5f,%.5f", "centroid_lat", "centroid_lon")
     return presence.groupBy("entity_id").agg(
         F.count("*").alias("presence_count"), F.count_if(dwell).alias("dwell_count"), F.count_if(~dwell).alias("stay_count"), F.sum("duration_s").alias("total_presence_s"),
-        F.sum(F.when(dwell, F.col("duration_s")).otherwise(F.lit(0.0))).alias("total_dwell_s"), F.count_distinct(place).alias("unique_presence_locations"), F.count_if("entered").alias("_enters"), F.count_if("left").alias("_leaves"),
+        F.sum(F.when(dwell, F.col("duration_s")).otherwise(F.lit(0.0))).alias("total_dwell_s"), F.count_distinct(place).alias("unique_presence_locations"), F.count_if("entered").alias("transition_count"), F.count_if("left").alias("_leaves"),
     )
 
 
@@ -199,16 +206,15 @@ def _zero(*names: str) -> list[Column]:
     return [F.coalesce(F.col(n), F.lit(0).cast("double" if n.endswith("_s") else "long")).alias(n) for n in names]
 
 
-def tracks(normalized: DataFrame, presence: DataFrame, moves: DataFrame, geometry: bool = False) -> DataFrame:
+def tracks(normalized: DataFrame, presence: DataFrame, geometry: bool = False) -> DataFrame:
     """One row for each entity: its whole trajectory."""
     points = [F.sort_array(F.collect_list(F.struct("idx", F.col("run").alias("part"), "lon", "lat"))).alias("_points")] if geometry else []
-    moved = moves.groupBy("entity_id").agg(F.count("*").alias("transition_count"))
-    joined = _per_entity(normalized, *points).join(_presence_totals(presence), "entity_id", "left").join(moved, "entity_id", "left")
+    joined = _per_entity(normalized, *points).join(_presence_totals(presence), "entity_id", "left")
     zero = lambda n: F.coalesce(F.col(n), F.lit(0))
     out = joined.select(
         "track_id", "entity_id", "subject", X.millis(F.col("a.ts_s"), F.col("a.ts_ns")).alias("start_ts"), X.millis(F.col("z.ts_s"), F.col("z.ts_ns")).alias("end_ts"),
         X.seconds_between(F.col("a.ts_s"), F.col("a.ts_ns"), F.col("z.ts_s"), F.col("z.ts_ns")).alias("coverage_s"), "observation_count",
-        (F.lit(2) + F.col("gap_count") + F.col("discontinuity_count") + zero("presence_count") + zero("_enters") + zero("_leaves")).cast("long").alias("event_count"),
+        (F.lit(2) + F.col("gap_count") + F.col("discontinuity_count") + zero("presence_count") + zero("transition_count") + zero("_leaves")).cast("long").alias("event_count"),
         "segment_count", zero("presence_count").cast("long").alias("presence_interval_count"), *_zero("transition_count"), "gap_count", "discontinuity_count", "observed_path_m", "unique_geohash_cells", F.lit(None).cast("long").alias("unique_h3_cells"),
         *_zero("dwell_count", "stay_count", "total_dwell_s"), "median_ha_m", "observations_with_ha", "observations_without_ha", X.coverage_pct(F.col("observations_with_ha"), F.col("observation_count")).alias("ha_coverage_pct"),
         X.support_class(F.col("observations_with_ha"), F.col("observations_without_ha")).alias("ha_class"), F.col("a.lat").alias("start_lat"), F.col("a.lon").alias("start_lon"), F.col("z.lat").alias("end_lat"), F.col("z.lon").alias("end_lon"),
@@ -217,14 +223,13 @@ def tracks(normalized: DataFrame, presence: DataFrame, moves: DataFrame, geometr
     return out.withColumn("geometry", wkb_path(F.col("_points"))).drop("_points") if geometry else out
 
 
-def decisions(folded: DataFrame, *by: str) -> DataFrame:
-    """Counters of what the state machine decided, by the given columns."""
+def _counters() -> list[Column]:
     cancelled = F.coalesce("candidate_open_at_end", F.lit(False))
     # A departure is pending after the last row of a stretch unless that row resolved it.
     pending = F.col("run_ends") & F.col("pending_after")
     disc, gap = F.coalesce("next_discontinuity", F.lit(False)), F.coalesce("next_gap", F.lit(False))
     started = F.col("opens_no").isNotNull()
-    return folded.groupBy(*by).agg(
+    return [
         F.count_if(started).alias("presence_confirmations"),
         *[F.count_if(started & (F.col("start_reason") == r)).alias(f"presence_start_{n}") for r, n in (("dataset_start", "dataset"), ("continuity_reset", "continuity_reset"), ("candidate_presence", "candidate"), ("movement_arrival", "movement_arrival"))],
         *[F.count_if(F.col("end_reason") == r).alias(f"presence_end_{r}") for r in ("dataset_end", "gap", "discontinuity", "confirmed_movement")],
@@ -242,16 +247,30 @@ def decisions(folded: DataFrame, *by: str) -> DataFrame:
         F.count_if(pending & gap & ~disc).alias("transitions_cancelled_gap"),
         F.count_if(pending & disc).alias("transitions_cancelled_discontinuity"),
         F.count_if(pending & ~gap & ~disc).alias("transitions_unresolved_eof"),
-    ).withColumns({
+    ]
+
+
+def _accounted(counted: DataFrame) -> DataFrame:
+    return counted.withColumns({
         "departure_candidate_unaccounted": F.col("departure_candidate_sequences") - F.col("departure_candidates_returned_inside") - F.col("departure_candidate_window_expired") - F.col("departures_confirmed") - F.col("departure_candidates_cancelled_gap") - F.col("departure_candidates_cancelled_discontinuity") - F.col("departure_candidates_cancelled_eof"),
         "pending_transition_unaccounted": F.col("pending_transitions_started") - F.col("transitions_confirmed") - F.col("transitions_cancelled_gap") - F.col("transitions_cancelled_discontinuity") - F.col("transitions_unresolved_eof"),
     })
 
 
-def entities(normalized: DataFrame, folded: DataFrame, presence: DataFrame, moves: DataFrame) -> DataFrame:
+def decisions(folded: DataFrame, *by: str) -> DataFrame:
+    """Counters of what the state machine decided, by the given columns."""
+    return _accounted(folded.groupBy(*by).agg(*_counters()))
+
+
+def support_by(rows: DataFrame, *key: str) -> DataFrame:
+    """Accuracy class of each group of rows by what is known in it."""
+    counted = rows.groupBy(*key).agg(F.count("ha").alias("known"), F.count("*").alias("n"))
+    return counted.select(X.support_class(F.col("known"), F.col("n") - F.col("known")).alias("class"))
+
+
+def entities(folded: DataFrame, presence: DataFrame) -> DataFrame:
     """One row for each entity: totals and the counters of its decisions."""
-    moved = moves.groupBy("entity_id").agg(F.count("*").alias("transition_count"))
-    joined = _per_entity(normalized).join(decisions(folded, "entity_id"), "entity_id").join(_presence_totals(presence), "entity_id", "left").join(moved, "entity_id", "left")
+    joined = _accounted(_per_entity(folded, *_counters())).join(_presence_totals(presence), "entity_id", "left")
     return joined.select(
         "entity_id", "subject", X.millis(F.col("a.ts_s"), F.col("a.ts_ns")).alias("first_seen"), X.millis(F.col("z.ts_s"), F.col("z.ts_ns")).alias("last_seen"),
         X.seconds_between(F.col("a.ts_s"), F.col("a.ts_ns"), F.col("z.ts_s"), F.col("z.ts_ns")).alias("coverage_s"), "observation_count", F.lit(1).cast("long").alias("track_count"), "segment_count",

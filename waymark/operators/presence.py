@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from math import asin, cos, radians, sin, sqrt
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,9 @@ from waymark.functions import expressions as X
 from waymark.operators import normalize as N
 
 _NEEDED = ("entity_id", "run", "idx", "ts_s", "ts_ns", "lat", "lon", "ha", "run_ends", "cum_path_m", "cum_known")
+#: What intervals and transitions need beside it, and what only the machine reads.
+_OF_PRESENCE = ("source_row", "segment_index", "next_gap", "next_discontinuity")
+_MACHINE_ONLY = ("run_ends", "cum_path_m", "cum_known")
 #: Columns that follow from the others of their row; they do not go through Python but are made anew where a plan asks for them.
 _FOLLOWS = frozenset((*N.LABELS, *N.IDENTIFIERS))
 _MADE = pa.schema([
@@ -29,7 +33,9 @@ _MADE = pa.schema([
     ("closes_no", pa.int32()), ("end_reason", pa.string()),
     ("candidate_started", pa.bool_()), ("candidate_returned", pa.bool_()), ("candidate_expired", pa.bool_()), ("candidate_outside", pa.bool_()), ("candidate_open_at_end", pa.bool_()),
 ])
-_MADE_DDL = ", ".join(f"{f.name} {dict(string='string', int32='int', int64='long', double='double', bool='boolean')[str(f.type)]}" for f in _MADE)
+#: Of these what intervals and transitions are made of.
+_DECIDES = ("member_no", "opens_no", "start_reason", "from_no", "depart_idx", "depart_cum_path_m", "depart_cum_known", "dest_cum_path_m", "dest_cum_known", "closes_no", "end_reason")
+_DDL = dict(string="string", int32="int", int64="long", double="double", bool="boolean")
 
 
 class Machine:
@@ -111,23 +117,31 @@ def _values(column: pa.Array) -> list:
     return column.to_pylist() if column.null_count or not pa.types.is_primitive(column.type) or pa.types.is_boolean(column.type) else column.to_numpy(zero_copy_only=False).tolist()
 
 
-def fold(rows: DataFrame, cfg: Config, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+def fold(rows: DataFrame, cfg: Config, keep: Callable[[DataFrame], DataFrame] = lambda df: df, reads: tuple[str, ...] | None = None) -> DataFrame:
     """`rows`, as normalized and identified, with the decision of each row. `keep` may persist what Python returns.
 
+    `reads` names what a plan reads beside the columns of intervals and transitions: only these go through Python, with identifiers made
+    after it. With no name in it rows that are in no presence and close none are left out. Catalyst cannot find either by itself.
+
     seen_no is the last presence that has a member at or before the row. The anchor of a presence is the row before the one that
     confirms it, so a batch is given out when the first row of the next one is known.
     """
-    kept = [c for c in rows.columns if c not in _FOLLOWS]
+    kept = [c for c in rows.columns if c not in _FOLLOWS and (reads is None or c in (*_NEEDED, *_OF_PRESENCE, *reads))]
+    passed = [c for c in kept if reads is None or c in reads or c not in _MACHINE_ONLY]
+    told = [f for f in _MADE if reads is None or f.name in _DECIDES or f.name in reads]
+    presences_alone = reads is not None and not reads
     narrow = rows.select(*kept)
-    ordered = narrow.repartition(F.col("entity_id"), F.col("run")).sortWithinPartitions("entity_id", "run", "idx")
-    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema)
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, for the size of the shuffle does not tell what Python takes
+    ordered = narrow.repartition(tasks, F.col("entity_id"), F.col("run")).sortWithinPartitions("entity_id", "run", "idx")
+    typed = ", ".join([*[f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in passed], *[f"{f.name} {_DDL[str(f.type)]}" for f in told]])
 
     def run_machine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, key = Machine(cfg), None
         held: tuple[pa.RecordBatch, dict[str, list]] | None = None
 
         def given(batch: pa.RecordBatch, made: dict[str, list]) -> pa.RecordBatch:
-            return pa.record_batch(batch.columns + [pa.array(made[f.name], f.type) for f in _MADE], names=[*kept, *_MADE.names])
+            out = pa.record_batch([*[batch.column(kept.index(c)) for c in passed], *[pa.array(made[f.name], f.type) for f in told]], names=[*passed, *[f.name for f in told]])
+            return out.filter(pc.or_(out.column("member_no").is_valid(), out.column("closes_no").is_valid())) if presences_alone else out
 
         for batch in batches:
             if not batch.num_rows:
@@ -157,38 +171,50 @@ def fold(rows: DataFrame, cfg: Config, keep: Callable[[DataFrame], DataFrame] =
         if held:
             yield given(*held)
 
-    folded = keep(ordered.mapInArrow(run_machine, f"{typed}, {_MADE_DDL}"))
+    folded = keep(ordered.mapInArrow(run_machine, typed))
     why = F.when(F.col("end_reason") != "run_end", F.col("end_reason")).when(F.col("end_reason").isNull(), F.lit(None)).when(F.col("next_discontinuity"), "discontinuity").when(F.col("next_gap"), "gap").otherwise("dataset_end")
-    return N.identify(N.label(folded.withColumn("end_reason", why), cfg), cfg)
+    folded = folded.withColumn("end_reason", why)
+    return N.identify(N.label(folded, cfg) if reads is None else folded, cfg)
 
 
 def intervals(folded: DataFrame, cfg: Config, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """One row for each presence, keyed by (entity_id, run, no): members from the anchor to the last inside, centroid, scatter, radii, reasons.
 
     Texts and identifiers are made of the first and last members alone. `keep` may persist the rows; further identifiers follow from them.
+    Members and the row that closes a presence meet in one shuffle, where their order by radius gives the median. from_no is the presence
+    before a confirmed arrival; observations, path and known radii of the way from it, to the anchor, are counted by the confirming row.
     """
     key = ["entity_id", "run", "no"]
-    of_presence = Window.partitionBy(*key)
+    by_radius = Window.partitionBy(*key).orderBy(F.col("ha").asc_nulls_last())
+    of_presence = by_radius.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     x, y, z = X.ecef(F.col("lat"), F.col("lon"))
     edge = ("idx", "ts_s", "ts_ns", "lat", "lon", "ha", "source_row")
-    members = folded.where("member_no is not null").select("entity_id", "run", F.col("member_no").alias("no"), *edge, "segment_index", "start_reason", "from_no")
-    placed = members.withColumns({"_x": F.avg(x).over(of_presence), "_y": F.avg(y).over(of_presence), "_z": F.avg(z).over(of_presence)})
+    way = {"way_count": F.col("idx") - F.col("depart_idx"), "way_path_m": F.col("dest_cum_path_m") - F.col("depart_cum_path_m"), "way_known": F.col("dest_cum_known") - F.col("depart_cum_known")}
+    part = lambda no, ends: F.struct(F.col(no).alias("no"), ends.cast("string").alias("ends"))
+    parts = folded.withColumns({**way, "_part": F.explode(F.array(part("member_no", F.lit(None)), part("closes_no", F.col("end_reason"))))}).where("_part.no is not null")
+    member = F.col("_part.ends").isNull()
+    rows = parts.select("entity_id", "run", F.col("_part.no").alias("no"), F.col("_part.ends").alias("end_reason"), "segment_index", *[F.when(member, F.col(c)).alias(c) for c in (*edge, "start_reason", "from_no", *way)])
+    placed = rows.withColumns({"_x": F.avg(x).over(of_presence), "_y": F.avg(y).over(of_presence), "_z": F.avg(z).over(of_presence), "_nth": F.row_number().over(by_radius), "_known": F.count("ha").over(of_presence)})
     lat, lon = X.centroid(F.col("_x"), F.col("_y"), F.col("_z"))
-    placed = placed.withColumns({"centroid_lat": lat, "centroid_lon": lon}).withColumn("_away", X.distance_m(F.col("centroid_lat"), F.col("centroid_lon"), F.col("lat"), F.col("lon")))
+    placed = placed.withColumns({"centroid_lat": lat, "centroid_lon": lon}).withColumns({
+        "_away": X.distance_m(F.col("centroid_lat"), F.col("centroid_lon"), F.col("lat"), F.col("lon")),
+        "_middle": F.when((2 * F.col("_nth")).between(F.col("_known"), F.col("_known") + 2), F.col("ha")),
+        "_edge": F.when(F.col("end_reason").isNull(), F.struct(*edge)),
+    })
     made = placed.groupBy(*key).agg(
-        F.max("segment_index").alias("segment_index"), F.min(F.struct(*edge)).alias("a"), F.max(F.struct(*edge)).alias("z"),
+        F.max("segment_index").alias("segment_index"), F.min("_edge").alias("a"), F.max("_edge").alias("z"),
         F.first("centroid_lat").alias("centroid_lat"), F.first("centroid_lon").alias("centroid_lon"),
-        F.count("*").alias("observation_count"), F.max("_away").alias("scatter_m"),
-        F.median("ha").alias("median_ha_m"), F.min("ha").alias("min_ha_m"), F.max("ha").alias("max_ha_m"),
-        F.count("ha").alias("observations_with_ha"), F.first("start_reason", True).alias("start_reason"), F.max(F.col("from_no").isNotNull()).alias("entered"),
+        F.count("_edge").alias("observation_count"), F.max("_away").alias("scatter_m"),
+        (F.min("_middle") * 0.5 + F.max("_middle") * 0.5).alias("median_ha_m"), F.min("ha").alias("min_ha_m"), F.max("ha").alias("max_ha_m"),
+        F.count("ha").alias("observations_with_ha"), F.first("start_reason", True).alias("start_reason"), F.max("end_reason").alias("end_reason"),
+        *[F.max(c).alias(c) for c in ("from_no", *way)],
     )
-    closed = folded.where("closes_no is not null").select("entity_id", "run", F.col("closes_no").alias("no"), "end_reason")
     first = X.stable_id("fix", F.col("entity_id"), X.rfc3339(F.col("a.ts_s"), F.col("a.ts_ns")), X.spelled(F.col("a.lat"), F.col("a.lon"), F.col("a.ha")))
-    made = N.identify_entity(made.join(closed, key), cfg).withColumn("first_fix", first).withColumns({
+    made = N.identify_entity(made, cfg).withColumn("first_fix", first).withColumns({
         "presence_interval_id": X.stable_id("prs", F.col("track_id"), F.col("first_fix")),
         "duration_s": X.seconds_between(F.col("a.ts_s"), F.col("a.ts_ns"), F.col("z.ts_s"), F.col("z.ts_ns")),
         "observations_without_ha": F.col("observation_count") - F.col("observations_with_ha"),
-        "entered": F.coalesce("entered", F.lit(False)),
+        "entered": F.col("from_no").isNotNull(),
     })
     made = keep(made)
     side = lambda e: F.struct(*[F.col(f"{e}.{c}").alias(c) for c in edge], X.rfc3339(F.col(f"{e}.ts_s"), F.col(f"{e}.ts_ns")).alias("ts_text"), X.ha_state(F.col(f"{e}.ha")).alias("ha_state"), X.geohash(F.col(f"{e}.lat"), F.col(f"{e}.lon"), cfg.geohash_precision).alias("geohash"))
@@ -208,19 +234,12 @@ def intervals(folded: DataFrame, cfg: Config, keep: Callable[[DataFrame], DataFr
     })
 
 
-def transitions(folded: DataFrame, presence: DataFrame) -> DataFrame:
+def transitions(presence: DataFrame) -> DataFrame:
     """One row for each arrival confirmed after a confirmed departure in the same stretch, from the last row inside the origin to the anchor of the destination."""
-    # The destination's anchor is the row before the confirming one.
-    arrivals = folded.where("from_no is not null").select(
-        "entity_id", "run", "from_no", F.col("opens_no").alias("no"),
-        (F.col("idx") - F.col("depart_idx")).alias("observation_count"),
-        (F.col("dest_cum_path_m") - F.col("depart_cum_path_m")).alias("observed_path_distance_m"),
-        (F.col("dest_cum_known") - F.col("depart_cum_known")).alias("_known_after"),
-    )
     support = ["observations_with_ha", "observations_without_ha", "ha_coverage_pct", "accuracy_support"]
     origin = presence.select("entity_id", "run", F.col("no").alias("from_no"), F.col("presence_interval_id").alias("origin_presence_id"), F.col("z").alias("depart"), F.col("centroid_lat").alias("origin_lat"), F.col("centroid_lon").alias("origin_lon"), *[F.col(c).alias(f"origin_{c}") for c in support])
-    target = presence.select("entity_id", "run", "no", "track_id", "segment_id", F.col("presence_interval_id").alias("destination_presence_id"), F.col("a").alias("arrive"), *[F.col(c).alias(f"destination_{c}") for c in support])
-    joined = arrivals.join(origin, ["entity_id", "run", "from_no"]).join(target, ["entity_id", "run", "no"])
+    target = presence.where("from_no is not null").select("entity_id", "run", "from_no", F.col("way_count").alias("observation_count"), F.col("way_path_m").alias("observed_path_distance_m"), F.col("way_known").alias("_known_after"), "track_id", "segment_id", F.col("presence_interval_id").alias("destination_presence_id"), F.col("a").alias("arrive"), *[F.col(c).alias(f"destination_{c}") for c in support])
+    joined = target.join(origin, ["entity_id", "run", "from_no"])
     known = F.col("_known_after") + F.col("depart.ha").isNotNull().cast("int")
     joined = joined.withColumns({
         "transition_id": X.stable_id("trn", F.col("track_id"), F.col("origin_presence_id"), F.col("destination_presence_id")),

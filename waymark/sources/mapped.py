@@ -34,15 +34,15 @@ def mapped_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"),
         F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("rn"),
     )
-    far = F.when((F.col("event_type") == "error") & (F.col("value") > 90), F.lit("2.0").cast("decimal(2,1)")).otherwise(F.lit("0.0").cast("decimal(2,1)"))
-    exact = lambda c, text: c.cast("decimal(18,0)") * F.lit(text).cast(f"decimal({len(text.split('.')[1]) + 1},{len(text.split('.')[1])})")
-    lat = F.lit("50.0").cast("decimal(3,1)") + exact(F.col("user_id") % 10, "0.5") + exact(F.floor(F.col("rn") / F.lit(5.0)).cast("int") % 4, "0.004") + exact(F.col("k") % 7, "0.0001") + far
-    lon = F.lit("-0.1").cast("decimal(3,1)") - exact(F.col("user_id") % 7, "0.25") + exact(F.col("k") % 5, "0.0001")
+    # Coordinates are whole numbers of ten-thousandths, so that one division gives the double nearest to the decimal.
+    far = F.when((F.col("event_type") == "error") & (F.col("value") > 90), F.lit(20000)).otherwise(F.lit(0))
+    lat = F.lit(500000) + F.col("user_id") % 10 * 5000 + F.floor(F.col("rn") / F.lit(5.0)).cast("int") % 4 * 40 + F.col("k") % 7 + far
+    lon = F.lit(-1000) - F.col("user_id") % 7 * 2500 + F.col("k") % 5
     base = numbered.select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("entity_id"),
         (F.lit(EPOCH_US) + F.floor((F.col("us") - EPOCH_US) / F.lit(25.0)).cast("long")).alias("t_us"),
         (F.col("event_id") + 2).alias("source_row"),
-        lat.cast("double").alias("lat"), lon.cast("double").alias("lon"),
+        (lat.cast("double") / 10000.0).alias("lat"), (lon.cast("double") / 10000.0).alias("lon"),
         F.when(F.col("k") % 5 != 0, (F.col("k") % 30).cast("double")).alias("ha"),
     )
     # One scan: a row that is repeated is exploded into two.

@@ -76,3 +76,9 @@ def test_rows_in_no_presence_are_left_out_for_presences_alone(spark):
     for made in ("folded", "presence", "moves"):
         L.__dict__.pop(made, None)
     assert [tuple(r) for r in L.presence.orderBy("no").collect()] == whole and L.folded.count() < L.normalized.count()
+
+
+def test_tracks_pass_what_they_read_and_make_no_group_of_each_cell(spark):
+    plan = _plan(spark, "tracks")
+    assert "step_dt_s" not in _through_python(plan) and "from_no" in _through_python(plan)
+    assert "count(distinct" not in plan and plan.split("InMemoryRelation", 1)[0].count("Join") <= 2

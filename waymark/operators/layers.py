@@ -185,12 +185,15 @@ def segments(normalized: DataFrame, geometry: bool = False) -> DataFrame:
 def _per_entity(normalized: DataFrame, *extra: Column) -> DataFrame:
     is_break = F.col("is_gap") | F.col("is_discontinuity")
     edge = F.struct("idx", "ts_s", "ts_ns", "lat", "lon", "source_row")
-    return normalized.groupBy("entity_id").agg(
+    # Cells are counted beside the rest: a distinct count among them would make a group, median and all, of each entity and cell.
+    cells = normalized.select(F.col("entity_id").alias("_of"), "geohash").distinct().groupBy("_of").agg(F.count("geohash").alias("unique_geohash_cells"))
+    made = normalized.groupBy("entity_id").agg(
         F.first("track_id").alias("track_id"), F.first("subject").alias("subject"), F.min(edge).alias("a"), F.max(edge).alias("z"), F.count("*").alias("observation_count"),
         F.max("segment_index").cast("long").alias("segment_count"), F.count_if("is_gap").alias("gap_count"), F.count_if("is_discontinuity").alias("discontinuity_count"), F.count_if(is_break).alias("_breaks"),
-        F.sum(F.when(is_break, F.lit(0.0)).otherwise(F.col("step_distance_m"))).alias("observed_path_m"), F.count_distinct("geohash").alias("unique_geohash_cells"),
+        F.sum(F.when(is_break, F.lit(0.0)).otherwise(F.col("step_distance_m"))).alias("observed_path_m"),
         F.median("ha").alias("median_ha_m"), F.count("ha").alias("observations_with_ha"), F.sum(F.col("sample_count") - 1).alias("same_timestamp_collapsed"), *extra,
     ).withColumn("observations_without_ha", F.col("observation_count") - F.col("observations_with_ha"))
+    return made.join(cells, F.col("entity_id").eqNullSafe(F.col("_of")), "left").drop("_of")
 
 
 def _presence_totals(presence: DataFrame) -> DataFrame:
